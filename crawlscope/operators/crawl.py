@@ -103,6 +103,9 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
         else:
             checked = frontier.withColumn("allowed", F.lit(True))
         fetched = checked.join(f, ["site", "url"], "left")
+        # a disallowed page is never fetched: it keeps no fetch fields
+        fetched = fetched.select("site", "url", "depth", "parent_url", "allowed", *[
+            F.when(F.col("allowed"), F.col(c)).alias(c) for c in fetch_cols])
         status = (
             F.when(~F.col("allowed"), F.lit("skipped"))
             .when(F.col("http_status_code").isNull(), F.lit("pending"))

@@ -132,12 +132,9 @@ def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | N
 
 def links_per_page(pages: DataFrame, links: DataFrame) -> DataFrame:
     """AGG6: ``links_found`` per page (duplicates, files and embeds included)."""
-    counts = links.groupBy("site", "source_url").agg(F.count(F.lit(1)).alias("links_found"))
-    return (
-        pages.select("site", F.col("url"))
-        .join(counts, (pages.site == counts.site) & (pages.url == counts.source_url), "left")
-        .select(pages.site, pages.url, F.coalesce(counts.links_found, F.lit(0)).cast("bigint").alias("links_found"))
-    )
+    counts = links.groupBy("site", F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("links_found"))
+    return pages.select("site", "url").join(counts, ["site", "url"], "left").select(
+        "site", "url", F.coalesce(F.col("links_found"), F.lit(0)).cast("bigint").alias("links_found"))
 
 
 def first_link_per_source(links: DataFrame, source_rank: DataFrame | None = None) -> DataFrame:

@@ -52,7 +52,8 @@ def status_code_rule(i: Column) -> Column:
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one stored fetch per page row of the fixture site."""
+    """one stored fetch per page row of the fixture site; the body is the
+    page's own HTML from ``pages``."""
     i = F.col("page_id")
     code = status_code_rule(i)
     redirect = (
@@ -87,6 +88,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i == 0, F.lit("")).otherwise(_page_url(F.floor((i - 1) / 2).cast("bigint"))).alias("parent_url"),
         (i % 29 == 4).alias("has_form"),
         headers.alias("response_headers"),
+        F.col("html"),
     )
 
 

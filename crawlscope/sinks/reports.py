@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import status as S
 
 # --- fixed values -----------------------------------------------------------
@@ -35,8 +36,8 @@ def markdown_rows(errors: DataFrame) -> DataFrame:
     """SNK5: one Markdown table row per dead link (rows with referrers)."""
     code = F.when(F.col("http_status_code") != 0, F.col("http_status_code").cast("string")).otherwise(F.lit("-"))
     refs = F.transform(_refs(), lambda r: F.when(
-        F.trim(F.coalesce(r["link_text"], F.lit(""))) != "",
-        F.concat(F.lit("["), _md_cell(F.trim(r["link_text"])), F.lit("]("), r["url"], F.lit(")")),
+        H.strip(F.coalesce(r["link_text"], F.lit(""))) != "",
+        F.concat(F.lit("["), _md_cell(H.strip(r["link_text"])), F.lit("]("), r["url"], F.lit(")")),
     ).otherwise(_md_cell(r["url"])))
     referring = F.when(F.size(_refs()) > 0, F.array_join(refs, "<br>")).otherwise(F.lit("-"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", _md_cell(F.col("url")), code, F.col("status"), referring),
@@ -52,8 +53,8 @@ def wiki_rows(errors: DataFrame) -> DataFrame:
     """SNK6: one wiki-markup table row per dead link."""
     code = F.when(F.col("http_status_code") != 0, F.col("http_status_code").cast("string")).otherwise(F.lit("-"))
     refs = F.transform(_refs(), lambda r: F.when(
-        F.trim(F.coalesce(r["link_text"], F.lit(""))) != "",
-        F.concat(F.lit('"'), F.trim(r["link_text"]), F.lit('" ['), r["url"], F.lit("]")),
+        H.strip(F.coalesce(r["link_text"], F.lit(""))) != "",
+        F.concat(F.lit('"'), H.strip(r["link_text"]), F.lit('" ['), r["url"], F.lit("]")),
     ).otherwise(F.concat(F.lit("["), r["url"], F.lit("]"))))
     referring = F.when(F.size(_refs()) > 0, F.array_join(refs, " \\\\ ")).otherwise(F.lit("-"))
     line = F.concat(F.lit("|["), F.col("url"), F.lit("]|"), code, F.lit("|"), F.col("status"), F.lit("|"), referring,

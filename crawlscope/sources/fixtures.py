@@ -238,7 +238,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id"), host.alias("host"),
         F.concat(F.lit("https://"), host, F.lit("/e/"), F.col("event_id").cast("string")).alias("url"),
-        F.col("ts"), code.cast("int").alias("status_code"),
+        F.col("ts").cast("timestamp").alias("ts"), code.cast("int").alias("status_code"),
         F.when(code == 301, F.concat(F.lit("https://"), host, F.lit("/"))).otherwise(F.lit("")).alias("redirect_url"),
         F.col("value").alias("elapsed_ms"),
     )

@@ -106,9 +106,10 @@ def decode_entities(text: Column) -> Column:
 
 def attr(tag: Column, name: str) -> Column:
     """Value of attribute ``name`` in an opening tag ('' when absent), decoded."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    raw = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2),
-                   F.regexp_extract(tag, pattern, 3))
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+    match = F.regexp_extract(tag, pattern, 0)
+    # drop ``name=`` and the surrounding quotes of the matched value
+    raw = F.regexp_replace(match, r"""(?s)^\s*[^=]*=\s*(?:["']?)|["']$""", "")
     return decode_entities(raw)
 
 

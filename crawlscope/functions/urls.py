@@ -38,6 +38,9 @@ URL_PARTS_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?(
 # Path split into (path without params, params) the way urlparse does it:
 # params start at the first ";" after the last "/".
 PATH_PARAMS_RE = r"^((?:.*/)?[^/;]*)(?:;(.*))?$"
+# Both in one pattern: scheme, netloc, path without params, params, query.
+URL_NORM_RE = (r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^/;?#]*)(?:;([^?#]*))?"
+               r"(?:\?([^#]*))?(?:#.*)?$")
 
 _HEX = "0123456789ABCDEF"
 
@@ -60,7 +63,7 @@ def unquote(text: Column) -> Column:
     """Percent-decode like ``urllib.parse.unquote``: "+" stays "+", a lone "%"
     that does not start an escape stays literal, bad UTF-8 becomes U+FFFD."""
     guarded = F.regexp_replace(F.regexp_replace(text, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(guarded), text)
+    return F.try_url_decode(guarded)
 
 
 def quote(text: Column, safe: str) -> Column:
@@ -74,47 +77,41 @@ def quote(text: Column, safe: str) -> Column:
     return out
 
 
-def _assemble(scheme: Column, netloc: Column, path: Column, params: Column, query: Column) -> Column:
-    """``urlunparse`` without fragment."""
-    head = F.when(scheme != "", F.concat(scheme, _lit(":"))).otherwise(_lit(""))
-    head = F.when(
-        netloc != "",
-        F.concat(
-            head,
-            _lit("//"),
-            netloc,
-            F.when((path != "") & ~path.startswith("/"), _lit("/")).otherwise(_lit("")),
-        ),
-    ).otherwise(head)
+def _prefixed(prefix: str, value: Column) -> Column:
+    """``prefix + value``, or '' when ``value`` is empty (value used once)."""
+    pattern = "^" + "".join("\\" + c for c in prefix) + "$"
+    return F.regexp_replace(F.concat(_lit(prefix), value), pattern, "")
+
+
+def _normalized(url: Column, scheme: Column | None = None) -> Column:
+    """``urlunparse`` of the normalised parts; every part is extracted once,
+    so the expression tree stays linear in the number of parts."""
+    def g(i: int) -> Column:
+        return F.regexp_extract(url, URL_NORM_RE, i)
+
+    sch = F.lower(g(1)) if scheme is None else scheme
+    qpath = F.regexp_replace(quote(unquote(g(3)), PATH_SAFE), "^$", "/")
     return F.concat(
-        head,
-        path,
-        F.when(params != "", F.concat(_lit(";"), params)).otherwise(_lit("")),
-        F.when(query != "", F.concat(_lit("?"), query)).otherwise(_lit("")),
+        F.regexp_replace(F.concat(sch, _lit(":")), "^:$", ""),
+        _prefixed("//", F.lower(g(2))),
+        qpath,
+        _prefixed(";", g(4)),
+        _prefixed("?", quote(unquote(g(5)), QUERY_SAFE)),
     )
 
 
 def normalize(url: Column) -> Column:
     """URL1: lower-case scheme and host, re-encode path and query, empty path
     becomes "/", ";params" kept, fragment dropped. Path case is kept."""
-    scheme = F.lower(url_part(url, "scheme"))
-    netloc = F.lower(url_part(url, "netloc"))
-    full_path = url_part(url, "path")
-    path = F.regexp_extract(full_path, PATH_PARAMS_RE, 1)
-    params = F.regexp_extract(full_path, PATH_PARAMS_RE, 2)
-    qpath = quote(unquote(path), PATH_SAFE)
-    qpath = F.when(qpath == "", _lit("/")).otherwise(qpath)
-    query = quote(unquote(url_part(url, "query")), QUERY_SAFE)
-    return _assemble(scheme, netloc, qpath, params, query)
+    return _normalized(url)
 
 
 def full_normalize(url: Column, site_netloc: Column, site_scheme: Column) -> Column:
     """URL2: ``normalize`` and, for links on the site's own host, the site's scheme."""
-    norm = normalize(url)
-    scheme = url_part(norm, "scheme")
-    netloc = url_part(norm, "netloc")
-    swap = (scheme != site_scheme) & (netloc == site_netloc)
-    return F.when(swap, F.concat(site_scheme, F.substring(norm, F.length(scheme) + 1, 1 << 30))).otherwise(norm)
+    scheme = F.lower(F.regexp_extract(url, URL_NORM_RE, 1))
+    netloc = F.lower(F.regexp_extract(url, URL_NORM_RE, 2))
+    chosen = F.when((scheme != site_scheme) & (netloc == site_netloc), site_scheme).otherwise(scheme)
+    return _normalized(url, chosen)
 
 
 def strip_fragment(url: Column) -> Column:
@@ -137,40 +134,59 @@ def _remove_dot_segments(path: Column) -> Column:
     return F.when(joined == "", _lit("/")).otherwise(joined)
 
 
-def _merge_relative(base_path: Column, rel_path: Column) -> Column:
-    directory = F.regexp_extract(base_path, r"^(.*/)", 1)
-    directory = F.when(directory == "", _lit("/")).otherwise(directory)
-    return F.concat(directory, rel_path)
+_ABS_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_DOTS_RE = r"(^|/)\.\.?(/|$)"
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """URL3: ``urljoin(base, href)`` for http(s) pages, then fragment dropped.
-
-    Absolute and scheme-relative links keep their path; root-relative and
-    relative paths get dot segments removed; "?q" keeps the base path.
-    """
-    b_scheme = url_part(base, "scheme")
-    b_netloc = url_part(base, "netloc")
-    b_path = url_part(base, "path")
+def _resolve_parts(b_scheme: Column, b_netloc: Column, b_path: Column, b_query: Column, h: Column,
+                   h_path: Column, h_rest: Column) -> Column:
     origin = F.concat(b_scheme, _lit("://"), b_netloc)
-    h = strip_fragment(href)
-    h_path = F.regexp_extract(h, r"^([^?]*)", 1)
-    h_rest = F.regexp_extract(h, r"^[^?]*(\?.*)?$", 1)
-    needs_dots = h_path.rlike(r"(^|/)\.\.?(/|$)")
+    needs_dots = h_path.rlike(_DOTS_RE)
     rooted = F.when(needs_dots, _remove_dot_segments(h_path)).otherwise(h_path)
-    merged = _merge_relative(b_path, h_path)
+    directory = F.regexp_replace(F.regexp_extract(b_path, r"^(.*/)", 1), "^$", "/")
+    merged = F.concat(directory, h_path)
     merged = F.when(needs_dots, _remove_dot_segments(merged)).otherwise(merged)
-    b_query = url_part(base, "query")
     return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+        F.when(h.rlike(_ABS_RE), h)
         .when(h.startswith("//"), F.concat(b_scheme, _lit(":"), h))
         .when(h.startswith("/"), F.concat(origin, rooted, h_rest))
-        .when(h.startswith("?"), F.concat(origin, F.when(b_path == "", _lit("/")).otherwise(b_path), h))
-        .when(h == "", F.concat(origin, b_path, F.when(b_query != "", F.concat(_lit("?"), b_query)).otherwise(_lit(""))))
+        .when(h.startswith("?"), F.concat(origin, F.regexp_replace(b_path, "^$", "/"), h))
+        .when(h == "", F.concat(origin, b_path, _prefixed("?", b_query)))
         .otherwise(F.concat(origin, merged, h_rest))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """URL3: ``urljoin(base, href)`` for http(s) pages, then fragment dropped.
+
+    Absolute and scheme-relative links keep their path; root-relative and
+    relative paths get dot segments removed; "?q" keeps the base path.
+    (Column form; ``resolve_df`` is the staged form for large inputs.)
+    """
+    h = strip_fragment(href)
+    return _resolve_parts(url_part(base, "scheme"), url_part(base, "netloc"), url_part(base, "path"),
+                          url_part(base, "query"), h, F.regexp_extract(h, r"^([^?]*)", 1),
+                          F.regexp_extract(h, r"^[^?]*(\?.*)?$", 1))
+
+
+def resolve_df(df, base_col: str, href_col: str, out_col: str):
+    """URL3 as staged projections: the base parts and the cleaned href are
+    computed once per row as columns, then combined (keeps the plan small)."""
+    b = F.col(base_col)
+    staged = df.select(
+        "*",
+        url_part(b, "scheme").alias("_b_scheme"), url_part(b, "netloc").alias("_b_netloc"),
+        url_part(b, "path").alias("_b_path"), url_part(b, "query").alias("_b_query"),
+        strip_fragment(F.col(href_col)).alias("_h"),
+    )
+    staged = staged.select("*", F.regexp_extract("_h", r"^([^?]*)", 1).alias("_h_path"),
+                           F.regexp_extract("_h", r"^[^?]*(\?.*)?$", 1).alias("_h_rest"))
+    value = _resolve_parts(F.col("_b_scheme"), F.col("_b_netloc"), F.col("_b_path"), F.col("_b_query"),
+                           F.col("_h"), F.col("_h_path"), F.col("_h_rest"))
+    return staged.withColumn(out_col, value).drop("_b_scheme", "_b_netloc", "_b_path", "_b_query", "_h",
+                                                 "_h_path", "_h_rest")
+
+
 def host_without_port(netloc: Column) -> Column:
     """URL4 helper: lower-case host, port dropped."""
     return F.split_part(F.lower(netloc), _lit(":"), _lit(1))

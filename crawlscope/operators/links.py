@@ -102,29 +102,30 @@ def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | N
         "site", "site_scheme", F.col("url").alias("source_url"), base.alias("_base"),
         F.posexplode(candidates).alias("position", "c"),
     )
-    href = H.strip(F.col("c.href"))
-    is_anchor = F.col("c.kind") == "a"
+    # stage 1: one row per candidate tag with its cleaned href
+    cands = exploded.select(
+        "site", "site_scheme", "source_url", "_base", "position", F.col("c.present").alias("_present"),
+        H.strip(F.col("c.href")).alias("_href"), F.col("c.text").alias("link_text"), F.col("c.kind").alias("kind"),
+    )
+    href = F.col("_href")
     if mode == "rendered":
-        target = U.resolve(F.col("_base"), F.concat(href, F.lit("")))
-        resolved = F.when(F.regexp_extract(href, r"#(.*)$", 0) != "", F.concat(
-            target, F.regexp_extract(href, r"(#.*)$", 1))).otherwise(target)
-        keep_href = F.col("c.present") & (href != "") & resolved.startswith("http")
+        keep = F.col("_present") & (href != "")
     else:
-        resolved = U.resolve(F.col("_base"), href)
-        skip = F.when(is_anchor, _starts_with_any(href, SKIP_HREF_PREFIXES)).otherwise(
+        skip = F.when(F.col("kind") == "a", _starts_with_any(href, SKIP_HREF_PREFIXES)).otherwise(
             _starts_with_any(href, SKIP_EMBED_PREFIXES))
-        keep_href = F.col("c.present") & (href != "") & ~skip
-    links = exploded.where(keep_href).select(
-        "site", "site_scheme", "source_url", "position",
-        resolved.alias("target_url"), F.col("c.text").alias("link_text"), F.col("c.kind").alias("kind"),
-    )
-    netloc = F.lower(U.url_part(F.col("target_url"), "netloc"))
-    internal = netloc == F.col("site")
+        keep = F.col("_present") & (href != "") & ~skip
+    # stage 2: resolve against the base (staged, see urls.resolve_df)
+    resolved = U.resolve_df(cands.where(keep), "_base", "_href", "target_url")
+    if mode == "rendered":
+        resolved = resolved.withColumn("target_url", F.concat("target_url", F.regexp_extract("_href", r"(#.*)$", 1)))
+        resolved = resolved.where(F.col("target_url").startswith("http"))
+    # stage 3: internal, or a file on the same site modulo environment prefix
+    with_host = resolved.select("*", F.lower(U.url_part(F.col("target_url"), "netloc")).alias("_netloc"))
+    internal = F.col("_netloc") == F.col("site")
     same_site_file = U.is_file(F.col("target_url")) & (
-        U.without_environment(netloc) == U.without_environment(F.col("site"))
-    )
-    return links.where(internal | same_site_file).select(
-        "site", "source_url", "position", "target_url",
+        U.without_environment(F.col("_netloc")) == U.without_environment(F.col("site")))
+    return with_host.where(internal | same_site_file).select(
+        "site", "source_url", F.col("position").cast("int").alias("position"), "target_url",
         U.full_normalize(F.col("target_url"), F.col("site"), F.col("site_scheme")).alias("target_norm"),
         "link_text", "kind",
     )

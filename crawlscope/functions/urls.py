@@ -131,7 +131,8 @@ def _remove_dot_segments(path: Column) -> Column:
     last = F.element_at(segments, -1)
     resolved = F.when(last.isin(".", ".."), F.array_append(resolved, _lit(""))).otherwise(resolved)
     joined = F.array_join(resolved, "/")
-    return F.when(joined == "", _lit("/")).otherwise(joined)
+    # an empty result is "/", and a popped root comes back (urlunparse adds it)
+    return F.regexp_replace(F.regexp_replace(joined, "^$", "/"), "^([^/])", "/$1")
 
 
 _ABS_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"

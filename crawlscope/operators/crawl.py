@@ -9,10 +9,10 @@ keeps their partitioning, so every level shuffles only its frontier:
 
 Per level: robots test (J2) -> join with fetches -> status (FLT1) -> gate
 (HTML5) -> join with links -> first discovery per target (W4, an aggregate)
--> anti join with the seen set -> next frontier. Each level's frontier, seen
-set and result rows are written with a reliable ``checkpoint()`` to the
-session's checkpoint folder, so the plan never grows and a lost executor
-only recomputes one level. The loop ends on an empty frontier or after
+-> anti join with the seen set -> next frontier. Each level's rows, expanded
+links and next frontier are written with a reliable ``checkpoint()`` to the
+session's checkpoint folder (three writes per level), so the plan never
+grows and a lost executor only recomputes within one level. The loop ends on an empty frontier or after
 ``max_depth`` levels; the only driver-side work is one count per level.
 """
 
@@ -27,11 +27,14 @@ from ..functions import status as S
 from ..functions import urls as U
 from ..session import ensure_checkpoint_dir
 from .links import is_link_extractable
-from .robots import allowed
+from .robots import allowed, prepare_rules
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_MAX_DEPTH = 10
 ROBOTS_MESSAGE = "robots.txt disallowed"
+# The seen set is a union of checkpointed levels, compacted into one
+# checkpoint after this many parts so the anti join's plan stays small.
+SEEN_COMPACT_EVERY = 8
 # ---------------------------------------------------------------------------
 
 RESULT_COLUMNS = [
@@ -81,25 +84,32 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
     frontier = sites.select(
         "site", U.full_normalize(F.col("start_url"), F.col("site"), F.col("site_scheme")).alias("url"),
         F.lit(0).alias("depth"), F.lit("").alias("parent_url"))
-    pending_seeds = None
     if seeds is not None:
         from .sitemap import seed_intake
-        pending_seeds = seed_intake(seeds, sites).select("site", "url", "depth", F.col("parent").alias("parent_url"))
+        level1_seeds = seed_intake(seeds, sites).select("site", "url", "depth", F.col("parent").alias("parent_url"))
+    prepared_rules = prepare_rules(rules) if rules is not None else None
     frontier = frontier.checkpoint(eager=True)
-    seen = frontier.select("site", "url")
+    seen_parts = [frontier.select("site", "url")]
     level_results: list[DataFrame] = []
     level_files: list[DataFrame] = []
     level_links: list[DataFrame] = []
 
+    def seen_set() -> DataFrame:
+        out = seen_parts[0]
+        for part in seen_parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     for depth in range(max_depth + 1):
-        if depth == 1 and pending_seeds is not None:
-            frontier = frontier.unionByName(pending_seeds.join(seen, ["site", "url"], "left_anti")).groupBy(
-                "site", "url", "depth").agg(F.min("parent_url").alias("parent_url")).checkpoint(eager=True)
-            seen = seen.unionByName(frontier.select("site", "url")).distinct()
+        if depth == 1 and seeds is not None:
+            extra = level1_seeds.join(seen_set(), ["site", "url"], "left_anti")
+            frontier = frontier.unionByName(extra).groupBy("site", "url", "depth").agg(
+                F.min("parent_url").alias("parent_url")).checkpoint(eager=True)
+            seen_parts.append(extra.select("site", "url").checkpoint(eager=True))
         if frontier.isEmpty():
             break
-        if rules is not None:
-            checked = allowed(frontier, rules)
+        if prepared_rules is not None:
+            checked = allowed(frontier, prepared_rules, prepared=True)
         else:
             checked = frontier.withColumn("allowed", F.lit(True))
         fetched = checked.join(f, ["site", "url"], "left")
@@ -133,33 +143,31 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
         rows = rows.withColumn("_expand", gate).checkpoint(eager=True)
         expanded = rows.where("_expand").select("site", F.col("url").alias("source_url"),
                                                 F.col("depth").alias("source_depth"))
-        out = expanded.join(lk, ["site", "source_url"])
-        counts = out.groupBy("site", "source_url").agg(F.count(F.lit(1)).cast("bigint").alias("links_found"))
-        rows = rows.join(counts.withColumnRenamed("source_url", "url"), ["site", "url"], "left").withColumn(
-            "links_found", F.coalesce("links_found", F.lit(0)).cast("bigint")).drop("_expand")
+        out = expanded.join(lk, ["site", "source_url"]).checkpoint(eager=True)
+        counts = out.groupBy("site", F.col("source_url").alias("url")).agg(
+            F.count(F.lit(1)).cast("bigint").alias("links_found"))
+        level_results.append(rows.join(counts, ["site", "url"], "left").withColumn(
+            "links_found", F.coalesce("links_found", F.lit(0)).cast("bigint")).drop("_expand"))
         level_links.append(out)
-        files = out.where("target_is_file").select(
+        level_files.append(out.where("target_is_file").select(
             "site", F.col("target_norm").alias("url"), F.col("source_url").alias("first_source"),
-            "source_depth", "position")
-        level_files.append(files)
-        pages = out.where(~F.col("target_is_file"))
-        first = pages.groupBy("site", F.col("target_norm").alias("url")).agg(
+            "source_depth", "position"))
+        first = out.where(~F.col("target_is_file")).groupBy("site", F.col("target_norm").alias("url")).agg(
             F.min_by("source_url", F.struct("source_url", "position")).alias("parent_url"))
-        new = first.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth + 1))
+        new = first.join(seen_set(), ["site", "url"], "left_anti").withColumn("depth", F.lit(depth + 1))
         if depth + 1 > max_depth:
-            beyond = new.select(
+            level_results.append(new.select(
                 "site", "url", F.lit("max_depth").alias("status"), F.lit(0).alias("http_status_code"),
                 F.lit("").alias("content_type"), F.col("depth").cast("int").alias("depth"), "parent_url",
                 F.lit(0.0).alias("load_time_ms"), F.lit(0).cast("bigint").alias("page_size"),
                 F.lit("").alias("last_modified"), F.lit("").alias("error_message"), F.lit("").alias("redirect_url"),
                 F.lit(0).cast("bigint").alias("links_found"),
-            )
-            level_results.append(rows.checkpoint(eager=True))
-            level_results.append(beyond.checkpoint(eager=True))
+            ).checkpoint(eager=True))
             break
-        level_results.append(rows.checkpoint(eager=True))
         frontier = new.select("site", "url", "depth", "parent_url").checkpoint(eager=True)
-        seen = seen.unionByName(frontier.select("site", "url")).checkpoint(eager=True)
+        seen_parts.append(frontier.select("site", "url"))
+        if len(seen_parts) >= SEEN_COMPACT_EVERY:
+            seen_parts[:] = [seen_set().checkpoint(eager=True)]
 
     results = level_results[0]
     for r in level_results[1:]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 SKIP_HREF_PREFIXES = ["#", "javascript:", "mailto:", "tel:", "data:"]
@@ -96,11 +97,13 @@ def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | N
     duplicates kept; ``position`` counts all candidate tags from 0.
     """
     base = F.col(base_col) if base_col else F.col("url")
-    markup = H.clean(F.col(html_col))
+    # the cleaned markup is computed once per page (two regex passes over the body)
+    staged = pages.select("site", "site_scheme", F.col("url").alias("source_url"), base.alias("_base"),
+                          H.clean(F.col(html_col)).alias("_markup"))
+    markup = F.col("_markup")
     candidates = F.concat(_anchor_structs(markup, mode), _embed_structs(markup))
-    exploded = pages.select(
-        "site", "site_scheme", F.col("url").alias("source_url"), base.alias("_base"),
-        F.posexplode(candidates).alias("position", "c"),
+    exploded = staged.select(
+        "site", "site_scheme", "source_url", "_base", F.posexplode(candidates).alias("position", "c"),
     )
     # stage 1: one row per candidate tag with its cleaned href
     cands = exploded.select(
@@ -165,12 +168,23 @@ def top_referrers(links: DataFrame, limit: int = MAX_REFERRERS, source_rank: Dat
     return first.withColumn("referrer_rank", F.row_number().over(w)).where(F.col("referrer_rank") <= limit)
 
 
-def referrers_per_target(links: DataFrame, limit: int = MAX_REFERRERS, source_rank: DataFrame | None = None) -> DataFrame:
+def referrers_per_target(links: DataFrame, limit: int = MAX_REFERRERS, source_rank: DataFrame | None = None,
+                         materialize: bool = True) -> DataFrame:
     """AGG7: per target the ordered list of at most ``limit`` referrers
-    ``ARRAY<STRUCT<url, link_text>>`` plus the number of distinct sources."""
-    ranked = top_referrers(links, limit, source_rank)
-    distinct_sources = links.groupBy("site", "target_norm").agg(
-        F.count_distinct("source_url").alias("n_sources"))
+    ``ARRAY<STRUCT<url, link_text>>`` plus the number of distinct sources.
+
+    Both come from the per-(target, source) first links (W1): the count is a
+    partial aggregate, the list a window group limit, so a hot target never
+    puts more than ``limit`` rows per map task through the shuffle."""
+    first = first_link_per_source(links, source_rank)
+    if materialize:
+        # read twice below (count and top list): written once to the shared
+        # checkpoint folder instead of re-extracting every page
+        ensure_checkpoint_dir(first.sparkSession)
+        first = first.checkpoint(eager=True)
+    counts = first.groupBy("site", "target_norm").agg(F.count(F.lit(1)).alias("n_sources"))
+    w = Window.partitionBy("site", "target_norm").orderBy("source_depth", "source_url")
+    ranked = first.withColumn("referrer_rank", F.row_number().over(w)).where(F.col("referrer_rank") <= limit)
     lists = ranked.groupBy("site", "target_norm").agg(
         F.sort_array(F.collect_list(F.struct("referrer_rank", "source_url", "link_text"))).alias("_r")
     ).select(
@@ -178,7 +192,7 @@ def referrers_per_target(links: DataFrame, limit: int = MAX_REFERRERS, source_ra
         F.transform("_r", lambda r: F.struct(r["source_url"].alias("url"), r["link_text"].alias("link_text")))
         .alias("referring_pages"),
     )
-    return lists.join(distinct_sources, ["site", "target_norm"])
+    return lists.join(counts, ["site", "target_norm"])
 
 
 def attach_referrers(pages: DataFrame, referrers: DataFrame, url_col: str = "url") -> DataFrame:
@@ -229,21 +243,22 @@ def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html")
     """For (target_url, source_url, link_text) rows find the first
     candidate in the source HTML; 1-based line and column and match length,
     (0, 0, 0) when nothing matches."""
-    src = pages.select(F.col("url").alias("source_url"), F.col(html_col).alias("_html"))
+    src = pages.select(F.col("url").alias("source_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     joined = dead.join(src, "source_url", "left")
     html = F.coalesce(F.col("_html"), F.lit(""))
     cands = locate_candidates(F.col("target_url"), F.col("source_url"), F.col("link_text"))
-    hit = F.get(F.filter(cands, lambda c: F.instr(html, c) > 0), 0)
-    idx = F.instr(html, hit)  # 1-based
-    prefix = F.substring(html, 1, idx - 1)
-    line = F.size(F.split(prefix, "\n", -1))
-    last_nl = F.length(prefix) - F.length(F.regexp_extract(prefix, r"([^\n]*)$", 1))
-    column = idx - last_nl
-    found = hit.isNotNull()
-    located = joined.select(
+    # staged: the first matching candidate, then its offset, then line/column
+    step = joined.select("*", F.get(F.filter(cands, lambda c: F.instr(html, c) > 0), 0).alias("_hit"))
+    step = step.select("*", F.instr(html, F.col("_hit")).alias("_idx"))
+    step = step.select("*", F.substring(html, 1, F.col("_idx") - 1).alias("_prefix"))
+    prefix = F.col("_prefix")
+    newlines = F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit("")))
+    last_line = F.length(F.regexp_extract(prefix, r"([^\n]*)$", 1))
+    found = F.col("_hit").isNotNull()
+    located = step.select(
         "*",
-        F.when(found, line).otherwise(0).cast("int").alias("line"),
-        F.when(found, column).otherwise(0).cast("int").alias("column"),
-        F.when(found, F.char_length(hit)).otherwise(0).cast("int").alias("match_length"),
+        F.when(found, newlines + 1).otherwise(0).cast("int").alias("line"),
+        F.when(found, last_line + 1).otherwise(0).cast("int").alias("column"),
+        F.when(found, F.char_length("_hit")).otherwise(0).cast("int").alias("match_length"),
     )
-    return located.drop("_html")
+    return located.drop("_html", "_hit", "_idx", "_prefix")

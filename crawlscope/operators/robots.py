@@ -71,10 +71,16 @@ def robots_path(url: Column) -> Column:
     return F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path)
 
 
-def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+def prepare_rules(rules: DataFrame) -> DataFrame:
+    """The rule columns J2 needs, broadcast when the table is provably small."""
+    return broadcast_if_small(rules.select("site", "regex", "length", "allow"))
+
+
+def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False) -> DataFrame:
     """``allowed`` per (site, url). Longest matching pattern wins, Allow
-    wins ties, no match means allowed."""
-    r = broadcast_if_small(rules.select("site", "regex", "length", "allow"))
+    wins ties, no match means allowed. ``prepared`` = rules already passed
+    through ``prepare_rules`` (skips the size check)."""
+    r = rules if prepared else prepare_rules(rules)
     keyed = urls.select("site", F.col(url_col).alias("_u")).distinct().withColumn("_path", robots_path(F.col("_u")))
     hits = keyed.join(r, "site").where(F.expr("_path rlike regex"))
     best = hits.groupBy("site", "_u").agg(F.max_by("allow", F.struct("length", "allow")).alias("_allow"))

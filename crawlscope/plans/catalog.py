@@ -289,8 +289,8 @@ def _seo_cols(df: DataFrame) -> DataFrame:
 @query("html7_seo", f"SELECT page_id, url, {_seo_sql(O.clean('html'))} FROM pages")
 def html7_seo(spark, d):
     """HTML7: SEO record of every stored page."""
-    pages = _pages(spark, d)
-    return _seo_cols(pages.select("page_id", "url", H.seo(H.clean(F.col("html"))).alias("seo")))
+    pages = _pages(spark, d).select("page_id", "url", H.clean(F.col("html")).alias("_markup"))
+    return _seo_cols(pages.select("page_id", "url", H.seo(F.col("_markup")).alias("seo")))
 
 
 @query("html6_forms", f"SELECT page_id, url, regexp_matches({O.clean('html')}, '(?i)<form[\\s>/]') AS has_form FROM pages")

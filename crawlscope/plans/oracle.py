@@ -58,7 +58,7 @@ def _dots(path: str) -> str:
            f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
     fixed = f"(CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({red}, '') ELSE {red} END)"
     j = f"array_to_string({fixed}, '/')"
-    return f"(CASE WHEN {j} = '' THEN '/' ELSE {j} END)"
+    return f"regexp_replace((CASE WHEN {j} = '' THEN '/' ELSE {j} END), '^([^/])', '/\\1')"
 
 
 def resolve(base: str, href: str) -> str:

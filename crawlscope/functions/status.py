@@ -47,6 +47,16 @@ def page_status(http_status_code: Column, redirect_url: Column, error_message: C
     )
 
 
+def redirect_status_code(history_codes: Column, final_code: Column, rendered: bool = False) -> Column:
+    """FLT2: a redirected fetch reports its first hop's code, not the final
+    answer's; the rendered mode cannot see hops and reports 301."""
+    redirected = F.coalesce(F.size(history_codes), F.lit(0)) > 0
+    first = F.element_at(history_codes, 1)
+    if rendered:
+        return F.when(redirected, F.lit(301)).otherwise(final_code)
+    return F.when(redirected, first).otherwise(final_code)
+
+
 def is_error(status: Column, http_status_code: Column) -> Column:
     """FLT3: redirects never; else code >= 400 or status error/timeout."""
     return ~status.isin(*REDIRECT_STATUSES) & ((http_status_code >= 400) | status.isin("error", "timeout"))

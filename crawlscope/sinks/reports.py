@@ -101,3 +101,45 @@ def snippet(html: Column, line: Column, source_url: Column, target_url: Column,
     found = (line > 0) & (line <= n)
     return F.when(found, F.concat(head, F.lit("Line "), line.cast("string"), F.lit(":\n\n"), body, F.lit("\n"))).otherwise(
         F.concat(head, F.lit("(link not found in the HTML)\n")))
+
+
+def write_lines_per_site(lines: DataFrame, path: str, header: list[str] | None = None, order: str = "url") -> None:
+    """Write one text file per site: optional header lines, then the rows in
+    ``order``. Rows are range-sorted by (site, key) so no site is gathered in
+    the driver; Spark's text writer puts each site's rows in its own folder."""
+    rows = lines.select("site", F.lit(1).alias("_k"), F.col(order).alias("_o"), "line")
+    if header:
+        sites = lines.select("site").distinct()
+        hdr = None
+        for i, text in enumerate(header):
+            h = sites.select("site", F.lit(0).alias("_k"), F.lpad(F.lit(str(i)), 8, "0").alias("_o"),
+                             F.lit(text).alias("line"))
+            hdr = h if hdr is None else hdr.unionByName(h)
+        rows = hdr.unionByName(rows)
+    (rows.repartitionByRange("site", "_k", "_o").sortWithinPartitions("site", "_k", "_o").drop("_k", "_o")
+     .write.mode("overwrite").partitionBy("site").text(path))
+
+
+def write_markdown_table(errors: DataFrame, path: str) -> None:
+    """SNK5 file: header, separator and one row per dead link, per site; no
+    file for a site without errors."""
+    write_lines_per_site(markdown_rows(errors), path, markdown_header())
+
+
+def write_wiki_table(errors: DataFrame, path: str) -> None:
+    """SNK6 file."""
+    write_lines_per_site(wiki_rows(errors), path, [wiki_header()])
+
+
+def write_error_report(errors: DataFrame, counters: DataFrame, path: str) -> None:
+    """SNK3 as JSON lines per site (summary first, then the dead links)."""
+    lines = error_report_lines(errors, counters).select(
+        "site", F.col("json").alias("line"), F.when(F.col("kind") == "summary", F.lit("")).otherwise(
+            F.get_json_object("json", "$.url")).alias("url"))
+    write_lines_per_site(lines, path)
+
+
+def write_forms_report(results: DataFrame, path: str) -> None:
+    """SNK4: sorted form-page URLs per site, one JSON string per line."""
+    rows = forms_rows(results).select("site", "url", F.to_json(F.struct("url")).alias("line"))
+    write_lines_per_site(rows, path)

@@ -108,6 +108,19 @@ def dedup_discoveries(discoveries: DataFrame, delay: str = "10 minutes") -> Data
     return discoveries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host", "url"])
 
 
+# --- UDF1: result callback --------------------------------------------------
+
+def for_each_result_batch(results: DataFrame, user_fn, checkpoint: str | None = None, available_now: bool = True):
+    """UDF1: call ``user_fn(batch_df, batch_id)`` for every micro-batch of
+    results (the reference's per-result callback, batched). Returns the query."""
+    spark = results.sparkSession
+    writer = results.writeStream.foreachBatch(user_fn).option(
+        "checkpointLocation", checkpoint or _scratch(spark, "callback"))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 # --- STR1: live page state --------------------------------------------------
 
 def append_result_log(results: DataFrame, path: str) -> DataFrame:
@@ -118,9 +131,7 @@ def append_result_log(results: DataFrame, path: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
 
-    q = (results.writeStream.foreachBatch(write).option("checkpointLocation", _scratch(spark, "result-log"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    for_each_result_batch(results, write, _scratch(spark, "result-log")).awaitTermination()
     return spark.read.parquet(path)
 
 

@@ -77,3 +77,18 @@ def test_head_get_merge_and_summary(spark):
     assert lines["https://s/c.pdf"] == "206\t2,0 KB\thttps://s/c.pdf\thttps://s/p3"
     assert lines["https://s/b.pdf"] == "404\t\thttps://s/b.pdf\thttps://s/p2"
     assert lines["https://test.s/d.pdf"].startswith("no answer\t\t")
+
+
+def test_tracker_table_file_per_site(spark):
+    import glob
+    import os
+    import tempfile
+    out = tempfile.mkdtemp(prefix="tracker-test-")
+    errors = _errors(spark).unionByName(spark.createDataFrame(
+        [("t", "https://t/z", "error", 500, [])], ERR_SCHEMA))
+    RP.write_markdown_table(errors, out)
+    files = sorted(glob.glob(os.path.join(out, "site=s", "*.txt")))
+    lines = [line.rstrip("\n") for f in files for line in open(f, encoding="utf-8")]
+    assert lines[:2] == RP.markdown_header()
+    assert sorted(lines[2:]) == sorted(r.line for r in RP.markdown_rows(_errors(spark)).collect())
+    assert os.path.isdir(os.path.join(out, "site=t"))

@@ -128,9 +128,10 @@ def text_of(fragment: Column) -> Column:
     return F.array_join(F.transform(nodes, lambda n: strip(decode_entities(n))), "")
 
 
-def first_tag_where(markup: Column, name: str, attr_name: str, value: str) -> Column:
-    """First ``<name>`` tag whose attribute equals ``value`` (case-sensitive), or NULL."""
-    matches = F.filter(tags(markup, name), lambda t: attr(t, attr_name) == value)
+def first_tag_where(markup: Column, name: str, attr_name: str, value: str, found: Column | None = None) -> Column:
+    """First ``<name>`` tag whose attribute equals ``value`` (case-sensitive), or
+    NULL. ``found`` = the already extracted ``tags(markup, name)``."""
+    matches = F.filter(found if found is not None else tags(markup, name), lambda t: attr(t, attr_name) == value)
     return F.get(matches, 0)
 
 
@@ -139,27 +140,27 @@ def has_form(markup: Column) -> Column:
     return markup.rlike(r"(?i)<form[\s>/]")
 
 
-def seo(markup: Column) -> Column:
-    """HTML7: the SEO record as a struct (empty string / 0 / false when missing)."""
+def seo(markup: Column, metas: Column | None = None, links: Column | None = None) -> Column:
+    """HTML7: the SEO record as a struct (empty string / 0 / false when missing).
+    ``metas``/``links`` = the document's ``<meta>``/``<link>`` tags when the
+    caller has extracted them once already (one scan of the markup each)."""
+    metas = metas if metas is not None else tags(markup, "meta")
+    links = links if links is not None else tags(markup, "link")
     title_inner = F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    description_tag = first_tag_where(markup, "meta", "name", "description")
+    description_tag = first_tag_where(markup, "meta", "name", "description", metas)
     canonical = F.get(
-        F.filter(tags(markup, "link"), lambda t: F.array_contains(F.split(strip(attr(t, "rel")), rf"{WS}+"), "canonical")),
-        0,
-    )
+        F.filter(links, lambda t: F.array_contains(F.split(strip(attr(t, "rel")), rf"{WS}+"), "canonical")), 0)
     html_tag = F.get(tags(markup, "html"), 0)
-    robots_tag = first_tag_where(markup, "meta", "name", "robots")
-    og = F.filter(
-        F.array(*[F.lit(p) for p in OG_PROPERTIES]),
-        lambda p: F.exists(tags(markup, "meta"), lambda t: attr(t, "property") == p),
-    )
+    robots_tag = first_tag_where(markup, "meta", "name", "robots", metas)
+    props = F.transform(metas, lambda t: attr(t, "property"))
+    og = F.filter(F.array(*[F.lit(p) for p in OG_PROPERTIES]), lambda p: F.array_contains(props, p))
     return F.struct(
         text_of(title_inner).alias("title"),
         F.coalesce(strip(attr(description_tag, "content")), F.lit("")).alias("description"),
         F.regexp_count(markup, F.lit(r"(?i)<h1[\s>/]")).cast("int").alias("h1_count"),
         F.coalesce(attr(canonical, "href"), F.lit("")).alias("canonical"),
         F.coalesce(attr(html_tag, "lang"), F.lit("")).alias("lang"),
-        first_tag_where(markup, "meta", "name", "viewport").isNotNull().alias("has_viewport"),
+        first_tag_where(markup, "meta", "name", "viewport", metas).isNotNull().alias("has_viewport"),
         F.coalesce(attr(robots_tag, "content"), F.lit("")).alias("robots"),
         og.alias("og_tags"),
     )

@@ -205,8 +205,9 @@ def attach_referrers(pages: DataFrame, referrers: DataFrame, url_col: str = "url
     )
 
 
-def locate_candidates(target_url: Column, source_url: Column, link_text: Column) -> Column:
-    """J11 helper: the ordered, de-duplicated search strings for a dead link."""
+def locate_candidates(target_url: Column, source_url: Column, link_text: Column) -> list[Column]:
+    """J11 helper: the ordered search strings for a dead link (absent ones are
+    NULL; duplicates cannot change which one is found first)."""
     path = U.url_part(target_url, "path")
     t_netloc = U.url_part(target_url, "netloc")
     src_path = U.url_part(source_url, "path")
@@ -223,7 +224,7 @@ def locate_candidates(target_url: Column, source_url: Column, link_text: Column)
     def opt(cond: Column, value: Column) -> Column:
         return F.when(cond, value)
 
-    cands = F.array(
+    return [
         target_url,
         opt(target_url.contains("#"), F.split_part(target_url, F.lit("#"), F.lit(1))),
         opt(target_url.contains("?"), F.split_part(target_url, F.lit("?"), F.lit(1))),
@@ -235,8 +236,7 @@ def locate_candidates(target_url: Column, source_url: Column, link_text: Column)
         opt(has_path & (F.char_length(last) >= 3), F.concat(F.lit("'"), last, F.lit("'"))),
         opt(decoded != target_url, decoded),
         opt(F.char_length(text) >= 2, F.concat(F.lit(">"), text, F.lit("<"))),
-    )
-    return F.array_distinct(F.filter(cands, lambda c: c.isNotNull() & (c != "")))
+    ]
 
 
 def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -248,7 +248,16 @@ def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html")
     html = F.coalesce(F.col("_html"), F.lit(""))
     cands = locate_candidates(F.col("target_url"), F.col("source_url"), F.col("link_text"))
     # staged: the first matching candidate, then its offset, then line/column
-    step = joined.select("*", F.get(F.filter(cands, lambda c: F.instr(html, c) > 0), 0).alias("_hit"))
+    # candidates as columns, then the first one present in the page: a CASE
+    # chain stops at the first hit
+    names = [f"_c{i}" for i in range(len(cands))]
+    staged = joined.select("*", *[c.alias(n) for c, n in zip(cands, names)])
+    first_hit = None
+    for n in names:
+        c = F.col(n)
+        cond = (c != "") & (F.instr(html, c) > 0)
+        first_hit = F.when(cond, c) if first_hit is None else first_hit.when(cond, c)
+    step = staged.select("*", first_hit.alias("_hit")).drop(*names)
     step = step.select("*", F.instr(html, F.col("_hit")).alias("_idx"))
     step = step.select("*", F.substring(html, 1, F.col("_idx") - 1).alias("_prefix"))
     prefix = F.col("_prefix")

@@ -55,8 +55,10 @@ def with_findings(pages: DataFrame, html_col: str = "html") -> DataFrame:
     markup = F.regexp_replace(decommented, H.SCRIPT_STYLE_RE, "")
     headers = F.transform_keys(F.coalesce(F.col("response_headers"), _empty_headers()), lambda k, v: F.lower(k))
     out = pages.withColumn("_markup", markup).withColumn("_decommented", decommented).withColumn("_h", headers)
+    # each tag family is scanned out of the document once
+    out = out.withColumn("_metas", H.tags(F.col("_markup"), "meta")).withColumn("_links", H.tags(F.col("_markup"), "link"))
     out = out.withColumn("has_form", H.has_form(F.col("_markup")))
-    out = out.withColumn("seo", H.seo(F.col("_markup")))
+    out = out.withColumn("seo", H.seo(F.col("_markup"), F.col("_metas"), F.col("_links")))
     out = out.withColumn("tech", H.tech(F.col("_decommented"), F.col("_h")))
     out = out.withColumn("http_details", H.interesting_headers(F.col("_h")))
     out = out.withColumn(
@@ -64,4 +66,4 @@ def with_findings(pages: DataFrame, html_col: str = "html") -> DataFrame:
         H.issues(F.col("http_status_code"), F.col("content_type"), F.col("seo"), F.col("load_time_ms"),
                  F.col("page_size")),
     )
-    return out.drop("_markup", "_decommented", "_h")
+    return out.drop("_markup", "_decommented", "_h", "_metas", "_links")

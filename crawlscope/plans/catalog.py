@@ -290,7 +290,9 @@ def _seo_cols(df: DataFrame) -> DataFrame:
 def html7_seo(spark, d):
     """HTML7: SEO record of every stored page."""
     pages = _pages(spark, d).select("page_id", "url", H.clean(F.col("html")).alias("_markup"))
-    return _seo_cols(pages.select("page_id", "url", H.seo(F.col("_markup")).alias("seo")))
+    pages = pages.select("*", H.tags(F.col("_markup"), "meta").alias("_metas"),
+                         H.tags(F.col("_markup"), "link").alias("_links"))
+    return _seo_cols(pages.select("page_id", "url", H.seo(F.col("_markup"), F.col("_metas"), F.col("_links")).alias("seo")))
 
 
 @query("html6_forms", f"SELECT page_id, url, regexp_matches({O.clean('html')}, '(?i)<form[\\s>/]') AS has_form FROM pages")

@@ -6,7 +6,8 @@ without putting a whole group into one task: rows are range-partitioned on
 sorted locally, and a small per-(group, partition) count table gives every
 partition its offset. The count table has at most one row per group and
 partition; it is joined back by broadcast only when its size is checked
-to be small, otherwise by a shuffled join.
+to be small, otherwise by a shuffled join. The numbered rows are written
+once (reliable checkpoint) because they are read twice.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .joins import broadcast_if_small
 
 # --- fixed values -----------------------------------------------------------
@@ -35,6 +37,10 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mono", F.monotonically_increasing_id())
     )
+    # read twice (counts and rows): written once, so both see the same
+    # partition ids even when the upstream order is not deterministic
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy(*group_cols, "_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")
     )

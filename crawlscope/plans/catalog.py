@@ -335,7 +335,8 @@ def _tech_sql() -> str:
                          (H.POWERED_BY_MARKERS, "lower(h_powered)")):
         for needle, name in needles:
             parts.append(f"CASE WHEN contains({src}, {lit(needle)}) THEN {lit(name)} END")
-    return f"array_to_string(list_distinct_ordered(list_value({', '.join(parts)})), ',')"
+    found = f"list_filter(list_value({', '.join(parts)}), lambda x: x IS NOT NULL)"
+    return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), ',')"
 
 
 @query("html10_issues", with_(SQL_F2) + f"""
@@ -346,7 +347,7 @@ def html10_issues(spark, d):
     return out.select("url", F.array_join("issues", ",").alias("issues"))
 
 
-@query("html8_tech", None)
+@query("html8_tech", with_(SQL_F2) + f"SELECT url, {_tech_sql()} AS tech FROM f2")
 def html8_tech(spark, d):
     """HTML8: technologies from generator meta, script/link URLs and headers."""
     out = P.with_findings(FX.fetch_log(spark, d))
@@ -372,7 +373,10 @@ def agg12_issue_frequency(spark, d):
     return ST.issue_frequency(P.with_findings(FX.fetch_log(spark, d)), "issues", "issue")
 
 
-@query("agg12_tech_frequency", None)
+@query("agg12_tech_frequency", with_(SQL_F2) + f"""
+SELECT site, technology, CAST(count(*) AS BIGINT) AS pages FROM (
+  SELECT site, unnest(string_split({_tech_sql()}, ',')) AS technology FROM f2) WHERE technology <> ''
+GROUP BY site, technology""")
 def agg12_tech_frequency(spark, d):
     """AGG12: pages per (site, technology)."""
     return ST.issue_frequency(P.with_findings(FX.fetch_log(spark, d)), "tech", "technology")

@@ -163,6 +163,18 @@ def dt1_content_age(spark, d):
     return RU.content_age(fixture_pages(spark, d), AS_OF)
 
 
+@query("dt1_last_modified_display", with_(SQL_F2) + """
+, t AS (SELECT url, last_modified, try_strptime(regexp_replace(regexp_replace(trim(last_modified), '^[A-Za-z]{3},\\s*', ''),
+          '\\s+(GMT|UTC)$', ''), '%d %b %Y %H:%M:%S') AS ts FROM r2)
+SELECT url, CASE WHEN last_modified = '' THEN '' WHEN ts IS NULL THEN substr(last_modified, 1, 10)
+  ELSE strftime(ts, '%Y-%m-%d') END AS last_modified_date FROM t""")
+def dt1_last_modified_display(spark, d):
+    """DT1: Last-Modified text as an ISO date ('' when empty, first 10
+    characters when unparseable)."""
+    r = fixture_pages(spark, d)
+    return r.select("url", RU.last_modified_display(F.col("last_modified")).alias("last_modified_date"))
+
+
 @query("srt1_sort_results", with_(SQL_F2) + """
 SELECT site, url, last_modified, CAST(row_number() OVER (PARTITION BY site ORDER BY last_modified = '', last_modified, url)
   AS BIGINT) AS sort_pos FROM r2""")

@@ -9,10 +9,11 @@ keeps their partitioning, so every level shuffles only its frontier:
 
 Per level: robots test (J2) -> join with fetches -> status (FLT1) -> gate
 (HTML5) -> join with links -> first discovery per target (W4, an aggregate)
--> anti join with the seen set -> next frontier. Each level's rows, expanded
-links and next frontier are written with a reliable ``checkpoint()`` to the
-session's checkpoint folder (three writes per level), so the plan never
-grows and a lost executor only recomputes within one level. The loop ends on an empty frontier or after
+-> anti join with the seen set -> next frontier. Each level's expanded links
+(read three times: counts, file links, next frontier; written once so the
+link table is scanned once per level) and next frontier are written with a
+reliable ``checkpoint()`` to the session's checkpoint folder, so the plan
+never grows and a lost executor only recomputes within one level. The loop ends on an empty frontier or after
 ``max_depth`` levels; the only driver-side work is one count per level.
 """
 
@@ -140,7 +141,9 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
             & is_link_extractable(F.col("http_status_code"), F.col("content_type"), F.col("redirect_url"),
                                   F.col("site"))
         )
-        rows = rows.withColumn("_expand", gate).checkpoint(eager=True)
+        # rows depend only on checkpointed inputs (frontier, fetch log) and the
+        # broadcast rules, so they are recomputed cheaply instead of written
+        rows = rows.withColumn("_expand", gate)
         expanded = rows.where("_expand").select("site", F.col("url").alias("source_url"),
                                                 F.col("depth").alias("source_depth"))
         out = expanded.join(lk, ["site", "source_url"]).checkpoint(eager=True)

@@ -51,20 +51,20 @@ def run_counters(spark, d) -> DataFrame:
 @query("agg9_run_duration", with_(SQL_F8) + """
 , d AS (SELECT f9.run_id, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS secs,
            (SELECT count(*) FROM f8r WHERE f8r.run_id = f9.run_id) AS crawled FROM f9)
-SELECT run_id, round(secs, 3) AS duration_seconds,
+SELECT run_id, CAST(round(secs, 3) AS DECIMAL(18,3)) AS duration_seconds,
   CASE WHEN secs < 60 THEN CAST(CAST(round_even(secs, 0) AS BIGINT) AS VARCHAR) || 's'
        WHEN floor(secs / 60) < 60 THEN CAST(CAST(floor(secs / 60) AS BIGINT) AS VARCHAR) || 'm '
             || CAST(CAST(floor(secs % 60) AS BIGINT) AS VARCHAR) || 's'
        ELSE CAST(CAST(floor(floor(secs / 60) / 60) AS BIGINT) AS VARCHAR) || 'h '
             || CAST(CAST(floor(secs / 60) % 60 AS BIGINT) AS VARCHAR) || 'm' END AS duration_display,
-  round(CASE WHEN secs > 0 THEN crawled / secs ELSE 0 END, 6) AS urls_per_second
+  CAST(round(CASE WHEN secs > 0 THEN crawled / secs ELSE 0 END, 6) AS DECIMAL(18,6)) AS urls_per_second
 FROM d""")
 def agg9_run_duration(spark, d):
     """AGG9: duration, display text and crawl rate per run."""
     crawled = run_counters(spark, d).select("run_id", "total_crawled")
     out = ST.run_duration(FX.runs(spark, d), crawled)
-    return out.select("run_id", F.round("duration_seconds", 3).alias("duration_seconds"), "duration_display",
-                      F.round("urls_per_second", 6).alias("urls_per_second"))
+    return out.select("run_id", F.round("duration_seconds", 3).cast("decimal(18,3)").alias("duration_seconds"),
+                      "duration_display", F.round("urls_per_second", 6).cast("decimal(18,6)").alias("urls_per_second"))
 
 
 @query("snk10_run_stats", with_(SQL_F8) + f"""
@@ -139,12 +139,13 @@ W8_RATE = 60
 , s AS (SELECT host, url, ts, row_number() OVER (PARTITION BY host ORDER BY ts, url) AS i, epoch_us(ts) / 1e6 AS t FROM f8),
 k AS (SELECT *, (i - 1) * {60.0 / W8_RATE} + max(t - (i - 1) * {60.0 / W8_RATE}) OVER (PARTITION BY host ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS planned FROM s)
-SELECT host, url, CAST(i AS BIGINT) AS request_no, round(planned, 3) AS planned_at, round(planned - t, 3) AS delay_s FROM k""")
+SELECT host, url, CAST(i AS BIGINT) AS request_no, CAST(round(planned, 3) AS DECIMAL(18,3)) AS planned_at,
+  CAST(round(planned - t, 3) AS DECIMAL(18,3)) AS delay_s FROM k""")
 def w8_politeness(spark, d):
     """Planned send time and delay per request at 60 requests/minute."""
     out = RU.politeness_schedule(FX.request_log(spark, d), W8_RATE)
-    return out.select("host", "url", "request_no", F.round("planned_at", 3).alias("planned_at"),
-                      F.round("delay_s", 3).alias("delay_s"))
+    return out.select("host", "url", "request_no", F.round("planned_at", 3).cast("decimal(18,3)").alias("planned_at"),
+                      F.round("delay_s", 3).cast("decimal(18,3)").alias("delay_s"))
 
 
 def attempt_log(spark, d) -> DataFrame:
@@ -166,12 +167,13 @@ def attempt_log(spark, d) -> DataFrame:
           CASE WHEN status_code = 500 THEN 'timed out' ELSE '' END AS error_message, elapsed_ms FROM f8)
 SELECT url, CAST(count(*) AS BIGINT) AS attempts, arg_max(status_code, (ts, event_id)) AS status_code,
   arg_max(error_message, (ts, event_id)) AS error_message,
-  round(sum(elapsed_ms) + count(*) * (count(*) - 1) * 1000.0, 6) AS load_time_ms
+  CAST(round(sum(elapsed_ms) + count(*) * (count(*) - 1) * 1000.0, 6) AS DECIMAL(18,6)) AS load_time_ms
 FROM a GROUP BY url""")
 def w10_final_attempt(spark, d):
     """Final attempt per URL and load time over all attempts and waits."""
     out = RU.final_attempts(attempt_log(spark, d))
-    return out.select("url", "attempts", "status_code", "error_message", F.round("load_time_ms", 6).alias("load_time_ms"))
+    return out.select("url", "attempts", "status_code", "error_message",
+                      F.round("load_time_ms", 6).cast("decimal(18,6)").alias("load_time_ms"))
 
 
 @query("flt14_all_redirected", with_(SQL_F8) + f"""

@@ -17,17 +17,18 @@ EXTENSION_SELECTION = "pdf; .DOCX"
 SQL_F6 = f"""
 f6 AS (
   SELECT {lit(FX.SITE)} AS site, {lit(FX.SITE_SCHEME)} AS site_scheme, page_id, '{FX.BASE}/p/' || CAST(page_id AS VARCHAR) AS url,
-    '<html><body><p><a href="https://' ||
+    '<html><body>' || CASE WHEN page_id % 5 = 0 THEN '<p><a href="https://' ||
       CASE WHEN page_id % 3 = 0 THEN 'www.site.example' WHEN page_id % 3 = 1 THEN 'site.example' ELSE 'test.site.example' END
       || '/files/doc' || CAST(page_id % 20 AS VARCHAR) || '.pdf">Document ' || CAST(page_id % 20 AS VARCHAR) || '</a></p>'
+      ELSE '<p>no files</p>' END
       || CASE WHEN page_id % 25 = 10 THEN '<iframe src="https://solar.site.example/files/doc' || CAST(page_id % 20 AS VARCHAR)
               || '.pdf"></iframe>' ELSE '' END
       || CASE WHEN page_id % 10 = 0 THEN '<embed src="/files/doc' || CAST(page_id % 20 AS VARCHAR) || '.pdf?v=2">' ELSE '' END
       || '<a href="https://site.example/p/1">page</a></body></html>' AS html
-  FROM pages WHERE page_id % 5 = 0)"""
+  FROM pages)"""
 
 SQL_F7 = f"""
-docs AS (SELECT DISTINCT page_id % 20 AS doc FROM pages WHERE page_id % 5 = 0),
+docs AS (SELECT DISTINCT page_id % 20 AS doc FROM f6 WHERE contains(html, '/files/doc')),
 f7 AS (
   SELECT '{FX.BASE}/files/doc' || CAST(doc AS VARCHAR) || '.pdf' AS url, 'HEAD' AS method,
     CASE WHEN doc = 5 THEN 405 WHEN doc = 10 THEN 404 ELSE 200 END AS status_code, 'application/pdf' AS content_type,
@@ -107,7 +108,7 @@ def flt9_extension_filter(spark, d):
     return FL.extension_filter(first_sources(spark, d), FL.parse_extensions(EXTENSION_SELECTION)).select("site", "url")
 
 
-@query("j9_head_get", with_(SQL_F7) + "SELECT url, status_code, content_type, size_bytes, checked_by_get FROM j9s")
+@query("j9_head_get", with_(SQL_F6, SQL_F7) + "SELECT url, status_code, content_type, size_bytes, checked_by_get FROM j9s")
 def j9_head_get(spark, d):
     """HEAD answers with the GET fallback for 405/501 and the size rule."""
     return FL.merge_head_get(FX.file_check_answers(spark, d))

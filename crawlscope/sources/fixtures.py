@@ -190,17 +190,20 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page markup with links to documents (site, site_scheme, url, html)."""
+    """page markup of every page (site, site_scheme, url, html). Pages with
+    page_id divisible by 5 link a document (on www., bare, or test.), every
+    tenth also embeds it with a query string, and some also frame a copy on a
+    sister sub-domain; every page links a page on the bare host."""
     i = F.col("page_id")
     doc = F.concat(F.lit("/files/doc"), (i % 20).cast("string"), F.lit(".pdf"))
     host = F.when(i % 3 == 0, F.lit("www.site.example")).when(i % 3 == 1, F.lit("site.example")).otherwise(
         F.lit("test.site.example"))
-    main = F.concat(F.lit('<p><a href="https://'), host, doc, F.lit('">Document '), (i % 20).cast("string"),
-                    F.lit("</a></p>"))
+    main = F.when(i % 5 == 0, F.concat(F.lit('<p><a href="https://'), host, doc, F.lit('">Document '),
+                                       (i % 20).cast("string"), F.lit("</a></p>"))).otherwise(F.lit("<p>no files</p>"))
     sister = F.when(i % 25 == 10, F.concat(F.lit('<iframe src="https://solar.site.example'), doc,
                                             F.lit('"></iframe>'))).otherwise(F.lit(""))
     embed = F.when(i % 10 == 0, F.concat(F.lit('<embed src="'), doc, F.lit('?v=2">'))).otherwise(F.lit(""))
-    return _read(spark, sf_dir, "pages").where(i % 5 == 0).select(
+    return _read(spark, sf_dir, "pages").select(
         F.lit(SITE).alias("site"), F.lit(SITE_SCHEME).alias("site_scheme"), i.alias("page_id"),
         _page_url(i).alias("url"),
         F.concat(F.lit("<html><body>"), main, sister, embed, F.lit('<a href="https://site.example/p/1">page</a>'),
@@ -211,7 +214,8 @@ def file_link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """logged HEAD and GET answers per document URL (url, method, status_code,
     content_type, content_length, content_range)."""
-    docs = file_link_pages(spark, sf_dir).select((F.col("page_id") % 20).alias("doc")).distinct()
+    docs = file_link_pages(spark, sf_dir).where(F.col("html").contains("/files/doc")).select(
+        (F.col("page_id") % 20).alias("doc")).distinct()
     d = F.col("doc")
     url = F.concat(F.lit(f"{BASE}/files/doc"), d.cast("string"), F.lit(".pdf"))
     length = (d + 1) * 1000

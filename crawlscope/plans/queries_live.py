@@ -96,3 +96,12 @@ def udf3_links_udtf(spark, d):
 
 ORACLE["udf2_exact_links"] = ORACLE["html1_links"]
 ORACLE["udf3_links_udtf"] = ORACLE["html1_links"]
+
+
+@query("udf2_exact_seo")
+def udf2_exact_seo(spark, d):
+    """UDF2: HTML7 in exact-HTML mode (stdlib parser in mapInPandas)."""
+    return X.seo_exact(_pages(spark, d))
+
+
+ORACLE["udf2_exact_seo"] = ORACLE["html7_seo"]

@@ -72,10 +72,10 @@ def str1_live_page_state(spark, d):
 
 @query("str4_referrer_buffer")
 def str4_referrer_buffer(spark, d):
-    """STR4: referrers held in keyed state until their target is fetched
-    (at most 50 distinct sources per target)."""
+    """STR4: referrers held in keyed state (salted by source) until their
+    target is fetched; at most the first 50 distinct sources per target."""
     events = LV.link_and_page_events(LV.request_stream(LV.event_stream(spark, d)))
-    return LV.run_to_table(LV.referrer_buffer(events), "append")
+    return LV.cap_referrers(LV.run_to_table(LV.referrer_buffer(events), "append"))
 
 
 @query("udf2_exact_links")

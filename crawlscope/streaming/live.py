@@ -151,8 +151,8 @@ REFERRER_STATE = "fetched BOOLEAN, sources ARRAY<STRING>, texts ARRAY<STRING>, t
 
 
 def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (target,) = key
-    if state.hasTimedOut:  # no event for this target within a day of event time
+    target = key[0]
+    if state.hasTimedOut:  # no event for this key within a day of event time
         state.remove()
         return
     fetched, sources, texts, times = (state.get if state.exists else (False, [], [], []))
@@ -177,16 +177,39 @@ def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
                             "link_text": [o[1] for o in out], "ts": [o[2] for o in out]})
 
 
-def referrer_buffer(events: DataFrame) -> DataFrame:
+REFERRER_SALTS = 16
+
+
+def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS) -> DataFrame:
     """STR4: ``events`` has (target, kind 'link'|'page', source_url,
     link_text, ts). Links seen before their target is fetched are held in
-    keyed state (distinct sources, at most 50 per target) and released when
-    the page arrives; later links pass straight through. A key idle for a
-    day of event time (past the watermark) is dropped, so state stays bounded."""
-    return events.withWatermark("ts", "1 hour").groupBy("target").applyInPandasWithState(
+    keyed state and released when the page arrives; later links pass
+    straight through. A key idle for a day of event time (past the watermark)
+    is dropped, so state stays bounded.
+
+    The state key is (target, salt) with salt = hash(source) mod ``salts``:
+    a hot target is spread over ``salts`` tasks, each keeping its first 50
+    distinct sources, and page events go to every salt of their target. The
+    union of the per-salt lists contains the target's first 50 sources;
+    ``cap_referrers`` keeps exactly those."""
+    return _salted(events, salts).withWatermark("ts", "1 hour").groupBy("target", "salt").applyInPandasWithState(
         _referrer_state, REFERRER_OUT, REFERRER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _salted(events: DataFrame, salts: int) -> DataFrame:
+    pages = events.where(F.col("kind") == "page").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    links = events.where(F.col("kind") != "page").withColumn("salt", F.pmod(F.xxhash64("source_url"), F.lit(salts)))
+    return pages.unionByName(links)
+
+
+def cap_referrers(released: DataFrame, limit: int = MAX_REFERRERS) -> DataFrame:
+    """Final per-target cap over the released rows of all salts: the first
+    ``limit`` sources by (ts, source). Planned as a window group limit, so each
+    map task passes at most ``limit`` rows per target to the shuffle."""
+    w = Window.partitionBy("target").orderBy("ts", "source_url")
+    return released.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= limit).drop("_rk")
+
+
 def link_and_page_events(requests: DataFrame) -> DataFrame:
     """STR4 input from the request log: every request is a page fetch of its
     URL; it links the host's home page (a hot target) and the URL of the next
@@ -208,6 +231,6 @@ def status_of_requests(requests: DataFrame) -> DataFrame:
 
 __all__ = [
     "Window", "append_result_log", "block_alarm", "dedup_discoveries", "event_stream", "latest_rows",
-    "link_and_page_events", "live_counters", "rate_audit", "referrer_buffer", "request_stream", "run_to_table",
+    "cap_referrers", "link_and_page_events", "live_counters", "rate_audit", "referrer_buffer", "request_stream", "run_to_table",
     "status_of_requests", "window_counters",
 ]

@@ -567,7 +567,7 @@ def agg10_distinct_counts(spark, d):
 # robots.txt
 # ---------------------------------------------------------------------------
 
-@query("src5_robots_rules", with_(SQL_ROBOTS) + "SELECT site, line_no, pattern, allow, regex, length FROM rules")
+@query("src5_robots_rules", with_(SQL_ROBOTS) + "SELECT site, CAST(line_no AS INTEGER) AS line_no, pattern, allow, regex, length FROM rules")
 def src5_robots_rules(spark, d):
     """SRC5: rules of the ``*`` block of every robots file."""
     return R.robots_rules(FX.robots_files(spark, d)).select("site", F.col("line_no").cast("int").alias("line_no"),

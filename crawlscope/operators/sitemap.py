@@ -30,14 +30,16 @@ def priority(depth: Column) -> Column:
     return F.format_string("%.1f", F.bround(value, 1))
 
 
-def sitemap_rows(results: DataFrame, site_base: DataFrame | None = None) -> DataFrame:
+def sitemap_rows(results: DataFrame, site_base: DataFrame | None = None, exclude_known_errors: bool = False) -> DataFrame:
     """SET3 (+ J4, J5, W5, G5): rows of the generated sitemap per site.
 
     Direct rows: code 200 and HTML (FLT6), not de-duplicated. Resolved rows:
     the redirect target of a redirect row when its normalised form is not a
     direct page (J4), it is on the site's host (J5), and it is the first
     redirect to that target by (depth, url) (W5); it gets code 200, no
-    last-modified and the redirect's depth.
+    last-modified and the redirect's depth. ``exclude_known_errors`` also drops
+    targets that were crawled with an error code (off by default, as in the
+    reference).
     """
     direct = results.where((F.col("http_status_code") == 200) & S.is_sitemap_html(F.col("content_type"))).select(
         "site", "url", F.coalesce(F.col("last_modified"), F.lit("")).alias("last_modified"),
@@ -51,6 +53,10 @@ def sitemap_rows(results: DataFrame, site_base: DataFrame | None = None) -> Data
     redirects = redirects.withColumn("_norm", U.normalize(F.col("target")))
     on_host = (F.col("site") == "") | U.same_host(F.col("site"), U.url_part(F.col("target"), "netloc"))
     candidates = redirects.where(on_host).join(direct_norm, ["site", "_norm"], "left_anti")
+    if exclude_known_errors:
+        # option: a redirect to a page that was crawled and failed stays out
+        failed = results.where(F.col("http_status_code") >= 400).select("site", U.normalize(F.col("url")).alias("_norm"))
+        candidates = candidates.join(failed.distinct(), ["site", "_norm"], "left_anti")
     first = candidates.groupBy("site", "_norm").agg(
         F.min_by(F.struct("target", "depth"), F.struct("depth", "_from")).alias("r")
     )
@@ -79,26 +85,34 @@ def with_parts(rows: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFra
     return numbered.join(parts, "site")
 
 
-def not_in_sitemap(results: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """SET1: crawled 200 URLs missing from the published sitemap (raw text)."""
-    crawled = results.where(F.col("http_status_code") == 200).select("site", "url").distinct()
-    return crawled.join(sitemap.select("site", "url"), ["site", "url"], "left_anti")
+def _keyed(df: DataFrame, normalize: bool) -> DataFrame:
+    if normalize:
+        return df.select("site", U.normalize(F.col("url")).alias("url"))
+    return df.select("site", "url")
 
 
-def not_crawled(results: DataFrame, sitemap: DataFrame) -> DataFrame:
+def not_in_sitemap(results: DataFrame, sitemap: DataFrame, normalize: bool = False) -> DataFrame:
+    """SET1: crawled 200 URLs missing from the published sitemap (raw text by
+    default; ``normalize=True`` compares normalised URLs)."""
+    crawled = _keyed(results.where(F.col("http_status_code") == 200), normalize).distinct()
+    return crawled.join(_keyed(sitemap, normalize), ["site", "url"], "left_anti")
+
+
+def not_crawled(results: DataFrame, sitemap: DataFrame, normalize: bool = False) -> DataFrame:
     """SET2: published sitemap URLs that were not crawled with code 200."""
-    crawled = results.where(F.col("http_status_code") == 200).select("site", "url")
-    return sitemap.select("site", "url").distinct().join(crawled, ["site", "url"], "left_anti")
+    crawled = _keyed(results.where(F.col("http_status_code") == 200), normalize)
+    return _keyed(sitemap, normalize).distinct().join(crawled, ["site", "url"], "left_anti")
 
 
-def sitemap_flag(results: DataFrame, sitemap: DataFrame) -> DataFrame:
+def sitemap_flag(results: DataFrame, sitemap: DataFrame, normalize: bool = False) -> DataFrame:
     """``missing_from_sitemap`` = code 200, the site has a sitemap, and the
-    raw URL is not in it."""
-    listed = sitemap.select("site", "url").distinct().withColumn("_listed", F.lit(True))
+    URL is not in it (raw text by default)."""
+    listed = _keyed(sitemap, normalize).distinct().withColumnRenamed("url", "_key").withColumn("_listed", F.lit(True))
     sites = sitemap.select("site").distinct().withColumn("_has_sitemap", F.lit(True))
-    out = results.join(listed, ["site", "url"], "left").join(sites, "site", "left")
+    key = U.normalize(F.col("url")) if normalize else F.col("url")
+    out = results.withColumn("_key", key).join(listed, ["site", "_key"], "left").join(sites, "site", "left")
     flag = (F.col("http_status_code") == 200) & F.col("_has_sitemap").isNotNull() & F.col("_listed").isNull()
-    return out.withColumn("missing_from_sitemap", F.coalesce(flag, F.lit(False))).drop("_listed", "_has_sitemap")
+    return out.withColumn("missing_from_sitemap", F.coalesce(flag, F.lit(False))).drop("_key", "_listed", "_has_sitemap")
 
 
 def sitemap_diff(results: DataFrame, sitemap: DataFrame) -> DataFrame:

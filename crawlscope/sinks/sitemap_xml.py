@@ -19,11 +19,21 @@ def _escape(c: Column) -> Column:
                      F.lit("&gt;"))
 
 
-def url_elements(rows: DataFrame) -> DataFrame:
+def lastmod_value(last_modified: Column, mode: str = "raw") -> Column:
+    """The lastmod text: the raw Last-Modified header (reference behaviour) or,
+    with ``mode="w3c"``, a W3C datetime (NULL when unparseable)."""
+    if mode == "raw":
+        return F.coalesce(last_modified, F.lit(""))
+    from ..operators.runs import last_modified_ts
+    return F.coalesce(F.date_format(last_modified_ts(last_modified), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit(""))
+
+
+def url_elements(rows: DataFrame, lastmod: str = "raw") -> DataFrame:
     """SNK1: ``<url><loc/>[<lastmod/>]<priority/></url>`` per row; lastmod is
-    the raw Last-Modified text and only present when non-empty."""
-    lastmod = F.when(F.coalesce(F.col("last_modified"), F.lit("")) != "",
-                     F.concat(F.lit("<lastmod>"), _escape(F.col("last_modified")), F.lit("</lastmod>"))).otherwise(F.lit(""))
+    the raw Last-Modified text (or W3C with ``lastmod="w3c"``) and only
+    present when non-empty."""
+    lm = lastmod_value(F.col("last_modified"), lastmod)
+    lastmod = F.when(lm != "", F.concat(F.lit("<lastmod>"), _escape(lm), F.lit("</lastmod>"))).otherwise(F.lit(""))
     xml = F.concat(F.lit("<url><loc>"), _escape(F.col("url")), F.lit("</loc>"), lastmod, F.lit("<priority>"),
                    F.col("priority"), F.lit("</priority></url>"))
     return rows.withColumn("xml", xml)

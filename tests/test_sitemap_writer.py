@@ -86,3 +86,16 @@ def test_parse_documents(spark):
                    "bad": (False, [])}
     roots = spark.createDataFrame([("s", "idx")], "site string, doc_url string")
     assert sorted(r.url for r in SM.load_sitemap_urls(docs, roots).collect()) == ["https://s/a"]
+
+
+def test_options_normalize_and_w3c(spark):
+    res = spark.createDataFrame([("s", "https://S.example/a b", 200, "Sat, 16 May 2026 15:46:36 GMT")],
+                                "site string, url string, http_status_code int, last_modified string")
+    sm = spark.createDataFrame([("s", "https://s.example/a%20b")], "site string, url string")
+    assert SM.not_in_sitemap(res, sm).count() == 1
+    assert SM.not_in_sitemap(res, sm, normalize=True).count() == 0
+    assert SM.sitemap_flag(res, sm, normalize=True).first().missing_from_sitemap is False
+    from pyspark.sql import functions as F
+    rows = res.withColumn("priority", F.lit("1.0"))
+    xml = SX.url_elements(rows, lastmod="w3c").first().xml
+    assert "<lastmod>2026-05-16T15:46:36Z</lastmod>" in xml

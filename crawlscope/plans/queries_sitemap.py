@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
 from ..operators import ordering as OR
 from ..operators import robots as R
 from ..operators import runs as RU
@@ -15,7 +14,7 @@ from ..sinks import sitemap_xml as SX
 from ..sources import fixtures as FX
 from . import oracle as O
 from .catalog import (
-    SQL_F2, SQL_F4, SQL_ROBOTS, SQL_SET3, _HOST, _pages, fixture_pages, fixture_sitemap_rows, lit, query, with_,
+    SQL_F2, SQL_F4, SQL_ROBOTS, SQL_SET3, _pages, fixture_pages, fixture_sitemap_rows, lit, query, with_,
 )
 
 SQL_DOCS = f"""

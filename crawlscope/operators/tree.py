@@ -47,12 +47,17 @@ def choose_roots(results: DataFrame, sites: DataFrame) -> DataFrame:
 
 def page_tree(results: DataFrame, sites: DataFrame, max_levels: int = 1000) -> DataFrame:
     """Nodes reachable from the root over parent links, breadth first with
-    a visited set: (site, url, parent_url, level, path ARRAY<STRING>). One
-    join per level, checkpointed; ends when a level adds nothing."""
+    a visited set: (site, url, parent_url, level, path ARRAY<STRING>). The
+    parent edges are hash-partitioned on (site, parent) once; each level is
+    one join of the frontier with them, checkpointed; ends when a level adds
+    nothing."""
     ensure_checkpoint_dir(results.sparkSession)
     roots = choose_roots(results, sites)
     edges = results.where(F.coalesce(F.col("parent_url"), F.lit("")) != "").select(
         "site", F.col("parent_url").alias("_p"), F.col("url"))
+    # partitioned once on the join key and kept: each level shuffles only its frontier
+    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.repartition(n, "site", "_p").checkpoint(eager=True)
     frontier = roots.select("site", F.col("root_url").alias("url"), F.lit("").alias("parent_url"),
                             F.lit(0).alias("level"), F.array(F.col("root_url")).alias("path")).checkpoint(eager=True)
     levels = [frontier]

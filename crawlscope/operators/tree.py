@@ -10,6 +10,8 @@ from ..functions import urls as U
 from ..session import ensure_checkpoint_dir
 from .ordering import sequence_within_groups
 
+VISITED_COMPACT_EVERY = 8
+
 
 def redirect_to_known(results: DataFrame) -> DataFrame:
     """``dup_redirect`` = internal redirect whose target (fragment dropped)
@@ -61,19 +63,30 @@ def page_tree(results: DataFrame, sites: DataFrame, max_levels: int = 1000) -> D
     frontier = roots.select("site", F.col("root_url").alias("url"), F.lit("").alias("parent_url"),
                             F.lit(0).alias("level"), F.array(F.col("root_url")).alias("path")).checkpoint(eager=True)
     levels = [frontier]
-    visited = frontier.select("site", "url")
+    visited_parts = [frontier.select("site", "url")]
+
+    def visited() -> DataFrame:
+        out = visited_parts[0]
+        for part in visited_parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     for level in range(1, max_levels + 1):
         nxt = frontier.select("site", F.col("url").alias("_p"), "path").join(edges, ["site", "_p"]).select(
             "site", "url", F.col("_p").alias("parent_url"), F.lit(level).alias("level"),
             F.concat("path", F.array(F.col("url"))).alias("path"))
-        nxt = nxt.join(visited, ["site", "url"], "left_anti")
+        nxt = nxt.join(visited(), ["site", "url"], "left_anti")
         nxt = nxt.groupBy("site", "url").agg(F.min_by(F.struct("parent_url", "level", "path"),
                                                       F.col("parent_url")).alias("n")).select(
             "site", "url", "n.parent_url", "n.level", "n.path").checkpoint(eager=True)
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        visited = visited.unionByName(nxt.select("site", "url")).checkpoint(eager=True)
+        # the visited set is the union of the checkpointed levels, compacted
+        # into one checkpoint now and then so the anti join's plan stays small
+        visited_parts.append(nxt.select("site", "url"))
+        if len(visited_parts) >= VISITED_COMPACT_EVERY:
+            visited_parts[:] = [visited().checkpoint(eager=True)]
         frontier = nxt
     out = levels[0]
     for lv in levels[1:]:

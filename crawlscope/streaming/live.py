@@ -177,7 +177,10 @@ def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
                             "link_text": [o[1] for o in out], "ts": [o[2] for o in out]})
 
 
-REFERRER_SALTS = 16
+# State keys per target. Page events are copied to every salt, so the key
+# count (one Python call per key and micro-batch) grows with the salt count:
+# 1 unless targets are known to be hot, then e.g. 16.
+REFERRER_SALTS = 1
 
 
 def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS) -> DataFrame:
@@ -188,10 +191,10 @@ def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS) -> DataFrame
     is dropped, so state stays bounded.
 
     The state key is (target, salt) with salt = hash(source) mod ``salts``:
-    a hot target is spread over ``salts`` tasks, each keeping its first 50
-    distinct sources, and page events go to every salt of their target. The
-    union of the per-salt lists contains the target's first 50 sources;
-    ``cap_referrers`` keeps exactly those."""
+    with ``salts > 1`` a hot target is spread over that many tasks, each
+    keeping its first 50 distinct sources, and page events go to every salt
+    of their target. The union of the per-salt lists contains the target's
+    first 50 sources; ``cap_referrers`` keeps exactly those."""
     return _salted(events, salts).withWatermark("ts", "1 hour").groupBy("target", "salt").applyInPandasWithState(
         _referrer_state, REFERRER_OUT, REFERRER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

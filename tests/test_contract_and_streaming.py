@@ -40,7 +40,10 @@ def test_stream_counters_equal_batch(spark):
 
 def test_referrer_buffer_caps_and_releases(spark):
     reqs = LV.request_stream(LV.event_stream(spark, SF_SMALL))
-    out = LV.cap_referrers(LV.run_to_table(LV.referrer_buffer(LV.link_and_page_events(reqs)), "append"))
+    plain = LV.cap_referrers(LV.run_to_table(LV.referrer_buffer(LV.link_and_page_events(reqs)), "append"))
+    reqs = LV.request_stream(LV.event_stream(spark, SF_SMALL))
+    out = LV.cap_referrers(LV.run_to_table(LV.referrer_buffer(LV.link_and_page_events(reqs), salts=4), "append"))
+    assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0
     per_target = out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_url").alias("d"))
     assert per_target.where("n > 50 OR n <> d").count() == 0
     assert out.count() > 0

@@ -46,15 +46,24 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), escaped, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
+def robots_rules(robots: DataFrame, rfc_groups: bool = False) -> DataFrame:
     """SRC5: Allow/Disallow rules of the ``User-agent: *`` block (site,
-    line_no, pattern, regex, length, allow). A named agent line ends the block;
-    an empty path is no rule."""
+    line_no, pattern, regex, length, allow). By default the last agent line
+    before a rule decides (a named agent line ends the ``*`` block), as in the
+    reference; ``rfc_groups=True`` groups consecutive agent lines as RFC 9309
+    does (a group applies when any of its agent lines is ``*``). An empty path
+    is no rule."""
     lines = robots_lines(robots)
     is_agent = F.lower("line").startswith("user-agent:")
-    w = Window.partitionBy("site").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    agent = F.last(F.when(is_agent, F.col("value")), ignorenulls=True).over(w)
-    lines = lines.withColumn("_agent", agent)
+    order = Window.partitionBy("site").orderBy("line_no")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    if rfc_groups:
+        starts = is_agent & ~F.coalesce(F.lag(is_agent).over(order), F.lit(False))
+        lines = lines.withColumn("_group", F.sum(starts.cast("int")).over(w))
+        star = F.max(is_agent & (F.col("value") == "*")).over(Window.partitionBy("site", "_group"))
+        lines = lines.withColumn("_agent", F.when((F.col("_group") > 0) & star, F.lit("*")).otherwise(F.lit("")))
+    else:
+        lines = lines.withColumn("_agent", F.last(F.when(is_agent, F.col("value")), ignorenulls=True).over(w))
     lower = F.lower("line")
     is_rule = lower.startswith("disallow:") | lower.startswith("allow:")
     rules = lines.where(~is_agent & (F.col("_agent") == "*") & is_rule & (F.col("value") != ""))

@@ -59,3 +59,12 @@ def test_rules_keep_query_and_ignore_params(spark):
     assert _allowed(spark, text, ["/p?x=1", "/p;params?x=1", "/p"]) == [False, False, True]
     rules = R.robots_rules(spark.createDataFrame([("a", text)], "site string, text string"))
     assert rules.select(F.col("regex")).first()[0] == r"^/p\?x=1"
+
+
+def test_agent_grouping_default_and_rfc(spark):
+    text = "User-agent: *\nUser-agent: Bing\nDisallow: /x\n\nUser-agent: Other\nDisallow: /y"
+    robots = spark.createDataFrame([("a", text)], "site string, text string")
+    default = {r.pattern for r in R.robots_rules(robots).collect()}
+    rfc = {r.pattern for r in R.robots_rules(robots, rfc_groups=True).collect()}
+    assert default == set()      # the last agent line before the rule (Bing) decides
+    assert rfc == {"/x"}         # the group "*, Bing" applies to everyone

@@ -105,3 +105,13 @@ def udf2_exact_seo(spark, d):
 
 
 ORACLE["udf2_exact_seo"] = ORACLE["html7_seo"]
+
+
+@query("udf2_exact_tech")
+def udf2_exact_tech(spark, d):
+    """UDF2: HTML8 in exact-HTML mode over the fixture fetch log."""
+    from ..sources import fixtures as FX
+    return X.tech_exact(FX.fetch_log(spark, d))
+
+
+ORACLE["udf2_exact_tech"] = ORACLE["html8_tech"]

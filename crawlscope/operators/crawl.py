@@ -110,7 +110,7 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
         if frontier.isEmpty():
             break
         if prepared_rules is not None:
-            checked = allowed(frontier, prepared_rules, prepared=True)
+            checked = allowed(frontier, prepared_rules, prepared=True, unique_urls=True)
         else:
             checked = frontier.withColumn("allowed", F.lit(True))
         fetched = checked.join(f, ["site", "url"], "left")

@@ -85,11 +85,21 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     return broadcast_if_small(rules.select("site", "regex", "length", "allow"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False) -> DataFrame:
+def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False,
+            unique_urls: bool = False) -> DataFrame:
     """``allowed`` per (site, url). Longest matching pattern wins, Allow
     wins ties, no match means allowed. ``prepared`` = rules already passed
-    through ``prepare_rules`` (skips the size check)."""
+    through ``prepare_rules`` (skips the size check). ``unique_urls`` = each
+    (site, url) occurs once in ``urls``: then the rows are kept whole through
+    one aggregation instead of a distinct, an aggregation and a join back."""
     r = rules if prepared else prepare_rules(rules)
+    if unique_urls:
+        cols = urls.columns
+        probe = urls.withColumn("_path", robots_path(F.col(url_col))).join(r, "site", "left")
+        match = F.col("regex").isNotNull() & F.expr("_path rlike regex")
+        best = F.max_by(F.col("allow"), F.when(match, F.struct("length", "allow")))
+        out = probe.groupBy(*cols).agg(best.alias("_allow"))
+        return out.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(True))).drop("_allow")
     keyed = urls.select("site", F.col(url_col).alias("_u")).distinct().withColumn("_path", robots_path(F.col("_u")))
     hits = keyed.join(r, "site").where(F.expr("_path rlike regex"))
     best = hits.groupBy("site", "_u").agg(F.max_by("allow", F.struct("length", "allow")).alias("_allow"))

@@ -242,9 +242,17 @@ def locate_candidates(target_url: Column, source_url: Column, link_text: Column)
 def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html") -> DataFrame:
     """For (target_url, source_url, link_text) rows find the first
     candidate in the source HTML; 1-based line and column and match length,
-    (0, 0, 0) when nothing matches."""
+    (0, 0, 0) when nothing matches. Rows whose source page is missing keep
+    their fields and get (0, 0, 0)."""
     src = pages.select(F.col("url").alias("source_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    joined = dead.join(src, "source_url", "left")
+    # dead links are grouped per source page first (a page's list is bounded
+    # by its own links), so each page's HTML crosses the shuffle once, not
+    # once per dead link; the explode after the join stays in the same stage
+    rest = [c for c in dead.columns if c != "source_url"]
+    grouped = dead.groupBy("source_url").agg(F.collect_list(F.struct(*rest)).alias("_dead"))
+    joined = grouped.join(src, "source_url", "left").select(
+        "source_url", "_html", F.explode("_dead").alias("_d")).select("source_url", "_html", "_d.*")
+    joined = joined.select(*dead.columns, "_html")
     html = F.coalesce(F.col("_html"), F.lit(""))
     cands = locate_candidates(F.col("target_url"), F.col("source_url"), F.col("link_text"))
     # staged: the first matching candidate, then its offset, then line/column

@@ -104,7 +104,28 @@ def snk6_wiki_table(spark, d):
     return RP.wiki_rows(RP.dead_links(fixture_pages_with_referrers(spark, d)))
 
 
-@query("snk3_error_report", None)
+@query("snk3_error_report", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD, """
+r2b AS (SELECT *, http_status_code = 0 AND error_message <> '' AS failed,
+               status IN ('redirect', 'redirect_external') AS redirected, http_status_code // 100 AS cls FROM r2),
+r2c AS (SELECT *, NOT failed AND NOT redirected AND status IN ('ok', 'error') AS responded FROM r2b),
+cnt AS (SELECT site,
+  count_if(status IN ('ok', 'redirect', 'redirect_external', 'error', 'timeout')) AS total_crawled,
+  count(*) AS total_discovered,
+  count_if(failed) + count_if(responded AND cls IN (4, 5)) AS total_errors,
+  count_if(responded AND cls = 2) AS total_2xx,
+  count_if(redirected) + count_if(responded AND cls = 3) AS total_3xx,
+  count_if(responded AND cls = 4) AS total_4xx, count_if(responded AND cls = 5) AS total_5xx
+  FROM r2c GROUP BY site)""") + """
+SELECT site, 'summary' AS kind, to_json({'total_crawled': total_crawled, 'total_discovered': total_discovered,
+  'total_errors': total_errors, 'total_2xx': total_2xx, 'total_3xx': total_3xx, 'total_4xx': total_4xx,
+  'total_5xx': total_5xx, 'duration': '0s'})::VARCHAR AS json FROM cnt
+UNION ALL
+SELECT dead.site, 'dead_link', to_json({'url': dead.url, 'http_status': dead.http_status_code, 'status': dead.status,
+  'error_message': dead.error_message,
+  'referring_pages': coalesce(list({'url': refs.source_url, 'link_text': refs.link_text} ORDER BY refs.rk)
+                              FILTER (WHERE refs.source_url IS NOT NULL), [])})::VARCHAR
+FROM dead LEFT JOIN refs ON refs.site = dead.site AND refs.target_norm = dead.url
+GROUP BY dead.site, dead.url, dead.http_status_code, dead.status, dead.error_message""")
 def snk3_error_report(spark, d):
     """SNK3: error report as JSON lines (summary per site, one per dead link)."""
     from ..operators import stats as ST

@@ -218,8 +218,10 @@ SELECT page_id, {O.host(O.part('url', 'netloc'))} AS host, {O.environment(O.part
   ({O.host(O.part('url', 'netloc'))} <> '' AND {O.host(O.part('url', 'netloc'))} = {O.without_environment(O.part('url', 'netloc'))}) AS same_host_as_site
 FROM pages""")
 def url_projections(spark, d):
-    """URL4-URL9 projections of every page URL (same_host_as_site: URL4
-    between the host and the host without environment prefix)."""
+    """URL4 URL5 URL6 URL7 URL8 URL9: host, environment, host without
+    environment prefix, registrable domain, file flag and extension of every
+    page URL (same_host_as_site: URL4 between the host and the host without
+    environment prefix)."""
     u = F.col("url")
     nl = U.url_part(u, "netloc")
     return _pages(spark, d).select(

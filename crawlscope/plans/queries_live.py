@@ -62,7 +62,8 @@ def str3_stream_dedup(spark, d):
 @query("str1_live_page_state", with_(SQL_F8) + """
 SELECT host, url, status_code, redirect_url FROM f8""")
 def str1_live_page_state(spark, d):
-    """STR1 + W12: every micro-batch of results appended to a log; the live
+    """STR1 + W12 + UDF1: every micro-batch of results goes through the
+    result callback (``foreachBatch``), which appends it to a log; the live
     table is the latest row per (host, URL)."""
     reqs = LV.request_stream(LV.event_stream(spark, d))
     path = f"{ensure_checkpoint_dir(spark)}/result-log-{__import__('uuid').uuid4().hex[:12]}"

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts
-from .shared import table
+from . import huffman, token_counts
+from .shared import shared_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -25,3 +25,10 @@ def query(fn):
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "huffman")
+    huffman.write(table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID)
+    return huffman.crc32_of(huffman.read(spark, path))

@@ -217,6 +217,14 @@ def parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about BATCH_CHARS characters (or one longer text)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(lengths) - lengths) // BATCH_CHARS
+    for a, b in zip(*(lambda x: (x, [*x[1:], len(part)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist())):
+        yield batch.slice(a, b - a)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each of many runs, one run after another."""
     total = int(counts.sum())

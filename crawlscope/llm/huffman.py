@@ -205,7 +205,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, id_col:
     ids.write.option("compression", "zstd").parquet(folder)
     ids = spark.read.schema(ids.schema).parquet(folder)
 
-    bits = code_lengths(id_counts(ids, dtype, size))
+    bits = code_lengths(id_counts(ids, dtype, size), max(MAX_BITS, size.bit_length() + 1))
     codes = canonical_codes(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, token_counts
+from . import huffman, packing, token_counts
 from .shared import shared_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,3 +32,8 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "huffman")
     huffman.write(table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID)
     return huffman.crc32_of(huffman.read(spark, path))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.crc32_of(packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, END_ID))

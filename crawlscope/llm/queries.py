@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, token_counts
+from . import huffman, packing, token_counts, url_filter
 from .shared import shared_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,3 +37,26 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.crc32_of(packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, END_ID))
+
+
+#: Fixed values of the task: rules (host, path) with their verdicts.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.host_rule(*r) for r in URL_RULES]
+    return url_filter.judge(table(spark, sf_dir, "pages", ["page_id", "url"]), rules, default="allow")
+
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+ORACLE["op9_url_filter"] = f"""
+WITH rules(verdict, rh, rp) AS (VALUES {_RULE_ROWS}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a,
+             row_number() OVER () AS k FROM pages),
+hp AS (SELECT k, page_id, lower(regexp_extract(a, '^[^/?#]*')) AS host,
+              regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+best AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+         FROM hp JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hp LEFT JOIN best USING (k)
+"""

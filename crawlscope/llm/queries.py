@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, token_counts, url_filter
+from . import huffman, packing, revisits, token_counts, url_filter
 from .shared import shared_path, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,3 +60,68 @@ best AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict,
          FROM hp JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hp LEFT JOIN best USING (k)
 """
+
+
+def captures_of_pages(pages: DataFrame) -> DataFrame:
+    """Captures in the schema of ``revisits`` that stand for a crawl of pages: two rows a page, a fetch and a later check.
+
+    Times, validators and status codes vary with page_id so that every resolution occurs.
+    """
+    p = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
+    at = lambda seconds: F.timestamp_seconds(1_600_000_000 + seconds)
+    day = F.date_format(at(86_400 * (p % 50)), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    fetch = F.struct(
+        (2 * p).alias("capture_id"), F.col("url"), at(60 * p).alias("ts"), F.lit("response").alias("kind"),
+        F.when(p % 11 == 0, 404).otherwise(200).alias("status"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.length("html").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("ETag"), F.when(p % 3 != 0, tag), F.lit("Last-Modified"), day).alias("headers"),
+        F.lit(None).cast("string").alias("payload_digest"),
+    )
+    check = F.struct(
+        (2 * p + 1).alias("capture_id"), F.when(p % 2 == 0, F.concat("url", F.lit("#again"))).otherwise(F.regexp_replace("url", "^http", "HTTP")).alias("url"),
+        at(60 * (p + p * 37 % 101 - 20)).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        F.create_map(F.lit("cache-control"), F.lit("max-age=900"), F.lit("content-length"), F.lit("0"), F.lit("connection"), F.lit("close, X-Hop"), F.lit("x-hop"), F.lit("1"), F.lit("ETag"), F.when(p % 5 == 0, F.lit('"changed"')).when(p % 5 < 3, F.concat(F.lit("W/"), tag)), F.lit("last-modified"), F.when(p % 5 == 3, day)).alias("headers"),
+        F.lit(None).cast("string").alias("payload_digest"),
+    )
+    return pages.select(F.explode(F.array(fetch, check)).alias("c")).select("c.*")
+
+
+@query
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(captures_of_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
+    return found.withColumn("ts", F.unix_seconds("ts")).withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
+ORACLE["op5_revisit_resolution"] = """
+WITH base AS (
+  SELECT page_id AS p, url, '"' || substr(md5(html), 1, 12) || '"' AS tag, length(html) AS n,
+         strftime(make_timestamp((1600000000 + 86400 * (page_id % 50)) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS day,
+         lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', ''), '^[^/?]*')) AS host,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://[^/?]*', '') AS rest
+  FROM pages),
+keyed AS (
+  SELECT *, host || CASE WHEN split_part(rest, '?', 1) = '' THEN '/' ELSE split_part(rest, '?', 1) END
+    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS url_key
+  FROM (SELECT *, list_filter(string_split(CASE WHEN contains(rest, '?') THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END, '&'),
+                              lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)(=|$)')) AS q FROM base)),
+resp AS (SELECT url_key, 1600000000 + 60 * p AS ts, max(2 * p) AS id FROM keyed WHERE p % 11 <> 0 GROUP BY ALL),
+rev AS (SELECT *, 2 * p + 1 AS capture_id, 1600000000 + 60 * (p + p * 37 % 101 - 20) AS ts,
+               CASE WHEN p % 5 = 0 THEN '"changed"' WHEN p % 5 < 3 THEN 'W/' || tag END AS etag,
+               CASE WHEN p % 5 = 3 THEN day END AS modified FROM keyed),
+joined AS (SELECT rev.*, resp.id AS response_id FROM rev ASOF LEFT JOIN resp ON rev.url_key = resp.url_key AND rev.ts > resp.ts),
+full_rows AS (
+  SELECT j.*, r.n AS r_n, r.day AS r_day, CASE WHEN r.p % 3 <> 0 THEN r.tag END AS r_tag
+  FROM joined j LEFT JOIN keyed r ON r.p * 2 = j.response_id),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+                 WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = r_tag THEN 'resolved' ELSE 'mismatch' END
+                 WHEN modified IS NOT NULL THEN CASE WHEN modified = r_day THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'assumed' END AS resolution
+  FROM full_rows)
+SELECT capture_id, url_key, ts, response_id, resolution,
+  CASE WHEN resolution IN ('resolved', 'assumed') THEN concat_ws(chr(10), 'cache-control: max-age=900', 'content-length: ' || r_n,
+       'content-type: text/html', 'etag: ' || coalesce(etag, r_tag), 'last-modified: ' || coalesce(modified, r_day))
+  ELSE concat_ws(chr(10), 'cache-control: max-age=900', 'connection: close, X-Hop', 'content-length: 0',
+       'etag: ' || etag, 'last-modified: ' || modified, 'x-hop: 1') END AS headers
+FROM judged
+"""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, revisits, token_counts, url_filter
-from .shared import shared_path, table
+from . import huffman, packing, revisits, secret_ledger, token_counts, url_filter
+from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -125,3 +125,14 @@ SELECT capture_id, url_key, ts, response_id, resolution,
        'etag: ' || etag, 'last-modified: ' || modified, 'x-hop: 1') END AS headers
 FROM judged
 """
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    empty = spark.createDataFrame([], secret_ledger.LEDGER_SCHEMA)
+    ledger = written(secret_ledger.scan(documents, empty), "ledger")
+    found = secret_ledger.at_paths(documents, ledger)
+    number = lambda rule: F.coalesce(F.size(F.col("found")[rule]), F.lit(0)).cast("long")
+    spans = found.select("doc_id", *[F.when(number(r.name) > 0, number(r.name)).otherwise(0).cast("long").alias(f"n_{r.name}") for r in secret_ledger.RULES], secret_ledger.span_texts(F.col("found")).alias("spans"))
+    return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,20 +35,34 @@ from . import tokens
 from .shared import picked
 
 BLOCK_DOCS = 8_000
+_SPLIT = regex.compile(tokens.SPLIT_PATTERN)
 
 
 def _pre_tokens(encoder: tokens.ByteLevelEncoder, units: list[str]) -> tuple[list[str], np.ndarray]:
-    """Pre-tokens of units that start and end at sure borders, by the library; a unit with a special string stays whole."""
-    found, counts = [], []
-    for unit in units:
+    """Pre-tokens of units that start and end at sure borders, and how many each has.
+
+    Units below U+0250 are split by the tokenizer's pattern all at once, other
+    units by the library; a unit with a special string stays whole.
+    """
+    plain = encoder.plain(units)
+    at = np.flatnonzero(plain)
+    chosen = [units[i] for i in at]
+    found = _SPLIT.findall("".join(chosen))
+    ends = np.cumsum([len(u) for u in chosen])
+    stop = np.searchsorted(np.cumsum([len(p) for p in found]), ends) + 1
+    counts = np.diff(stop, prepend=0)
+    if len(at) == len(units):
+        return found, counts
+    out: list[list[str]] = [[]] * len(units)
+    for i, a, b in zip(at.tolist(), (stop - counts).tolist(), stop.tolist()):
+        out[i] = found[a:b]
+    for i in np.flatnonzero(~np.array(plain)).tolist():
+        unit = units[i]
         if any(s in unit for s in encoder.specials):
-            found.append(unit)
-            counts.append(1)
-            continue
-        parts = encoder.tokenizer.pre_tokenizer.pre_tokenize_str(unit)
-        found += [unit[a:b] for _, (a, b) in parts]
-        counts.append(len(parts))
-    return found, np.array(counts, np.int64)
+            out[i] = [unit]
+        else:
+            out[i] = [unit[a:b] for _, (a, b) in encoder.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
+    return [p for parts in out for p in parts], np.array([len(p) for p in out], np.int64)
 
 
 def _blocks(batches, names=("id", "text")) -> Iterator[tuple[list, list[str]]]:
@@ -66,6 +81,12 @@ def _blocks(batches, names=("id", "text")) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
+def _distinct(encoder: tokens.ByteLevelEncoder, texts: list[str]) -> list[str]:
+    """Distinct pre-tokens of a block."""
+    _, units, _ = encoder.units(pa.array([p for t in texts for p in tokens.parts(t)], pa.large_string()))
+    return list(dict.fromkeys(_pre_tokens(encoder, units)[0]))
+
+
 def _frequencies(encoder: tokens.ByteLevelEncoder, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pre-tokens of a block; and by pre-token: its number, the place of a text, and how often it is there."""
     parts = [(i, p) for i, t in enumerate(texts) for p in tokens.parts(t)]
@@ -86,7 +107,7 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary) -> DataFrame:
     def find(batches):
         encoder = tokens.worker_encoder(vocabulary)
         for _, texts in _blocks(batches):
-            yield pa.RecordBatch.from_pydict({"unit": pa.array(_frequencies(encoder, texts)[0], pa.string())})
+            yield pa.RecordBatch.from_pydict({"unit": pa.array(_distinct(encoder, texts), pa.string())})
 
     return docs.mapInArrow(find, "unit string").distinct()
 

@@ -105,11 +105,17 @@ class ByteLevelEncoder:
         """ids of one string by ``tokenizers``."""
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, IDS)
 
+    def plain(self, units: list[str]) -> list[bool]:
+        """Which units are a space or line break and characters below U+0250 without white space or special strings."""
+        plain = [bool(u[:1] in (" ", "\n") and _PLAIN.fullmatch(u, 1)) for u in units]
+        whole = "\n".join(units)
+        if any(s in whole for s in self.specials):
+            plain = [p and not any(s in u for s in self.specials) for p, u in zip(plain, units)]
+        return plain
+
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of distinct units, one after another, and how many each has."""
-        plain = [bool(u[:1] == " " and _PLAIN.fullmatch(u, 1)) for u in units]
-        if any(s in u for s in self.specials for u in ["\n".join(units)]):
-            plain = [p and not any(s in u for s in self.specials) for p, u in zip(plain, units)]
+        plain = self.plain(units)
         counts = np.zeros(len(units), np.int64)
         at = np.flatnonzero(plain)
         quick = np.empty(0, IDS)
@@ -152,41 +158,16 @@ class ByteLevelEncoder:
 
     def _encode_some(self, texts: pa.Array) -> list[np.ndarray]:
         owner, units, numbers = self.units(texts)
-        values, counts = self._encode_units_split(units)
+        values, counts = self._encode_units(units)
         starts = np.cumsum(counts) - counts
         n = counts[numbers]
         ids = values[ragged(starts[numbers], n)]
         return np.split(ids, np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))[:-1])
 
-    def _encode_units_split(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A unit after a line break is the break's ids and those of the bare word."""
-        broken = [i for i, u in enumerate(units) if u[:1] == "\n" and _PLAIN.fullmatch(u, 1)]
-        if not broken:
-            return self._encode_units(units)
-        # "\nword" is "\n" and "word"; a bare word is quick to encode by itself
-        line = self.encode_unit("\n")
-        bare = {i: np.concatenate([line, self._bare(units[i][1:])]) for i in broken}
-        rest = [i for i in range(len(units)) if i not in bare]
-        values, some = self._encode_units([units[i] for i in rest])
-        counts = np.zeros(len(units), np.int64)
-        counts[rest] = some
-        for i, ids in bare.items():
-            counts[i] = len(ids)
-        starts = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), IDS)
-        out[ragged(starts[rest], some)] = values
-        out[ragged(starts[broken], counts[broken])] = np.concatenate([bare[i] for i in broken])
-        return out, counts
-
     def unit_counts(self, units: list[str]) -> np.ndarray:
         """The number of ids of each of distinct units."""
         return self._encode_units(units)[1]
 
-    def _bare(self, word: str) -> np.ndarray:
-        if any(s in word for s in self.specials):
-            return self.encode_unit(word)
-        return self.fast.encode_to_numpy(word).astype(IDS)
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Unsigned 32-bit ids of each whole text; null is empty."""
         held, size = [], 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, revisits, secret_ledger, token_counts, url_filter
+from . import embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, url_filter
 from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,3 +136,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda rule: F.coalesce(F.size(F.col("found")[rule]), F.lit(0)).cast("long")
     spans = found.select("doc_id", *[F.when(number(r.name) > 0, number(r.name)).otherwise(0).cast("long").alias(f"n_{r.name}") for r in secret_ledger.RULES], secret_ledger.span_texts(F.col("found")).alias("spans"))
     return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, url_filter
+from . import embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
 from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -141,3 +141,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = toxicity.fit(documents, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -83,7 +83,7 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of the group of each of n, joined by links a-b."""
     root = np.arange(n)
     while len(a):
@@ -198,7 +198,7 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
                 froms.append(i), tos.append(at + j)
                 at += len(r["nodes"])
         nodes, links = np.concatenate(nodes), np.concatenate(links)
-        root = _forest(len(nodes), np.concatenate(froms), np.concatenate(tos)) if froms else np.arange(len(nodes))
+        root = spanning_forest(len(nodes), np.concatenate(froms), np.concatenate(tos)) if froms else np.arange(len(nodes))
         hit = links > 0
         return pa.Table.from_arrays([pa.array(nodes[hit]), pa.array(links[hit]), pa.array(nodes[root[hit]])], schema=out)
 

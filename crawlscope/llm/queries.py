@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
+from . import bag_minhash, embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
 from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -149,3 +149,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, toxicity.training_labels(table(spark, sf_dir, "labels")))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.document_classes(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
+from . import bag_minhash, decontamination, embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
 from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -154,3 +154,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.document_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -29,6 +29,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
+from .shared import written
+
 LEDGER_SCHEMA = "blob binary, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -98,14 +101,18 @@ def scan(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     return found.select("blob", F.explode("results").alias("r")).select("blob", "r.rule", "r.version", "r.spans")
 
 
-def at_paths(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``found`` (map from rule to spans, rules without spans left out) of every row of the history."""
+def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob``, ``found`` (map from rule to spans) of the ledger's blobs with spans under the current rule versions."""
     current = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-    # hits are few: only blobs with spans take part in the join
-    hits = (
+    return (
         ledger.filter(F.array_contains(current, F.struct("rule", "version")) & (F.size("spans") > 0))
         .groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("rule", "spans"))).alias("found"))
     )
+
+
+def at_paths(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``found`` (map from rule to spans, rules without spans left out) of every row of the history."""
+    hits = findings_of(ledger, rules)
     none = F.create_map().cast("map<string,array<struct<start:int,end:int>>>")
     return versions(history, key, text).join(hits, "blob", "left").select(F.col("key").alias(key), F.coalesce("found", none).alias("found"))
 
@@ -118,3 +125,44 @@ def span_texts(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         return F.transform(F.coalesce(found[name], none), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), F.concat_ws(":", F.lit(name), s["start"], s["end"]).alias("t")))
 
     return F.array_join(F.transform(F.array_sort(F.concat(*[of(k, r.name) for k, r in enumerate(rules)])), lambda x: x["t"]), ",")
+
+
+def redacted_text(text: Column, found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text with each found span replaced by its rule's name in angle brackets.
+
+    Spans that overlap are replaced as one, under the rule that starts first
+    (of those at one place, the first rule).
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def of(k: int, name: str) -> Column:
+        return F.transform(F.coalesce(found[name], none), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(name).alias("name")))
+
+    spans = F.array_sort(F.concat(*[of(k, r.name) for k, r in enumerate(rules)]))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["name"], F.lit(">"))).alias("out"),
+    )
+    done = F.aggregate(spans, start, step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(history: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", n_chars_col: str | None = None) -> DataFrame:
+    """history with secrets replaced in its texts, all its columns kept; n_chars_col follows the new length where a text changed.
+
+    Unseen blobs are scanned once; the findings, few, join back by blob.
+    """
+    spark = history.sparkSession
+    mark = "blob"
+    while mark in history.columns or f"{mark}_found" in history.columns:
+        mark += "_"
+    ledger = written(scan(history, spark.createDataFrame([], LEDGER_SCHEMA), rules, key, text), "ledger")
+    hits = written(findings_of(ledger, rules).select(F.col("blob").alias(mark), F.col("found").alias(f"{mark}_found")), "findings")
+    joined = history.withColumn(mark, blob_of(F.col(f"`{text}`"))).join(broadcast_if_small(hits), mark, "left")
+    found = F.col(f"{mark}_found")
+    new = F.when(found.isNotNull(), redacted_text(F.col(f"`{text}`"), found, rules)).otherwise(F.col(f"`{text}`"))
+    out = joined.withColumn(text, new)
+    if n_chars_col in history.columns:
+        out = out.withColumn(n_chars_col, F.when(found.isNotNull(), F.length(f"`{text}`").cast(history.schema[n_chars_col].dataType)).otherwise(F.col(f"`{n_chars_col}`")))
+    return out.select([F.col(f"`{c}`") for c in history.columns])

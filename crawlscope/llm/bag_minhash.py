@@ -51,8 +51,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.joins import broadcast_if_small
 from . import tokens
-from .components import components
-from .embedding_dups import spanning_forest
+from .components import components, spanning_forest
 from .shared import picked, written
 
 SHINGLE = 5

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import components, spanning_forest
 from .shared import picked, written
 
 PROJECTIONS = 16
@@ -83,21 +83,6 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of the group of each of n, joined by links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        apart = low != high
-        if not apart.any():
-            break
-        a, b = a[apart], b[apart]
-        np.minimum.at(root, high[apart], low[apart])
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
     """Distinct vectors in blocks in order of length and first projection; nodes are numbered here."""
     window = WINDOW_SD * math.sqrt(2 - 2 * threshold)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from crawlscope.llm import bag_minhash, embedding_dups
+from crawlscope.llm import components as comps
 from crawlscope.llm.components import components
 
 from .conftest import TEXTS
@@ -28,7 +29,9 @@ def groups(n, linked):
     return [find(x) for x in range(n)]
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("links_of_task", [1_000_000, 8])
+def test_components_of_a_long_path(spark, monkeypatch, links_of_task):
+    monkeypatch.setattr(comps, "LINKS_OF_TASK", links_of_task)
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 100), (100, 150)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(links).collect()}
     assert found == {**{k: 0 for k in range(61)}, 100: 100, 150: 100, 200: 100}

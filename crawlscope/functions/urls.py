@@ -145,7 +145,8 @@ def _resolve_parts(b_scheme: Column, b_netloc: Column, b_path: Column, b_query:
     needs_dots = h_path.rlike(_DOTS_RE)
     rooted = F.when(needs_dots, _remove_dot_segments(h_path)).otherwise(h_path)
     directory = F.regexp_replace(F.regexp_extract(b_path, r"^(.*/)", 1), "^$", "/")
-    merged = F.concat(directory, h_path)
+    # joining drops empty segments inside the path
+    merged = F.regexp_replace(F.concat(directory, h_path), "/{2,}", "/")
     merged = F.when(needs_dots, _remove_dot_segments(merged)).otherwise(merged)
     return (
         F.when(h.rlike(_ABS_RE), h)
@@ -214,25 +215,30 @@ def without_environment(host: Column) -> Column:
 
 
 def registrable_domain(host: Column) -> Column:
-    """URL7: last two labels of the host; IPs and short hosts unchanged."""
-    h = host_without_port(host)
+    """URL7: last two labels of the host without outer dots; IPs and short hosts unchanged."""
+    h = F.regexp_replace(host_without_port(host), r"^\.+|\.+$", "")
     labels = F.split(h, r"\.")
     return F.when((F.size(labels) <= 2) | h.rlike(r"^[0-9.]+$"), h).otherwise(
         F.array_join(F.slice(labels, -2, 2), ".")
     )
 
 
+def bare_path(url: Column) -> Column:
+    """The path without ``;params`` (params start after the last "/")."""
+    return F.regexp_extract(url, URL_NORM_RE, 3)
+
+
 _FILE_RE = r"\.(" + "|".join(e[1:] for e in FILE_EXTENSIONS) + r")$"
 
 
 def is_file(url: Column) -> Column:
     """URL8: the lower-cased path ends with a known file extension."""
-    return F.lower(url_part(url, "path")).rlike(_FILE_RE)
+    return F.lower(bare_path(url)).rlike(_FILE_RE)
 
 
 def file_extension(url: Column) -> Column:
     """URL9: text after the last "." of the path, lower-case ('' if none)."""
-    return F.regexp_extract(F.lower(url_part(url, "path")), r"\.([^./]*)$", 1)
+    return F.regexp_extract(F.lower(bare_path(url)), r"\.([^./]*)$", 1)
 
 
 def with_url_columns(df, url_col: str = "url", prefix: str = "") -> "DataFrame":  # noqa: F821

@@ -1,13 +1,16 @@
 """HTML column expressions: cleaning, attributes, text, SEO, tech, issues.
 
-No HTML parser runs here. Comments and script/style bodies are removed
-first, then tags are matched with regular expressions that are valid both in
-Java and RE2. The exact mode (``crawlscope.operators.exact_html``) runs the
-standard-library parser in ``mapInPandas`` for documents that need it.
+No HTML parser runs here. Comments and script/style bodies are removed in one
+pass, whichever starts first. Tags are matched attribute by attribute, so a
+``>`` or another attribute's name inside a quoted value is part of that value,
+and an attribute is looked up among a tag's attributes in order. The patterns
+use possessive groups, so no page makes them backtrack.
 """
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,25 +74,34 @@ DESCRIPTION_MAX_CHARS = 160
 SLOW_MS = 3000
 LARGE_BYTES = 2_000_000
 LINK_TEXT_MAX_CHARS = 200
-# Entities decoded natively (the exact mode decodes all of HTML5's).
-NATIVE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-                   ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 # ---------------------------------------------------------------------------
 
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_STYLE_RE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+# Named entities: the HTML 4 names (and apos) with ";", and those of them that HTML allows without it.
+_NAMED = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
+_OPEN_NAMED = {n: c for n, c in _NAMED.items() if n in html5}
+# Numeric references 128-159 mean Windows-1252 characters.
+_WINDOWS = {str(b): bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
 # Unicode white space as Python's str.strip() sees it.
 WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-TAG_RE = r"<[^>]*>"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+ATTRIBUTE_RE = rf"""(?:[\s/]+|(?<=["']))[^\s/>="'][^\s/>=]*+(?>\s*=\s*{_VALUE}|\s*=)?"""
+# attributes, up to and with the end of a tag
+_REST_OF_TAG = rf"(?>{ATTRIBUTE_RE}|[\s/]+|[\"'=])*+>"
+TAG_RE = rf"(?s)</?[A-Za-z][^\s/>]*+{_REST_OF_TAG}|<![^>]*>"
+_COMMENT = r"<!--.*?-->"
 
 
 def decomment(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), COMMENT_RE, "")
+    """Markup without comments and script/style bodies; the tags of scripts and styles stay."""
+    pattern = rf"(?is){_COMMENT}|(<(script|style)(?=[\s/>]){_REST_OF_TAG}).*?(?=</\2[\s/>])"
+    return F.regexp_replace(F.coalesce(html, F.lit("")), pattern, "$1")
 
 
 def clean(html: Column) -> Column:
-    """Markup with comments and script/style bodies removed."""
-    return F.regexp_replace(decomment(html), SCRIPT_STYLE_RE, "")
+    """Markup without comments, scripts and styles."""
+    pattern = rf"(?is){_COMMENT}|<(script|style)(?=[\s/>]){_REST_OF_TAG}.*?</\1\s*>"
+    return F.regexp_replace(F.coalesce(html, F.lit("")), pattern, "")
 
 
 def strip(text: Column) -> Column:
@@ -97,29 +109,67 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
 
 
+def _constant_map(values: dict[str, str]) -> Column:
+    """A map literal out of two strings (one constant in the plan, not one for each entry)."""
+    return F.map_from_arrays(F.split(F.lit(" ".join(values)), " "), F.split(F.lit("\x00".join(values.values())), "\x00"))
+
+
+def _character(number: Column) -> Column:
+    """The character of a decimal code point; U+FFFD for numbers that aren't characters."""
+    code = number.try_cast("bigint")
+    bad = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    known = F.when(bad, F.lit(0xFFFD).cast("bigint")).otherwise(code)
+    plain = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+    return F.when(code.between(128, 159), F.coalesce(_constant_map(_WINDOWS)[code.cast("string")], plain)).otherwise(plain)
+
+
+def _reference(piece: Column) -> Column:
+    """A piece of text that followed "&", with the reference it starts with decoded."""
+    decimal = F.regexp_extract(piece, r"^#([0-9]+)", 1)
+    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+)", 1)
+    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*)", 1)
+    named = F.when(piece.rlike(r"^[A-Za-z0-9]+;"), _constant_map(_NAMED)[name]).otherwise(_constant_map(_OPEN_NAMED)[name])
+    rest = F.regexp_replace(piece, r"^(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?", "")
+    return (
+        F.when(decimal != "", F.concat(_character(decimal), rest))
+        .when(hexadecimal != "", F.concat(_character(F.conv(hexadecimal, 16, 10)), rest))
+        .when((name != "") & named.isNotNull(), F.concat(named, rest))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
 def decode_entities(text: Column) -> Column:
-    out = text
-    for entity, char in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Numeric and named character references decoded; unknown ones stay."""
+    pieces = F.split(text, "&")
+    decoded = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), _reference)
+    return F.when(text.contains("&"), F.concat(F.get(pieces, 0), F.array_join(decoded, ""))).otherwise(text)
+
+
+def _first_attribute(tag: Column, name: str) -> Column:
+    """The first attribute of this name in an opening tag, as ``name=value``."""
+    found = F.regexp_extract_all(tag, F.lit(rf"(?s){ATTRIBUTE_RE}"), 0)
+    return F.get(F.filter(found, lambda a: F.lower(F.regexp_extract(a, r"^[\s/]*([^\s/>=]*)", 1)) == name), 0)
 
 
 def attr(tag: Column, name: str) -> Column:
     """Value of attribute ``name`` in an opening tag ('' when absent), decoded."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-    match = F.regexp_extract(tag, pattern, 0)
-    # drop ``name=`` and the surrounding quotes of the matched value
-    raw = F.regexp_replace(match, r"""(?s)^\s*[^=]*=\s*(?:["']?)|["']$""", "")
-    return decode_entities(raw)
+    value = F.regexp_extract(_first_attribute(tag, name), r"(?s)^[^=]*=\s*(.*)$", 1)
+    bare = F.when(value.rlike(r"""(?s)^(".*"|'.*')$"""), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    return decode_entities(F.coalesce(bare, F.lit("")))
 
 
 def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)\s{name}(\s*=|[\s/>]|$)")
+    return _first_attribute(tag, name).isNotNull()
+
+
+def tag_pattern(name: str) -> str:
+    """The pattern of one opening tag."""
+    return rf"(?is)<{name}(?=[\s/>]){_REST_OF_TAG}"
 
 
 def tags(markup: Column, name: str) -> Column:
     """All opening tags ``<name ...>`` in document order."""
-    return F.regexp_extract_all(markup, F.lit(rf"(?is)<{name}(?:\s[^>]*)?/?>"), 0)
+    return F.regexp_extract_all(markup, F.lit(tag_pattern(name)), 0)
 
 
 def text_of(fragment: Column) -> Column:
@@ -137,7 +187,7 @@ def first_tag_where(markup: Column, name: str, attr_name: str, value: str, found
 
 def has_form(markup: Column) -> Column:
     """HTML6: any ``<form>`` element."""
-    return markup.rlike(r"(?i)<form[\s>/]")
+    return F.size(tags(markup, "form")) > 0
 
 
 def seo(markup: Column, metas: Column | None = None, links: Column | None = None) -> Column:
@@ -146,7 +196,7 @@ def seo(markup: Column, metas: Column | None = None, links: Column | None = None
     caller has extracted them once already (one scan of the markup each)."""
     metas = metas if metas is not None else tags(markup, "meta")
     links = links if links is not None else tags(markup, "link")
-    title_inner = F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    title_inner = F.regexp_extract(markup, rf"{tag_pattern('title')}(.*?)</title\s*>", 1)
     description_tag = first_tag_where(markup, "meta", "name", "description", metas)
     canonical = F.get(
         F.filter(links, lambda t: F.array_contains(F.split(strip(attr(t, "rel")), rf"{WS}+"), "canonical")), 0)
@@ -157,7 +207,7 @@ def seo(markup: Column, metas: Column | None = None, links: Column | None = None
     return F.struct(
         text_of(title_inner).alias("title"),
         F.coalesce(strip(attr(description_tag, "content")), F.lit("")).alias("description"),
-        F.regexp_count(markup, F.lit(r"(?i)<h1[\s>/]")).cast("int").alias("h1_count"),
+        F.size(tags(markup, "h1")).alias("h1_count"),
         F.coalesce(attr(canonical, "href"), F.lit("")).alias("canonical"),
         F.coalesce(attr(html_tag, "lang"), F.lit("")).alias("lang"),
         first_tag_where(markup, "meta", "name", "viewport", metas).isNotNull().alias("has_viewport"),

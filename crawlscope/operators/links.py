@@ -44,13 +44,10 @@ def _starts_with_any(col: Column, prefixes) -> Column:
 
 def _anchor_structs(markup: Column, mode: str) -> Column:
     """One struct per ``<a ...>`` in document order: (has href, href, text)."""
-    pieces = F.split(markup, r"(?i)<a\s")
-    anchors = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
-    anchors = F.when(F.size(pieces) > 1, anchors).otherwise(F.array().cast("array<string>"))
+    after = F.split(markup, H.tag_pattern("a"), -1)
 
-    def one(piece: Column) -> Column:
-        tag = F.concat(F.lit("<a "), F.regexp_extract(piece, r"^([^>]*)>?", 1))
-        inner = F.regexp_extract(piece, r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)", 1)
+    def one(tag: Column, i: Column) -> Column:
+        inner = F.regexp_extract(F.get(after, i + 1), r"(?is)^(.*?)(?:</a\s*>|\z)", 1)
         if mode == "rendered":
             text = H.strip(H.decode_entities(F.regexp_replace(inner, H.TAG_RE, "")))
         else:
@@ -62,19 +59,24 @@ def _anchor_structs(markup: Column, mode: str) -> Column:
             F.lit("a").alias("kind"),
         )
 
-    return F.transform(anchors, one)
+    return F.transform(H.tags(markup, "a"), one)
 
 
-def _embed_structs(markup: Column) -> Column:
-    embeds = F.regexp_extract_all(markup, F.lit(r"(?is)<(?:embed|iframe|object)\s[^>]*>"), 0)
+def _embed_structs(markup: Column, mode: str) -> Column:
+    """All embeds, then all iframes, then all objects; of a rendered page, all in document order."""
+    def one(tag: Column, name: Column) -> Column:
+        def pick(read):
+            return F.when(name == "object", read(tag, "data")).otherwise(read(tag, "src"))
 
-    def one(tag: Column) -> Column:
-        name = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
-        value = F.when(name == "object", H.attr(tag, "data")).otherwise(H.attr(tag, "src"))
-        present = F.when(name == "object", H.has_attr(tag, "data")).otherwise(H.has_attr(tag, "src"))
-        return F.struct(present.alias("present"), value.alias("href"), F.lit("").alias("text"), name.alias("kind"))
+        return F.struct(pick(H.has_attr).alias("present"), pick(H.attr).alias("href"), F.lit("").alias("text"), name.alias("kind"))
 
-    return F.transform(embeds, one)
+    def of(name: str) -> Column:
+        return F.transform(H.tags(markup, name), lambda t: one(t, F.lit(name)))
+
+    if mode == "rendered":
+        names = "|".join(name for name, _ in EMBED_TAGS)
+        return F.transform(H.tags(markup, f"(?:{names})"), lambda t: one(t, F.lower(F.regexp_extract(t, r"^<(\w+)", 1))))
+    return F.concat(*[of(name) for name, _ in EMBED_TAGS])
 
 
 def is_link_extractable(status_code: Column, content_type: Column, redirect_url: Column, site: Column) -> Column:
@@ -85,6 +87,16 @@ def is_link_extractable(status_code: Column, content_type: Column, redirect_url:
     return ~external & F.lower(F.coalesce(content_type, F.lit(""))).contains("text/html")
 
 
+def link_base(url: Column, redirect_url: Column) -> Column:
+    """The base of a page's relative links: after a redirect inside the site the
+    first URL's scheme and host with the final URL's path and query."""
+    final = F.coalesce(redirect_url, F.lit(""))
+    query = U.url_part(final, "query")
+    moved = F.concat(U.url_part(url, "scheme"), F.lit("://"), U.url_part(url, "netloc"), U.bare_path(final),
+                     F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.when(final == "", url).otherwise(moved)
+
+
 def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | None = None,
                   mode: str = "static") -> DataFrame:
     """HTML1 + HTML2 + HTML3 (+ HTML4 with ``mode="rendered"``), SET6.
@@ -101,18 +113,25 @@ def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | N
     staged = pages.select("site", "site_scheme", F.col("url").alias("source_url"), base.alias("_base"),
                           H.clean(F.col(html_col)).alias("_markup"))
     markup = F.col("_markup")
-    candidates = F.concat(_anchor_structs(markup, mode), _embed_structs(markup))
+    candidates = F.concat(_anchor_structs(markup, mode), _embed_structs(markup, mode))
     exploded = staged.select(
         "site", "site_scheme", "source_url", "_base", F.posexplode(candidates).alias("position", "c"),
     )
-    # stage 1: one row per candidate tag with its cleaned href
-    cands = exploded.select(
-        "site", "site_scheme", "source_url", "_base", "position", F.col("c.present").alias("_present"),
-        H.strip(F.col("c.href")).alias("_href"), F.col("c.text").alias("link_text"), F.col("c.kind").alias("kind"),
+    return links_of_candidates(exploded.select(
+        "site", "site_scheme", "source_url", F.col("_base").alias("base"), "position", F.col("c.present").alias("present"),
+        F.col("c.href").alias("href"), F.col("c.text").alias("link_text"), F.col("c.kind").alias("kind")), mode)
+
+
+def links_of_candidates(candidates: DataFrame, mode: str = "static") -> DataFrame:
+    """HTML1's URL rules over candidate tags (site, site_scheme, source_url,
+    base, position, present, href, link_text, kind)."""
+    cands = candidates.select(
+        "site", "site_scheme", "source_url", F.col("base").alias("_base"), "position", F.col("present").alias("_present"),
+        H.strip(F.col("href")).alias("_href"), "link_text", "kind",
     )
     href = F.col("_href")
     if mode == "rendered":
-        keep = F.col("_present") & (href != "")
+        keep = F.col("_present")  # an empty href is the page itself
     else:
         skip = F.when(F.col("kind") == "a", _starts_with_any(href, SKIP_HREF_PREFIXES)).otherwise(
             _starts_with_any(href, SKIP_EMBED_PREFIXES))
@@ -208,7 +227,7 @@ def attach_referrers(pages: DataFrame, referrers: DataFrame, url_col: str = "url
 def locate_candidates(target_url: Column, source_url: Column, link_text: Column) -> list[Column]:
     """J11 helper: the ordered search strings for a dead link (absent ones are
     NULL; duplicates cannot change which one is found first)."""
-    path = U.url_part(target_url, "path")
+    path = U.bare_path(target_url)
     t_netloc = U.url_part(target_url, "netloc")
     src_path = U.url_part(source_url, "path")
     src_dir = F.when(src_path.endswith("/"), src_path).otherwise(F.concat(src_path, F.lit("/")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import status as S
-
+from .links import is_link_extractable
 
 
 def _empty_headers():
@@ -50,16 +50,22 @@ def with_status(fetches: DataFrame) -> DataFrame:
 
 def with_findings(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """HTML6 + HTML7 + HTML8 + HTML9 + HTML10 in one projection over the page
-    rows (the HTML column is read once and can be dropped afterwards)."""
-    decommented = H.decomment(F.col(html_col))
-    markup = F.regexp_replace(decommented, H.SCRIPT_STYLE_RE, "")
+    rows (the HTML column is read once and can be dropped afterwards). Only
+    pages that pass HTML5 and were fetched are looked into; the others keep the
+    defaults (no form, empty SEO record, no technologies)."""
+    gate = F.coalesce(
+        is_link_extractable(F.col("http_status_code"), F.col("content_type"), F.col("redirect_url"), F.col("site"))
+        & ~S.fetch_failed(F.col("http_status_code"), F.col("error_message")), F.lit(False))
+    body = F.when(gate, F.col(html_col)).otherwise("")
+    decommented = H.decomment(body)
+    markup = H.clean(body)
     headers = F.transform_keys(F.coalesce(F.col("response_headers"), _empty_headers()), lambda k, v: F.lower(k))
     out = pages.withColumn("_markup", markup).withColumn("_decommented", decommented).withColumn("_h", headers)
     # each tag family is scanned out of the document once
     out = out.withColumn("_metas", H.tags(F.col("_markup"), "meta")).withColumn("_links", H.tags(F.col("_markup"), "link"))
     out = out.withColumn("has_form", H.has_form(F.col("_markup")))
     out = out.withColumn("seo", H.seo(F.col("_markup"), F.col("_metas"), F.col("_links")))
-    out = out.withColumn("tech", H.tech(F.col("_decommented"), F.col("_h")))
+    out = out.withColumn("tech", F.when(gate, H.tech(F.col("_decommented"), F.col("_h"))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("http_details", H.interesting_headers(F.col("_h")))
     out = out.withColumn(
         "issues",

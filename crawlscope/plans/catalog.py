@@ -145,7 +145,7 @@ rules AS (
 
 
 def robots_path_sql(u: str) -> str:
-    p = f"regexp_extract({O.part(u, 'path')}, {lit(U.PATH_PARAMS_RE)}, 1)"
+    p = f"regexp_extract({O.part(u, 'path')}, {lit(O.PATH_PARAMS_RE)}, 1)"
     p = f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
     qq = O.part(u, "query")
     return f"(CASE WHEN {qq} <> '' THEN {p} || '?' || {qq} ELSE {p} END)"
@@ -164,8 +164,8 @@ al AS (SELECT ju.site, ju.url, coalesce(best.allow, true) AS allowed FROM ju LEF
 def links_sql(src: str) -> str:
     """CTE ``lk`` = HTML1 over a CTE with (site, site_scheme, url, html)."""
     m = O.clean("html")
-    skip_a = " OR ".join(f"starts_with(href, {lit(p)})" for p in L.SKIP_HREF_PREFIXES)
-    skip_e = " OR ".join(f"starts_with(href, {lit(p)})" for p in L.SKIP_EMBED_PREFIXES)
+    skip_a = " OR ".join(f"starts_with(href, {lit(p)})" for p in O.SKIP_HREF_PREFIXES)
+    skip_e = " OR ".join(f"starts_with(href, {lit(p)})" for p in O.SKIP_EMBED_PREFIXES)
     netloc = f"lower({O.part('target_url', 'netloc')})"
     return f"""
 lm AS (SELECT site, site_scheme, url AS source_url, {m} AS m FROM {src}),
@@ -176,7 +176,7 @@ la AS (SELECT site, site_scheme, source_url, unnest(pcs[2:]) AS piece,
 lat AS (SELECT *, '<a ' || regexp_extract(piece, '^([^>]*)>?', 1) AS tag,
                regexp_extract(piece, '(?is)^[^>]*>(.*?)(?:</a\\s*>|$)', 1) AS inner_html FROM la),
 lac AS (SELECT site, site_scheme, source_url, position, {O.has_attr('tag', 'href')} AS present,
-               {O.strip(O.attr('tag', 'href'))} AS href, substr({O.text_of('inner_html')}, 1, {H.LINK_TEXT_MAX_CHARS}) AS link_text,
+               {O.strip(O.attr('tag', 'href'))} AS href, substr({O.text_of('inner_html')}, 1, {O.LINK_TEXT_MAX_CHARS}) AS link_text,
                'a' AS kind FROM lat),
 le AS (SELECT site, site_scheme, source_url, unnest(ems) AS tag,
               CAST(len(pcs) - 1 + generate_subscripts(ems, 1) - 1 AS INTEGER) AS position FROM lp),
@@ -256,7 +256,7 @@ def agg6_links_per_page(spark, d):
             FROM lk GROUP BY site, target_norm, source_url),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site, target_norm ORDER BY source_url) AS rk FROM first)
 SELECT site, target_norm, CAST(count(*) AS BIGINT) AS n_sources,
-  string_agg(CASE WHEN rk <= {L.MAX_REFERRERS} THEN source_url || ' ' || link_text END, chr(10) ORDER BY rk) AS referrers
+  string_agg(CASE WHEN rk <= {O.MAX_REFERRERS} THEN source_url || ' ' || link_text END, chr(10) ORDER BY rk) AS referrers
 FROM ranked GROUP BY site, target_norm""")
 def agg7_referrers(spark, d):
     """W1 + W2 + AGG7: first link per (target, source), at most 50 referrers
@@ -271,10 +271,10 @@ def _seo_sql(m: str) -> str:
     title = O.text_of(f"regexp_extract({m}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")
     desc = f"coalesce({O.strip(O.attr(O.first_tag_where(m, 'meta', 'name', 'description'), 'content'))}, '')"
     canon_tag = (f"list_filter({O.tags(m, 'link')}, lambda t: list_contains(regexp_split_to_array("
-                 f"{O.strip(O.attr('t', 'rel'))}, {lit(H.WS + '+')}), 'canonical'))[1]")
+                 f"{O.strip(O.attr('t', 'rel'))}, {lit(O.WS + '+')}), 'canonical'))[1]")
     og = ", ".join(
         f"CASE WHEN len(list_filter({O.tags(m, 'meta')}, lambda t: {O.attr('t', 'property')} = {lit(p)})) > 0 "
-        f"THEN {lit(p)} END" for p in H.OG_PROPERTIES)
+        f"THEN {lit(p)} END" for p in O.OG_PROPERTIES)
     return f"""{title} AS title, {desc} AS description,
   CAST(len(regexp_extract_all({m}, '(?i)<h1[\\s>/]', 0)) AS INTEGER) AS h1_count,
   coalesce({O.attr(canon_tag, 'href')}, '') AS canonical,
@@ -313,17 +313,17 @@ def _issues_sql() -> str:
     return f"""concat_ws(',',
     CASE WHEN http_status_code >= 400 THEN 'http_error' END,
     CASE WHEN {is_html} AND title = '' THEN 'no_title' END,
-    CASE WHEN {is_html} AND length(title) > {H.TITLE_MAX_CHARS} THEN 'title_long' END,
+    CASE WHEN {is_html} AND length(title) > {O.TITLE_MAX_CHARS} THEN 'title_long' END,
     CASE WHEN {is_html} AND description = '' THEN 'no_description' END,
-    CASE WHEN {is_html} AND length(description) > {H.DESCRIPTION_MAX_CHARS} THEN 'description_long' END,
+    CASE WHEN {is_html} AND length(description) > {O.DESCRIPTION_MAX_CHARS} THEN 'description_long' END,
     CASE WHEN {is_html} AND h1_count = 0 THEN 'no_h1' END,
     CASE WHEN {is_html} AND h1_count > 1 THEN 'multiple_h1' END,
     CASE WHEN {is_html} AND NOT has_viewport THEN 'no_viewport' END,
     CASE WHEN {is_html} AND lang = '' THEN 'no_lang' END,
     CASE WHEN {is_html} AND canonical = '' THEN 'no_canonical' END,
     CASE WHEN {is_html} AND contains(lower(robots), 'noindex') THEN 'noindex' END,
-    CASE WHEN load_time_ms > {H.SLOW_MS} THEN 'slow' END,
-    CASE WHEN page_size > {H.LARGE_BYTES} THEN 'large' END)"""
+    CASE WHEN load_time_ms > {O.SLOW_MS} THEN 'slow' END,
+    CASE WHEN page_size > {O.LARGE_BYTES} THEN 'large' END)"""
 
 
 def _tech_sql() -> str:
@@ -333,23 +333,30 @@ def _tech_sql() -> str:
     hrefs = f"list_transform(list_filter({O.tags(dm, 'link')}, lambda t: {O.has_attr('t', 'href')}), lambda t: lower({O.attr('t', 'href')}))"
     hay = f"array_to_string(list_concat({srcs}, {hrefs}), ' ')"
     parts = []
-    for needles, src in ((H.GENERATOR_MARKERS, gen), (H.URL_MARKERS, hay), (H.SERVER_MARKERS, "lower(h_server)"),
-                         (H.POWERED_BY_MARKERS, "lower(h_powered)")):
+    for needles, src in ((O.GENERATOR_MARKERS, gen), (O.URL_MARKERS, hay), (O.SERVER_MARKERS, "lower(h_server)"),
+                         (O.POWERED_BY_MARKERS, "lower(h_powered)")):
         for needle, name in needles:
             parts.append(f"CASE WHEN contains({src}, {lit(needle)}) THEN {lit(name)} END")
     found = f"list_filter(list_value({', '.join(parts)}), lambda x: x IS NOT NULL)"
     return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), ',')"
 
 
-@query("html10_issues", with_(SQL_F2) + f"""
-SELECT url, {_issues_sql()} AS issues FROM (SELECT *, {_seo_sql(O.clean('html'))} FROM f2)""")
+_GATE_SQL = (f"(NOT (redirect_url <> '' AND lower({O.part('redirect_url', 'netloc')}) <> site) "
+             "AND contains(lower(content_type), 'text/html') AND NOT (http_status_code = 0 AND error_message <> ''))")
+# the fetch log with the bodies of pages that are looked into
+SQL_F2G = f"""
+f2g AS (SELECT * REPLACE (CASE WHEN {_GATE_SQL} THEN html ELSE '' END AS html), {_GATE_SQL} AS looked FROM f2)"""
+
+
+@query("html10_issues", with_(SQL_F2, SQL_F2G) + f"""
+SELECT url, {_issues_sql()} AS issues FROM (SELECT *, {_seo_sql(O.clean('html'))} FROM f2g)""")
 def html10_issues(spark, d):
     """HTML10 over the fixture fetch log (codes, load times, sizes, types)."""
     out = P.with_findings(FX.fetch_log(spark, d))
     return out.select("url", F.array_join("issues", ",").alias("issues"))
 
 
-@query("html8_tech", with_(SQL_F2) + f"SELECT url, {_tech_sql()} AS tech FROM f2")
+@query("html8_tech", with_(SQL_F2, SQL_F2G) + f"SELECT url, CASE WHEN looked THEN {_tech_sql()} ELSE '' END AS tech FROM f2g")
 def html8_tech(spark, d):
     """HTML8: technologies from generator meta, script/link URLs and headers."""
     out = P.with_findings(FX.fetch_log(spark, d))
@@ -366,18 +373,18 @@ def html9_headers(spark, d):
     return out.select("url", H.headers_text(F.col("http_details")).alias("headers"))
 
 
-@query("agg12_issue_frequency", with_(SQL_F2) + f"""
+@query("agg12_issue_frequency", with_(SQL_F2, SQL_F2G) + f"""
 SELECT site, issue, CAST(count(*) AS BIGINT) AS pages FROM (
   SELECT site, unnest(string_split({_issues_sql()}, ',')) AS issue
-  FROM (SELECT *, {_seo_sql(O.clean('html'))} FROM f2)) WHERE issue <> '' GROUP BY site, issue""")
+  FROM (SELECT *, {_seo_sql(O.clean('html'))} FROM f2g)) WHERE issue <> '' GROUP BY site, issue""")
 def agg12_issue_frequency(spark, d):
     """AGG12: pages per (site, issue code)."""
     return ST.issue_frequency(P.with_findings(FX.fetch_log(spark, d)), "issues", "issue")
 
 
-@query("agg12_tech_frequency", with_(SQL_F2) + f"""
+@query("agg12_tech_frequency", with_(SQL_F2, SQL_F2G) + f"""
 SELECT site, technology, CAST(count(*) AS BIGINT) AS pages FROM (
-  SELECT site, unnest(string_split({_tech_sql()}, ',')) AS technology FROM f2) WHERE technology <> ''
+  SELECT site, unnest(string_split({_tech_sql()}, ',')) AS technology FROM f2g WHERE looked) WHERE technology <> ''
 GROUP BY site, technology""")
 def agg12_tech_frequency(spark, d):
     """AGG12: pages per (site, technology)."""
@@ -601,7 +608,7 @@ def j2_robots_allowed(spark, d):
 # G1: breadth-first crawl over the stored fetch log and links
 # ---------------------------------------------------------------------------
 
-G1_MAX_DEPTH = 3
+G1_MAX_DEPTH = 10
 
 SQL_G1 = f"""
 gu AS (SELECT site, url FROM r2),
@@ -643,7 +650,7 @@ def g1_crawl(spark, d):
 @query("g1_bfs_crawl", "WITH RECURSIVE " + with_(SQL_F2, SQL_F3, SQL_ROBOTS, SQL_G1)[5:] +
        "SELECT site, url, status, http_status_code, depth, parent_url, links_found FROM g1")
 def g1_bfs_crawl(spark, d):
-    """G1 + W4 + J2 + FLT1 + HTML5: BFS from the start page with robots, max depth 3."""
+    """G1 + W4 + J2 + FLT1 + HTML5: BFS from the start page with robots, max depth 10."""
     out = g1_crawl(spark, d)
     return out.results.select("site", "url", "status", "http_status_code", "depth", "parent_url", "links_found")
 

@@ -1,8 +1,9 @@
 """G1: click depth and reachability over stored links (breadth-first).
 
 Level-synchronous BFS for all sites at once. Before the loop the two large
-inputs are hash-partitioned once on their join keys and checkpointed, which
-keeps their partitioning, so every level shuffles only its frontier:
+inputs are hash-partitioned once on their join keys and checkpointed with
+adaptive execution off for that write, which keeps their partitioning (a test
+looks at the plan), so every level shuffles only its frontier:
 
 * ``fetches`` by (site, url) - the stored fetch result of each page,
 * ``links`` by (site, source_url) - the links found on each page.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import urls as U
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_by_key, ensure_checkpoint_dir
 from .links import is_link_extractable
 from .robots import allowed, prepare_rules
 
@@ -51,11 +52,6 @@ class CrawlOutput:
     links: DataFrame        # links of expanded pages with the source depth
 
 
-def _partitioned(df: DataFrame, keys: list[str]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).checkpoint(eager=True)
-
-
 def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: DataFrame | None = None,
               seeds: DataFrame | None = None, max_depth: int = DEFAULT_MAX_DEPTH) -> CrawlOutput:
     """Breadth-first crawl over a stored fetch log.
@@ -74,26 +70,32 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
                   "page_size", "last_modified"]
     f = fetches.drop("site_scheme").join(scheme, "site").select(
         "site", U.full_normalize(F.col("url"), F.col("site"), F.col("site_scheme")).alias("url"), *fetch_cols)
-    f = _partitioned(f, ["site", "url"])
+    # one result for each URL of the crawl, however often the log has it
+    f = f.groupBy("site", "url").agg(F.min(F.struct(*fetch_cols)).alias("_f")).select("site", "url", "_f.*")
+    f = checkpoint_by_key(f, ["site", "url"])
     lk = links.drop("site_scheme", "target_norm").join(scheme, "site").select(
         "site", U.full_normalize(F.col("source_url"), F.col("site"), F.col("site_scheme")).alias("source_url"),
         "position", "target_url", "link_text",
         U.full_normalize(F.col("target_url"), F.col("site"), F.col("site_scheme")).alias("target_norm"),
     ).withColumn("target_is_file", U.is_file(F.col("target_norm")))
-    lk = _partitioned(lk, ["site", "source_url"])
+    lk = checkpoint_by_key(lk, ["site", "source_url"])
 
     frontier = sites.select(
         "site", U.full_normalize(F.col("start_url"), F.col("site"), F.col("site_scheme")).alias("url"),
         F.lit(0).alias("depth"), F.lit("").alias("parent_url"))
     if seeds is not None:
         from .sitemap import seed_intake
-        level1_seeds = seed_intake(seeds, sites).select("site", "url", "depth", F.col("parent").alias("parent_url"))
+        taken = seed_intake(seeds, sites).select("site", "url", "depth", F.col("parent").alias("parent_url"))
+        level1_seeds = taken.where(~U.is_file(F.col("url")))
     prepared_rules = prepare_rules(rules) if rules is not None else None
     frontier = frontier.checkpoint(eager=True)
-    seen_parts = [frontier.select("site", "url")]
+    seen_parts = [checkpoint_by_key(frontier.select("site", "url"), ["site", "url"])]
     level_results: list[DataFrame] = []
     level_files: list[DataFrame] = []
     level_links: list[DataFrame] = []
+    if seeds is not None:  # seeds that are files are recorded, not crawled
+        level_files.append(taken.where(U.is_file(F.col("url"))).select(
+            "site", "url", F.col("parent_url").alias("first_source"), F.lit(0).alias("source_depth"), F.lit(-1).alias("position")))
 
     def seen_set() -> DataFrame:
         out = seen_parts[0]
@@ -110,7 +112,7 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
         if frontier.isEmpty():
             break
         if prepared_rules is not None:
-            checked = allowed(frontier, prepared_rules, prepared=True, unique_urls=True)
+            checked = allowed(frontier, prepared_rules, prepared=True)
         else:
             checked = frontier.withColumn("allowed", F.lit(True))
         fetched = checked.join(f, ["site", "url"], "left")
@@ -168,9 +170,9 @@ def bfs_crawl(sites: DataFrame, fetches: DataFrame, links: DataFrame, rules: Dat
             ).checkpoint(eager=True))
             break
         frontier = new.select("site", "url", "depth", "parent_url").checkpoint(eager=True)
-        seen_parts.append(frontier.select("site", "url"))
+        seen_parts.append(checkpoint_by_key(frontier.select("site", "url"), ["site", "url"]))
         if len(seen_parts) >= SEEN_COMPACT_EVERY:
-            seen_parts[:] = [seen_set().checkpoint(eager=True)]
+            seen_parts[:] = [checkpoint_by_key(seen_set(), ["site", "url"])]
 
     results = level_results[0]
     for r in level_results[1:]:

@@ -2,9 +2,9 @@
 
 Parsing explodes each file into numbered lines; the agent block a line
 belongs to is the last ``User-agent`` line before it (a running ``last``
-over the lines of one file). The permission test is an equi-join on
-``site`` with the small rule table (broadcast behind a size check), a
-pattern filter, and ``max_by`` per URL.
+over the lines of one file). The permission test joins each URL with its
+site's rules, held as one ranked array (broadcast behind a size check), and
+takes the first that matches: no row per rule, no aggregation.
 """
 
 from __future__ import annotations
@@ -81,27 +81,18 @@ def robots_path(url: Column) -> Column:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """The rule columns J2 needs, broadcast when the table is provably small."""
-    return broadcast_if_small(rules.select("site", "regex", "length", "allow"))
+    """One row a site: its rules as an array, longest pattern first and Allow
+    before Disallow, broadcast when there are provably few sites."""
+    ranked = F.sort_array(F.collect_list(F.struct("length", "allow", "regex")), asc=False)
+    return broadcast_if_small(rules.groupBy("site").agg(ranked.alias("_rules")))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False,
-            unique_urls: bool = False) -> DataFrame:
-    """``allowed`` per (site, url). Longest matching pattern wins, Allow
-    wins ties, no match means allowed. ``prepared`` = rules already passed
-    through ``prepare_rules`` (skips the size check). ``unique_urls`` = each
-    (site, url) occurs once in ``urls``: then the rows are kept whole through
-    one aggregation instead of a distinct, an aggregation and a join back."""
+def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False) -> DataFrame:
+    """``allowed`` per row of urls (site, url). The longest matching
+    pattern wins, Allow wins ties, no match means allowed: the first rule of
+    the site's array that matches decides, so a row stays one row. ``prepared``
+    = rules already passed through ``prepare_rules``."""
     r = rules if prepared else prepare_rules(rules)
-    if unique_urls:
-        cols = urls.columns
-        probe = urls.withColumn("_path", robots_path(F.col(url_col))).join(r, "site", "left")
-        match = F.col("regex").isNotNull() & F.expr("_path rlike regex")
-        best = F.max_by(F.col("allow"), F.when(match, F.struct("length", "allow")))
-        out = probe.groupBy(*cols).agg(best.alias("_allow"))
-        return out.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(True))).drop("_allow")
-    keyed = urls.select("site", F.col(url_col).alias("_u")).distinct().withColumn("_path", robots_path(F.col("_u")))
-    hits = keyed.join(r, "site").where(F.expr("_path rlike regex"))
-    best = hits.groupBy("site", "_u").agg(F.max_by("allow", F.struct("length", "allow")).alias("_allow"))
-    out = urls.join(best.withColumnRenamed("_u", url_col), ["site", url_col], "left")
-    return out.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(True))).drop("_allow")
+    probe = urls.withColumn("_path", robots_path(F.col(url_col))).join(r, "site", "left")
+    first = F.expr("get(filter(_rules, r -> _path rlike r.regex), 0).allow")
+    return probe.withColumn("allowed", F.coalesce(first, F.lit(True))).drop("_path", "_rules")

@@ -126,8 +126,12 @@ def sitemap_diff(results: DataFrame, sitemap: DataFrame) -> DataFrame:
 
 # --- sitemap documents ------------------------------------------------------
 
-def _loc_xpath(root: str, item: str) -> str:
-    return f'/*[local-name()="{root}"]/*[local-name()="{item}"]/*[local-name()="loc"]/text()'
+_SITEMAP_SCHEMA = "sitemap ARRAY<STRUCT<loc: STRING>>, url ARRAY<STRUCT<loc: STRING>>, _bad STRING"
+
+
+def _root_name(xml: Column) -> Column:
+    """Local name of the first element (declarations, comments and a doctype may come before it)."""
+    return F.regexp_extract(F.regexp_replace(xml, r"(?s)<!--.*?-->|<[?!][^>]*>", ""), r"^[\s\ufeff]*<(?:[^\s:/>]+:)?([^\s:/>]+)", 1)
 
 
 def parse_sitemap_documents(docs: DataFrame) -> DataFrame:
@@ -135,16 +139,18 @@ def parse_sitemap_documents(docs: DataFrame) -> DataFrame:
     locs ARRAY<STRING>): ``<loc>`` texts trimmed, empty ones skipped. An index
     (any ``sitemap/loc``) lists its children; its ``url`` entries are ignored.
     A document that is not well-formed XML yields no entries."""
-    wellformed = F.col("xml").rlike(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*<([A-Za-z_][\w:.-]*)[^>]*>.*</\2\s*>\s*$")
-    xml = F.when(wellformed, F.col("xml")).otherwise(F.lit("<invalid/>"))
-    children = F.xpath(xml, F.lit(_loc_xpath("sitemapindex", "sitemap")))
-    urls = F.xpath(xml, F.lit(_loc_xpath("urlset", "url")))
-    clean = lambda arr: F.filter(F.transform(arr, lambda s: F.trim(s)), lambda s: s != "")
-    is_index = F.size(clean(children)) > 0
-    return docs.select(
-        "site", "doc_url", is_index.alias("is_index"),
-        F.when(is_index, clean(children)).otherwise(clean(urls)).alias("locs"),
-    )
+    # parsed once, by Spark's XML reader; what it can't parse becomes null
+    parsed = docs.select("site", "doc_url", _root_name(F.col("xml")).alias("_root"), F.from_xml(
+        F.trim("xml"), _SITEMAP_SCHEMA, {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad"}).alias("_x"))
+    good = F.col("_x").isNotNull() & F.col("_x._bad").isNull()
+
+    def locs(root: str, item: str) -> Column:
+        found = F.filter(F.transform(F.col(f"_x.{item}.loc"), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
+        return F.when(good & (F.col("_root") == root), F.coalesce(found, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+
+    parsed = parsed.select("site", "doc_url", locs("sitemapindex", "sitemap").alias("_children"), locs("urlset", "url").alias("_urls"))
+    is_index = F.size("_children") > 0
+    return parsed.select("site", "doc_url", is_index.alias("is_index"), F.when(is_index, F.col("_children")).otherwise(F.col("_urls")).alias("locs"))
 
 
 def load_sitemap_urls(docs: DataFrame, root_urls: DataFrame, max_depth: int = MAX_INDEX_DEPTH) -> DataFrame:
@@ -183,14 +189,14 @@ def sitemap_file_seeds(parsed_file: DataFrame) -> DataFrame:
 def choose_sitemap(candidates: DataFrame) -> DataFrame:
     """SRC7: first valid candidate per site. ``candidates`` has (site,
     priority, url, head_status, head_content_type, get_status, get_prefix).
-    Valid: HEAD 200 with an xml/text content type, or a ranged GET 200/206
-    whose first 512 characters contain an XML or sitemap start tag."""
+    Valid: HEAD 200, and either an xml/text content type or a ranged GET
+    200/206 whose first 512 characters contain an XML or sitemap start tag."""
     ct = F.lower(F.coalesce(F.col("head_content_type"), F.lit("")))
-    head_ok = (F.col("head_status") == 200) & (ct.contains("xml") | ct.contains("text"))
+    known_type = ct.contains("xml") | ct.contains("text")
     prefix = F.substring(F.coalesce(F.col("get_prefix"), F.lit("")), 1, 512)
     get_ok = F.col("get_status").isin(200, 206) & (
         prefix.contains("<?xml") | prefix.contains("<urlset") | prefix.contains("<sitemapindex"))
-    valid = candidates.where(head_ok | get_ok)
+    valid = candidates.where((F.col("head_status") == 200) & (known_type | get_ok))
     return valid.groupBy("site").agg(F.min_by("url", "priority").alias("sitemap_url"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import urls as U
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_by_key, ensure_checkpoint_dir
 from .ordering import sequence_within_groups
 
 VISITED_COMPACT_EVERY = 8
@@ -47,7 +49,7 @@ def choose_roots(results: DataFrame, sites: DataFrame) -> DataFrame:
     return r.groupBy("site").agg(F.min_by("url", F.struct(rank, F.col("url"))).alias("root_url"))
 
 
-def page_tree(results: DataFrame, sites: DataFrame, max_levels: int = 1000) -> DataFrame:
+def page_tree(results: DataFrame, sites: DataFrame) -> DataFrame:
     """Nodes reachable from the root over parent links, breadth first with
     a visited set: (site, url, parent_url, level, path ARRAY<STRING>). The
     parent edges are hash-partitioned on (site, parent) once; each level is
@@ -58,8 +60,7 @@ def page_tree(results: DataFrame, sites: DataFrame, max_levels: int = 1000) -> D
     edges = results.where(F.coalesce(F.col("parent_url"), F.lit("")) != "").select(
         "site", F.col("parent_url").alias("_p"), F.col("url"))
     # partitioned once on the join key and kept: each level shuffles only its frontier
-    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.repartition(n, "site", "_p").checkpoint(eager=True)
+    edges = checkpoint_by_key(edges, ["site", "_p"])
     frontier = roots.select("site", F.col("root_url").alias("url"), F.lit("").alias("parent_url"),
                             F.lit(0).alias("level"), F.array(F.col("root_url")).alias("path")).checkpoint(eager=True)
     levels = [frontier]
@@ -71,7 +72,7 @@ def page_tree(results: DataFrame, sites: DataFrame, max_levels: int = 1000) -> D
             out = out.unionByName(part)
         return out
 
-    for level in range(1, max_levels + 1):
+    for level in itertools.count(1):
         nxt = frontier.select("site", F.col("url").alias("_p"), "path").join(edges, ["site", "_p"]).select(
             "site", "url", F.col("_p").alias("parent_url"), F.lit(level).alias("level"),
             F.concat("path", F.array(F.col("url"))).alias("path"))

@@ -19,23 +19,23 @@ f6 AS (
   SELECT {lit(FX.SITE)} AS site, {lit(FX.SITE_SCHEME)} AS site_scheme, page_id, '{FX.BASE}/p/' || CAST(page_id AS VARCHAR) AS url,
     '<html><body>' || CASE WHEN page_id % 5 = 0 THEN '<p><a href="https://' ||
       CASE WHEN page_id % 3 = 0 THEN 'www.site.example' WHEN page_id % 3 = 1 THEN 'site.example' ELSE 'test.site.example' END
-      || '/files/doc' || CAST(page_id % 20 AS VARCHAR) || '.pdf">Document ' || CAST(page_id % 20 AS VARCHAR) || '</a></p>'
+      || '/files/doc' || CAST((page_id % 20 + 20 * (page_id // 100)) AS VARCHAR) || '.pdf">Document ' || CAST((page_id % 20 + 20 * (page_id // 100)) AS VARCHAR) || '</a></p>'
       ELSE '<p>no files</p>' END
-      || CASE WHEN page_id % 25 = 10 THEN '<iframe src="https://solar.site.example/files/doc' || CAST(page_id % 20 AS VARCHAR)
+      || CASE WHEN page_id % 25 = 10 THEN '<iframe src="https://solar.site.example/files/doc' || CAST((page_id % 20 + 20 * (page_id // 100)) AS VARCHAR)
               || '.pdf"></iframe>' ELSE '' END
-      || CASE WHEN page_id % 10 = 0 THEN '<embed src="/files/doc' || CAST(page_id % 20 AS VARCHAR) || '.pdf?v=2">' ELSE '' END
+      || CASE WHEN page_id % 10 = 0 THEN '<embed src="/files/doc' || CAST((page_id % 20 + 20 * (page_id // 100)) AS VARCHAR) || '.pdf?v=2">' ELSE '' END
       || '<a href="https://site.example/p/1">page</a></body></html>' AS html
   FROM pages)"""
 
 SQL_F7 = f"""
-docs AS (SELECT DISTINCT page_id % 20 AS doc FROM f6 WHERE contains(html, '/files/doc')),
+docs AS (SELECT DISTINCT (page_id % 20 + 20 * (page_id // 100)) AS doc FROM f6 WHERE contains(html, '/files/doc')),
 f7 AS (
   SELECT '{FX.BASE}/files/doc' || CAST(doc AS VARCHAR) || '.pdf' AS url, 'HEAD' AS method,
-    CASE WHEN doc = 5 THEN 405 WHEN doc = 10 THEN 404 ELSE 200 END AS status_code, 'application/pdf' AS content_type,
-    CASE WHEN doc = 5 THEN '' ELSE CAST((doc + 1) * 1000 AS VARCHAR) END AS content_length, '' AS content_range FROM docs
+    CASE WHEN doc % 20 = 5 THEN 405 WHEN doc % 20 = 10 THEN 404 ELSE 200 END AS status_code, 'application/pdf' AS content_type,
+    CASE WHEN doc % 20 = 5 THEN '' ELSE CAST((doc + 1) * 1000 AS VARCHAR) END AS content_length, '' AS content_range FROM docs
   UNION ALL
   SELECT '{FX.BASE}/files/doc' || CAST(doc AS VARCHAR) || '.pdf', 'GET', 206, 'application/pdf', '1',
-    'bytes 0-0/' || CAST((doc + 1) * 1000 AS VARCHAR) FROM docs WHERE doc = 5),
+    'bytes 0-0/' || CAST((doc + 1) * 1000 AS VARCHAR) FROM docs WHERE doc % 20 = 5),
 j9 AS (
   SELECT h.url,
     CAST(CASE WHEN h.status_code IN (405, 501) AND g.url IS NOT NULL THEN g.status_code ELSE h.status_code END AS INTEGER)

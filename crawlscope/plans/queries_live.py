@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import exact_html as X
+from ..operators import links as L
 from ..operators import pages as P
 from ..session import ensure_checkpoint_dir
 from ..streaming import live as LV
-from .catalog import ORACLE, _pages, query
+from .catalog import ORACLE, SQL_F2, _pages, _tech_sql, query
 from .queries_runs import SQL_F8, STR6_LIMIT
 from .catalog import with_
 
@@ -49,14 +50,14 @@ def str2_live_counters(spark, d):
     return LV.run_to_table(LV.live_counters(reqs), "complete")
 
 
-@query("str3_stream_dedup")
+@query("str3_stream_dedup", with_(SQL_F8) + """
+SELECT DISTINCT host, 'https://' || host || '/m/' || strftime(ts, '%Y%m%d%H%M') AS url FROM f8""")
 def str3_stream_dedup(spark, d):
-    """STR3: discoveries of (host, minute page) de-duplicated within a
-    10-minute watermark."""
+    """STR3: discoveries of (host, minute page), each passed on once."""
     reqs = LV.request_stream(LV.event_stream(spark, d))
     disc = reqs.select("host", F.concat(F.lit("https://"), F.col("host"), F.lit("/m/"),
                                         F.date_format("ts", "yyyyMMddHHmm")).alias("url"), "ts", "event_id")
-    return LV.run_to_table(LV.dedup_discoveries(disc), "append")
+    return LV.run_to_table(LV.dedup_discoveries(disc).select("host", "url"), "append")
 
 
 @query("str1_live_page_state", with_(SQL_F8) + """
@@ -87,12 +88,13 @@ def udf2_exact_links(spark, d):
 
 @query("udf3_links_udtf")
 def udf3_links_udtf(spark, d):
-    """UDF3: links through the SQL table function ``extract_links`` with LATERAL."""
+    """UDF3: tags through the SQL table function ``link_candidates`` with LATERAL, links by columns."""
     X.register_udtf(spark)
     P.stored_pages_as_fetches(_pages(spark, d)).createOrReplaceTempView("crawlscope_pages")
-    return spark.sql("""
-        SELECT p.site, p.url AS source_url, l.position, l.target_url, l.target_norm, l.link_text, l.kind
-        FROM crawlscope_pages p, LATERAL extract_links(p.html, p.url, p.site, p.site_scheme) l""")
+    found = spark.sql("""
+        SELECT p.site, p.site_scheme, p.url AS source_url, p.url AS base, l.*
+        FROM crawlscope_pages p, LATERAL link_candidates(p.html) l""")
+    return L.links_of_candidates(found)
 
 
 ORACLE["udf2_exact_links"] = ORACLE["html1_links"]
@@ -115,4 +117,4 @@ def udf2_exact_tech(spark, d):
     return X.tech_exact(FX.fetch_log(spark, d))
 
 
-ORACLE["udf2_exact_tech"] = ORACLE["html8_tech"]
+ORACLE["udf2_exact_tech"] = with_(SQL_F2) + f"SELECT url, {_tech_sql()} AS tech FROM f2"

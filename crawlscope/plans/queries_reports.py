@@ -27,7 +27,7 @@ rf1 AS (SELECT f3.site, f3.target_url AS target_norm, f3.source_url, arg_min(f3.
         FROM f3 GROUP BY f3.site, f3.target_url, f3.source_url),
 rf2 AS (SELECT rf1.*, f2.depth AS source_depth FROM rf1 JOIN f2 ON f2.url = rf1.source_url),
 rf3 AS (SELECT *, row_number() OVER (PARTITION BY site, target_norm ORDER BY source_depth, source_url) AS rk FROM rf2),
-refs AS (SELECT * FROM rf3 WHERE rk <= {L.MAX_REFERRERS})"""
+refs AS (SELECT * FROM rf3 WHERE rk <= {O.MAX_REFERRERS})"""
 
 
 def fixture_referrers(spark, d) -> DataFrame:
@@ -331,7 +331,7 @@ lat AS (SELECT *, '<a ' || regexp_extract(piece, '^([^>]*)>?', 1) AS tag,
                regexp_extract(piece, '(?is)^[^>]*>(.*?)(?:</a\\s*>|$)', 1) AS inner_html FROM la),
 lac AS (SELECT site, site_scheme, source_url, position, {O.has_attr('tag', 'href')} AS present,
                {O.strip(O.attr('tag', 'href'))} AS href,
-               substr({O.strip(O.decode("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))}, 1, {H.LINK_TEXT_MAX_CHARS}) AS link_text,
+               substr({O.strip(O.decode("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))}, 1, {O.LINK_TEXT_MAX_CHARS}) AS link_text,
                'a' AS kind FROM lat),
 le AS (SELECT site, site_scheme, source_url, unnest(ems) AS tag,
               CAST(len(pcs) - 1 + generate_subscripts(ems, 1) - 1 AS INTEGER) AS position FROM lp),

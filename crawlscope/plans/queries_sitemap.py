@@ -66,8 +66,9 @@ def sitemap_probe_candidates(spark, d) -> DataFrame:
     """SRC7 input: robots Sitemap lines and well-known paths of every host,
     with logged probe answers. Rule: a robots-listed sitemap answers 200
     (text/xml) when the host name has odd length, else 404; the well-known
-    path number (host length mod 5) answers HEAD 405 and a ranged GET 206
-    with an XML prolog; other paths 404."""
+    path number (host length mod 5) answers HEAD 200 without a telling type and
+    a ranged GET 206 with an XML prolog; the path before it answers HEAD 405
+    and such a GET (which doesn't count); other paths 404."""
     robots = FX.robots_files(spark, d)
     sitemaps = R.robots_sitemaps(robots)
     bases = robots.select("site", F.concat(F.lit("https://"), F.col("site"), F.lit("/")).alias("base_url"))
@@ -76,13 +77,13 @@ def sitemap_probe_candidates(spark, d) -> DataFrame:
     from_robots = F.col("priority") < F.lit(1 << 40)
     k = F.col("priority") - F.lit(1 << 40)
     head = F.when(from_robots, F.when(odd, 200).otherwise(404)).otherwise(
-        F.when(k == F.length("site") % 5, 405).otherwise(404))
+        F.when(k == F.length("site") % 5, 200).when(k == F.length("site") % 5 - 1, 405).otherwise(404))
+    ranged = ~from_robots & k.isin(F.length("site") % 5, F.length("site") % 5 - 1)
     return cands.select(
         "site", "priority", "url", head.alias("head_status"),
-        F.when(from_robots & odd, F.lit("text/xml")).otherwise(F.lit("text/html")).alias("head_content_type"),
-        F.when(~from_robots & (k == F.length("site") % 5), 206).otherwise(404).alias("get_status"),
-        F.when(~from_robots & (k == F.length("site") % 5), F.lit('<?xml version="1.0"?><urlset>')).otherwise(
-            F.lit("")).alias("get_prefix"),
+        F.when(from_robots & odd, F.lit("text/xml")).otherwise(F.lit("application/octet-stream")).alias("head_content_type"),
+        F.when(ranged, 206).otherwise(404).alias("get_status"),
+        F.when(ranged, F.lit('<?xml version="1.0"?><urlset>')).otherwise(F.lit("")).alias("get_prefix"),
     )
 
 

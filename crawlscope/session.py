@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on. AQE re-plans joins and splits
 # skewed partitions at run time (the home page of a site is a hot link target).
@@ -40,6 +40,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def checkpoint_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A reliable checkpoint of df, hash-partitioned by keys, that keeps this
+    partitioning for later joins on the keys. Adaptive execution is off for the
+    write alone: it would replace the partitioning by one that joins can't use."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, *keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 

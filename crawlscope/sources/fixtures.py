@@ -189,17 +189,23 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.unionByName(per_host)
 
 
+def _doc_number(page_id):
+    """The document a page links: one for five pages, some documents linked from several."""
+    return page_id % 20 + 20 * F.floor(page_id / 100)
+
+
 def file_link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page markup of every page (site, site_scheme, url, html). Pages with
     page_id divisible by 5 link a document (on www., bare, or test.), every
     tenth also embeds it with a query string, and some also frame a copy on a
     sister sub-domain; every page links a page on the bare host."""
     i = F.col("page_id")
-    doc = F.concat(F.lit("/files/doc"), (i % 20).cast("string"), F.lit(".pdf"))
+    number = _doc_number(i).cast("string")
+    doc = F.concat(F.lit("/files/doc"), number, F.lit(".pdf"))
     host = F.when(i % 3 == 0, F.lit("www.site.example")).when(i % 3 == 1, F.lit("site.example")).otherwise(
         F.lit("test.site.example"))
     main = F.when(i % 5 == 0, F.concat(F.lit('<p><a href="https://'), host, doc, F.lit('">Document '),
-                                       (i % 20).cast("string"), F.lit("</a></p>"))).otherwise(F.lit("<p>no files</p>"))
+                                       number, F.lit("</a></p>"))).otherwise(F.lit("<p>no files</p>"))
     sister = F.when(i % 25 == 10, F.concat(F.lit('<iframe src="https://solar.site.example'), doc,
                                             F.lit('"></iframe>'))).otherwise(F.lit(""))
     embed = F.when(i % 10 == 0, F.concat(F.lit('<embed src="'), doc, F.lit('?v=2">'))).otherwise(F.lit(""))
@@ -215,18 +221,18 @@ def file_check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """logged HEAD and GET answers per document URL (url, method, status_code,
     content_type, content_length, content_range)."""
     docs = file_link_pages(spark, sf_dir).where(F.col("html").contains("/files/doc")).select(
-        (F.col("page_id") % 20).alias("doc")).distinct()
+        _doc_number(F.col("page_id")).alias("doc")).distinct()
     d = F.col("doc")
     url = F.concat(F.lit(f"{BASE}/files/doc"), d.cast("string"), F.lit(".pdf"))
     length = (d + 1) * 1000
     head = docs.select(
         url.alias("url"), F.lit("HEAD").alias("method"),
-        F.when(d == 5, 405).when(d == 10, 404).otherwise(200).cast("int").alias("status_code"),
+        F.when(d % 20 == 5, 405).when(d % 20 == 10, 404).otherwise(200).cast("int").alias("status_code"),
         F.lit("application/pdf").alias("content_type"),
-        F.when(d == 5, F.lit("")).otherwise(length.cast("string")).alias("content_length"),
+        F.when(d % 20 == 5, F.lit("")).otherwise(length.cast("string")).alias("content_length"),
         F.lit("").alias("content_range"),
     )
-    get = docs.where(d == 5).select(
+    get = docs.where(d % 20 == 5).select(
         url.alias("url"), F.lit("GET").alias("method"), F.lit(206).alias("status_code"),
         F.lit("application/pdf").alias("content_type"), F.lit("1").alias("content_length"),
         F.concat(F.lit("bytes 0-0/"), length.cast("string")).alias("content_range"),

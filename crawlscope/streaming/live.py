@@ -102,10 +102,10 @@ def live_counters(requests: DataFrame) -> DataFrame:
 
 # --- STR3: discovery de-dup -------------------------------------------------
 
-def dedup_discoveries(discoveries: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """STR3: first discovery of each (host, url) within the watermark; state
-    older than the watermark is dropped, so it stays bounded."""
-    return discoveries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host", "url"])
+def dedup_discoveries(discoveries: DataFrame) -> DataFrame:
+    """STR3: the first discovery of each (host, url). Seen URLs are never
+    forgotten: the state store holds one key for each, spread over all tasks."""
+    return discoveries.dropDuplicates(["host", "url"])
 
 
 # --- UDF1: result callback --------------------------------------------------
@@ -146,15 +146,11 @@ def latest_rows(log: DataFrame, keys=("host", "url"), order=("batch_id", "ts"))
 # --- STR4: referrer buffer --------------------------------------------------
 
 REFERRER_OUT = "target STRING, source_url STRING, link_text STRING, ts TIMESTAMP"
-STATE_TTL_MS = 24 * 3600 * 1000
 REFERRER_STATE = "fetched BOOLEAN, sources ARRAY<STRING>, texts ARRAY<STRING>, times ARRAY<TIMESTAMP>"
 
 
 def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     target = key[0]
-    if state.hasTimedOut:  # no event for this key within a day of event time
-        state.remove()
-        return
     fetched, sources, texts, times = (state.get if state.exists else (False, [], [], []))
     sources, texts, times = list(sources), list(texts), list(times)
     out = []
@@ -171,32 +167,31 @@ def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 if fetched:
                     out.append((row.source_url, row.link_text, row.ts))
     state.update((fetched, sources, texts, times))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + STATE_TTL_MS)
     if out:
         yield pd.DataFrame({"target": [target] * len(out), "source_url": [o[0] for o in out],
                             "link_text": [o[1] for o in out], "ts": [o[2] for o in out]})
 
 
-# State keys per target. Page events are copied to every salt, so the key
-# count (one Python call per key and micro-batch) grows with the salt count:
-# 1 unless targets are known to be hot, then e.g. 16.
-REFERRER_SALTS = 1
+# State keys per target: a hot target (every page links the home page) is
+# spread over so many tasks. Page events are copied to every salt, so the key
+# count (one Python call per key and micro-batch) grows with it.
+REFERRER_SALTS = 2
 
 
 def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS) -> DataFrame:
     """STR4: ``events`` has (target, kind 'link'|'page', source_url,
     link_text, ts). Links seen before their target is fetched are held in
-    keyed state and released when the page arrives; later links pass
-    straight through. A key idle for a day of event time (past the watermark)
-    is dropped, so state stays bounded.
+    keyed state and released when the page arrives, however late; later links
+    pass straight through. State holds at most 50 sources for each target and
+    salt, and grows with the number of targets.
 
     The state key is (target, salt) with salt = hash(source) mod ``salts``:
     with ``salts > 1`` a hot target is spread over that many tasks, each
     keeping its first 50 distinct sources, and page events go to every salt
     of their target. The union of the per-salt lists contains the target's
     first 50 sources; ``cap_referrers`` keeps exactly those."""
-    return _salted(events, salts).withWatermark("ts", "1 hour").groupBy("target", "salt").applyInPandasWithState(
-        _referrer_state, REFERRER_OUT, REFERRER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _salted(events, salts).groupBy("target", "salt").applyInPandasWithState(
+        _referrer_state, REFERRER_OUT, REFERRER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _salted(events: DataFrame, salts: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import exact_html as X
 from ..operators import links as L
 from ..operators import pages as P
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from ..streaming import live as LV
 from .catalog import ORACLE, SQL_F2, _pages, _tech_sql, query
 from .queries_runs import SQL_F8, STR6_LIMIT
@@ -72,10 +72,17 @@ def str1_live_page_state(spark, d):
     return LV.latest_rows(log).select("host", "url", "status_code", "redirect_url")
 
 
-@query("str4_referrer_buffer")
+@query("str4_referrer_buffer", with_(SQL_F8) + """
+, links AS (SELECT 'https://' || host || '/' AS target, url AS source_url, 'home' AS link_text, ts FROM f8
+            UNION ALL SELECT 'https://' || host || '/e/' || CAST(event_id + 1 AS VARCHAR), url, 'next', ts FROM f8),
+firsts AS (SELECT target, source_url, arg_min(link_text, ts) AS link_text, min(ts) AS ts FROM links
+           WHERE target IN (SELECT url FROM f8) GROUP BY target, source_url)
+SELECT target, source_url, link_text, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts, source_url) AS n FROM firsts) WHERE n <= 50""")
 def str4_referrer_buffer(spark, d):
     """STR4: referrers held in keyed state (salted by source) until their
     target is fetched; at most the first 50 distinct sources per target."""
+    ship_package(spark)
     events = LV.link_and_page_events(LV.request_stream(LV.event_stream(spark, d)))
     return LV.cap_referrers(LV.run_to_table(LV.referrer_buffer(events), "append"))
 
@@ -83,12 +90,14 @@ def str4_referrer_buffer(spark, d):
 @query("udf2_exact_links")
 def udf2_exact_links(spark, d):
     """UDF2: HTML1-HTML3 in exact-HTML mode (stdlib parser in mapInPandas)."""
+    ship_package(spark)
     return X.extract_links_exact(P.stored_pages_as_fetches(_pages(spark, d)))
 
 
 @query("udf3_links_udtf")
 def udf3_links_udtf(spark, d):
     """UDF3: tags through the SQL table function ``link_candidates`` with LATERAL, links by columns."""
+    ship_package(spark)
     X.register_udtf(spark)
     P.stored_pages_as_fetches(_pages(spark, d)).createOrReplaceTempView("crawlscope_pages")
     found = spark.sql("""
@@ -104,6 +113,7 @@ ORACLE["udf3_links_udtf"] = ORACLE["html1_links"]
 @query("udf2_exact_seo")
 def udf2_exact_seo(spark, d):
     """UDF2: HTML7 in exact-HTML mode (stdlib parser in mapInPandas)."""
+    ship_package(spark)
     return X.seo_exact(_pages(spark, d))
 
 
@@ -113,6 +123,7 @@ ORACLE["udf2_exact_seo"] = ORACLE["html7_seo"]
 @query("udf2_exact_tech")
 def udf2_exact_tech(spark, d):
     """UDF2: HTML8 in exact-HTML mode over the fixture fetch log."""
+    ship_package(spark)
     from ..sources import fixtures as FX
     return X.tech_exact(FX.fetch_log(spark, d))
 

@@ -7,6 +7,7 @@ session already has and only fills gaps for local runs (tests, bench).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,20 @@ def checkpoint_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, where they can't import
+    it from their own path: as a zip, once for each Spark context. A cluster
+    that has the package installed (pyproject.toml) doesn't need it, but isn't harmed."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in known or getattr(sc, "_crawlscope_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="crawlscope-zip-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "crawlscope"), "zip", root, "crawlscope"))
+    sc._crawlscope_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
@@ -71,7 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master.split("[")[0] != "local":
         raise RuntimeError(
             "spark.checkpoint.dir is not set; iterative jobs need a shared checkpoint folder on a cluster"
         )

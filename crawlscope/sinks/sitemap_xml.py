@@ -1,9 +1,8 @@
 """Sitemap XML writers (SNK1, SNK2).
 
 Rows become ``<url>`` elements with column expressions; files are written
-with Spark's XML data source, one folder per (site, part) so that every
-part holds at most 50,000 URLs, plus a ``<sitemapindex>`` naming the parts
-when a site needs more than one.
+with Spark's XML data source, one for each part of at most 50,000 URLs, plus a
+``<sitemapindex>`` naming the parts when a site needs more than one.
 """
 
 from __future__ import annotations
@@ -44,17 +43,43 @@ def part_file_name(part: Column, parts: Column, base: str = "sitemap", ext: str
 
 
 def write_sitemaps(rows: DataFrame, path: str, max_urls: int = MAX_URLS_PER_SITEMAP) -> None:
-    """SNK1 + SNK2: write every site's sitemap parts and, for sites with more
-    than one part, an index of relative part names. Sites with no rows get
-    no file. Output: ``path/urls/site=…/part=…/`` and ``path/index/site=…/``."""
+    """SNK1 + SNK2: ``path/site=…/sitemap.xml`` for every site with rows; a site
+    of more than ``max_urls`` rows gets ``sitemap-1.xml``, ``sitemap-2.xml``, …
+    and ``sitemap.xml`` is the index that names them in order.
+
+    Spark writes one file for each (site, part) and one index for each site
+    into a scratch folder beside the target; the driver then gives them their
+    names, one rename (no data) for each file.
+    """
+    spark = rows.sparkSession
     parted = with_parts(rows, max_urls)
     out = parted.select(
-        "site", "part", F.col("url").alias("loc"),
+        "site", "part", "parts", F.col("url").alias("loc"),
         F.when(F.col("last_modified") != "", F.col("last_modified")).alias("lastmod"), "priority", "seq")
-    (out.repartition("site", "part").sortWithinPartitions("site", "part", "seq").drop("seq")
-     .write.mode("overwrite").partitionBy("site", "part").format("xml")
-     .option("rowTag", "url").option("rootTag", f'urlset xmlns="{SITEMAP_NS}"').save(f"{path}/urls"))
-    index = parted.where(F.col("parts") > 1).select("site", "part", "parts").distinct().select(
-        "site", part_file_name(F.col("part"), F.col("parts")).alias("loc"))
-    (index.write.mode("overwrite").partitionBy("site").format("xml").option("rowTag", "sitemap")
-     .option("rootTag", f'sitemapindex xmlns="{SITEMAP_NS}"').save(f"{path}/index"))
+    scratch = f"{path}/_writing"
+    (out.withColumn("file", part_file_name(F.col("part"), F.col("parts"))).repartition("site", "file")
+     .sortWithinPartitions("site", "file", "seq").drop("seq", "part", "parts")
+     .write.mode("overwrite").partitionBy("site", "file").format("xml")
+     .option("rowTag", "url").option("rootTag", f'urlset xmlns="{SITEMAP_NS}"').save(f"{scratch}/urls"))
+    index = parted.where(F.col("parts") > 1).select("site", "part", "parts").distinct()
+    (index.repartition("site").sortWithinPartitions("site", "part")
+     .select("site", F.lit("sitemap.xml").alias("file"), part_file_name(F.col("part"), F.col("parts")).alias("loc"))
+     .write.mode("overwrite").partitionBy("site", "file").format("xml").option("rowTag", "sitemap")
+     .option("rootTag", f'sitemapindex xmlns="{SITEMAP_NS}"').save(f"{scratch}/index"))
+    _named(spark, scratch, path)
+
+
+def _named(spark, scratch: str, path: str) -> None:
+    """Move ``scratch/*/site=…/file=NAME/part-…`` to ``path/site=…/NAME``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(hadoop.Path(f"{scratch}/*/site=*/file=*/part-*")) or []:
+        file = found.getPath()
+        folder = hadoop.Path(target, file.getParent().getParent().getName())
+        fs.mkdirs(folder)
+        name = hadoop.Path(folder, file.getParent().getName().removeprefix("file="))
+        fs.delete(name, False)
+        if not fs.rename(file, name):
+            raise OSError(f"can't rename {file} to {name}")
+    fs.delete(hadoop.Path(scratch), True)

@@ -121,3 +121,31 @@ def test_politeness_matches_loop(spark):
     assert base is not None
     off = RU.politeness_schedule(df, 0).select("delay_s").distinct().collect()
     assert [r.delay_s for r in off] == [0.0]
+
+
+def test_key_checkpoint_is_not_shuffled_again(spark):
+    from crawlscope.session import checkpoint_by_key
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = checkpoint_by_key(spark.range(1000).selectExpr("id % 7 AS site", "id AS url"), ["site", "url"])
+        new = spark.range(50).selectExpr("id % 7 AS site", "id AS url").repartition(3)
+        plan = new.join(kept, ["site", "url"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # only the new side is dealt by the join keys
+    assert "Scan ExistingRDD" in plan and plan.count("ENSURE_REQUIREMENTS") == 1, plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_crawl_takes_each_url_once_and_file_seeds_as_files(spark):
+    sites = spark.createDataFrame([("h", "https", "https://h/")], "site string, site_scheme string, start_url string")
+    row = ("h", "https://h/", 200, "", "text/html", "", 1.0, 5, "")
+    fetches = spark.createDataFrame([row, row], "site string, url string, http_status_code int, redirect_url string, content_type string, error_message string, load_time_ms double, page_size long, last_modified string")
+    links = spark.createDataFrame([("h", "https://h/", 0, "https://h/a", "a")], "site string, source_url string, position int, target_url string, link_text string")
+    seeds = spark.createDataFrame([("h", "https://h/doc.pdf"), ("h", "https://h/b")], "site string, url string")
+    out = C.bfs_crawl(sites, fetches, links, seeds=seeds)
+    found = sorted((r.url, r.status, r.depth, r.links_found) for r in out.results.collect())
+    assert found == [("https://h/", "ok", 0, 1), ("https://h/a", "pending", 1, 0), ("https://h/b", "pending", 1, 0)]
+    assert [(r.url, r.first_source) for r in out.file_links.collect()] == [("https://h/doc.pdf", "https://h/")]

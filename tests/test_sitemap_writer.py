@@ -57,20 +57,20 @@ def test_xml_files_and_split(spark):
     rows = _rows(spark)
     out = tempfile.mkdtemp(prefix="sitemap-test-")
     SX.write_sitemaps(rows, out, max_urls=3)
-    parts = sorted(glob.glob(os.path.join(out, "urls", "site=www.s.example", "part=*", "*.xml")))
-    locs = []
+    folder = os.path.join(out, "site=www.s.example")
+    assert sorted(os.listdir(out)) == ["site=www.s.example"] or not glob.glob(os.path.join(out, "_writing", "*"))
+    assert sorted(f for f in os.listdir(folder) if not f.startswith(".")) == ["sitemap-1.xml", "sitemap-2.xml", "sitemap.xml"]
     ns = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
-    for p in parts:
-        root = ET.parse(p).getroot()
-        locs += [u.find(f"{ns}loc").text for u in root.findall(f"{ns}url")]
+    names = [e.find(f"{ns}loc").text for e in ET.parse(os.path.join(folder, "sitemap.xml")).getroot().findall(f"{ns}sitemap")]
+    assert names == ["sitemap-1.xml", "sitemap-2.xml"]
+    locs = []
+    for name in names:
+        root = ET.parse(os.path.join(folder, name)).getroot()
+        locs.append([u.find(f"{ns}loc").text for u in root.findall(f"{ns}url")])
         for u in root.findall(f"{ns}url"):
             lm = u.find(f"{ns}lastmod")
             assert lm is None or lm.text
-    assert sorted(locs) == sorted(r.url for r in rows.collect())
-    assert len({os.path.dirname(p) for p in parts}) == 2
-    index = glob.glob(os.path.join(out, "index", "site=www.s.example", "*.xml"))
-    names = [e.find(f"{ns}loc").text for f in index for e in ET.parse(f).getroot().findall(f"{ns}sitemap")]
-    assert sorted(names) == ["sitemap-1.xml", "sitemap-2.xml"]
+    assert len(locs[0]) == 3 and sorted(sum(locs, [])) == sorted(r.url for r in rows.collect())
 
 
 def test_parse_documents(spark):
@@ -80,10 +80,12 @@ def test_parse_documents(spark):
         ("s", "u2", "<urlset><url><loc>https://s/b</loc></url></urlset>"),
         ("s", "idx", "<sitemapindex><sitemap><loc>u1</loc></sitemap><url><loc>https://s/ignored</loc></url></sitemapindex>"),
         ("s", "bad", "<urlset><url><loc>https://s/c</loc>"),
+        ("s", "amp", "<urlset><url><loc>https://s/c?a&b</loc></url></urlset>"), ("s", "none", None),
+        ("s", "pi", '<?xml version="1.0"?><?xml-stylesheet href="x"?><!-- <x> --><urlset><url><loc>https://s/d</loc></url></urlset>'),
     ], "site string, doc_url string, xml string")
     got = {r.doc_url: (r.is_index, list(r.locs)) for r in SM.parse_sitemap_documents(docs).collect()}
     assert got == {"u1": (False, ["https://s/a"]), "u2": (False, ["https://s/b"]), "idx": (True, ["u1"]),
-                   "bad": (False, [])}
+                   "bad": (False, []), "amp": (False, []), "none": (False, []), "pi": (False, ["https://s/d"])}
     roots = spark.createDataFrame([("s", "idx")], "site string, doc_url string")
     assert sorted(r.url for r in SM.load_sitemap_urls(docs, roots).collect()) == ["https://s/a"]
 

@@ -20,18 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from crawlscope.llm import bag_minhash, decontamination, huffman, packing, secret_ledger, toxicity
 from crawlscope.llm.queries import END_ID, VOCABULARY
 from crawlscope.llm.shared import shared_path, table
+from crawlscope.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return bag_minhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -40,6 +44,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return huffman.crc32_of(packing.pack(docs, VOCABULARY, END_ID))
 
 

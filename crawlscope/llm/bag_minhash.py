@@ -281,8 +281,11 @@ def classes(rows: DataFrame) -> DataFrame:
     first = written(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "buckets")
     buckets = written(keyed.join(first, "key"), "bucket-members")
     pairs = written(buckets.filter("node != lead").select("node", "lead").distinct(), "star-pairs")
-    stars = written(_verified_stars(pairs, table.select("node", "bag")), "stars").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    across = written(_across_groups(buckets.select("key", "band", "node"), components(stars), table), "across")
+    # multisets are needed of nodes that share a bucket, a part of all; the others' never move if the part's ids are few
+    shared = table.select("node", "bands", "bag").join(broadcast_if_small(buckets.select("node").distinct()), "node", "left_semi")
+    shared = written(shared, "candidates", compression="zstd")
+    stars = written(_verified_stars(pairs, shared.select("node", "bag")), "stars").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    across = written(_across_groups(buckets.select("key", "band", "node"), components(stars), shared), "across")
     labels = components(stars.unionByName(across))
     grouped = leads.join(labels, leads["lead"] == labels["node"], "left").select("digest", F.coalesce("component", "lead").alias("component"))
     full = written(members.join(grouped, "digest").select("node", "id", "component"), "members")

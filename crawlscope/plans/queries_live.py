@@ -17,9 +17,9 @@ from .catalog import with_
 @query("str6_rate_audit_stream")
 def str6_rate_audit_stream(spark, d):
     """STR6 as a stream: one-minute tumbling windows per host over the events
-    file stream (complete mode)."""
+    file stream (update mode: windows behind the watermark leave the state)."""
     reqs = LV.request_stream(LV.event_stream(spark, d)).withWatermark("ts", "10 minutes")
-    return LV.run_to_table(LV.rate_audit(reqs, STR6_LIMIT), "complete")
+    return LV.run_to_table(LV.rate_audit(reqs, STR6_LIMIT), "update", ["host", "window_start"])
 
 
 ORACLE["str6_rate_audit_stream"] = ORACLE["str6_rate_audit"]
@@ -34,7 +34,7 @@ SELECT host, hour, total_3xx FROM c WHERE total_2xx = 0 AND total_3xx > 0""")
 def str7_block_alarm_stream(spark, d):
     """STR7: hourly windows per host with only redirects, from the stream."""
     reqs = LV.request_stream(LV.event_stream(spark, d)).withWatermark("ts", "2 hours")
-    return LV.block_alarm(LV.run_to_table(LV.window_counters(reqs, "1 hour"), "complete"))
+    return LV.block_alarm(LV.run_to_table(LV.window_counters(reqs, "1 hour"), "update", ["host", "hour"]))
 
 
 @query("str2_live_counters", with_(SQL_F8) + """
@@ -47,7 +47,7 @@ FROM f8 GROUP BY host""")
 def str2_live_counters(spark, d):
     """STR2: live AGG1 counters per host maintained by a streaming aggregation."""
     reqs = LV.request_stream(LV.event_stream(spark, d))
-    return LV.run_to_table(LV.live_counters(reqs), "complete")
+    return LV.run_to_table(LV.live_counters(reqs), "update", ["host"])
 
 
 @query("str3_stream_dedup", with_(SQL_F8) + """

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import status as S
@@ -48,15 +49,25 @@ def request_stream(events: DataFrame) -> DataFrame:
         F.col("value").alias("elapsed_ms"))
 
 
-def run_to_table(df: DataFrame, mode: str, name: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available and return its memory
-    table (for checks and small live views; large outputs use a file sink)."""
+def run_to_table(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming query over everything available into files of the
+    shared folder, one folder a micro-batch (written anew if a batch is
+    repeated), and return its table. In ``update`` mode that is the last row
+    for each of ``keys``: the state store holds only open windows or keys, and
+    nothing goes through the driver."""
     spark = df.sparkSession
-    name = name or f"live_{uuid.uuid4().hex[:10]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", _scratch(spark, name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    path = _scratch(spark, "stream-table")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch_id=-1")
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", _scratch(spark, "stream"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+    if mode == "append":
+        return rows.drop("batch_id")
+    return latest_rows(rows, keys, ["batch_id"]).select(*[c for c in rows.columns if c != "batch_id"])
 
 
 # --- STR6 / STR7: windows ---------------------------------------------------

@@ -31,7 +31,7 @@ def test_exact_mode_agrees_with_regex_mode(spark):
 
 def test_stream_counters_equal_batch(spark):
     reqs = LV.request_stream(LV.event_stream(spark, SF_SMALL))
-    live = LV.run_to_table(LV.live_counters(reqs), "complete")
+    live = LV.run_to_table(LV.live_counters(reqs), "update", ["host"])
     batch = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
         (F.concat(F.lit("h"), (F.col("user_id") % 10).cast("string"), F.lit(".example"))).alias("host"))
     want = {r.host: r["count"] for r in batch.groupBy("host").count().collect()}

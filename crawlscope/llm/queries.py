@@ -33,12 +33,14 @@ def query(fn):
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over documents: bytes and tokens of every whole text, and whether it has more than 512."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 @query
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over documents: ids written in Huffman blocks and read back; start, count and checksum of each document."""
     path = shared_path(spark, "huffman")
     huffman.write(table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID)
     return huffman.crc32_of(huffman.read(spark, path))
@@ -46,6 +48,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over documents: every piece with its sequence, offset and checksum."""
     return huffman.crc32_of(packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, END_ID))
 
 
@@ -55,6 +58,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over pages: host, path, longest fitting rule and verdict of every URL."""
     rules = [url_filter.host_rule(*r) for r in URL_RULES]
     return url_filter.judge(table(spark, sf_dir, "pages", ["page_id", "url"]), rules, default="allow")
 
@@ -98,6 +102,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
 @query
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over captures of pages: every revisit with the response it stands for and the merged headers."""
     found = revisits.resolve(captures_of_pages(table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
     return found.withColumn("ts", F.unix_seconds("ts")).withColumn("headers", revisits.header_lines(F.col("headers")))
 
@@ -139,6 +144,7 @@ FROM judged
 
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over documents: secret spans of every document, through a ledger of its blobs."""
     documents = table(spark, sf_dir, "documents", ["doc_id", "text"])
     empty = spark.createDataFrame([], secret_ledger.LEDGER_SCHEMA)
     ledger = written(secret_ledger.scan(documents, empty), "ledger")
@@ -150,11 +156,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over embeddings: links, component and whether a vector stands for its component."""
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over documents: score of every text by a model that never saw the held-out fifth's labels."""
     documents = table(spark, sf_dir, "documents", ["doc_id", "text"])
     model = toxicity.fit(documents, toxicity.training_labels(table(spark, sf_dir, "labels")))
     scored = toxicity.score(documents, model)
@@ -163,9 +171,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over documents: the class of near duplicates of every document."""
     return bag_minhash.document_classes(table(spark, sf_dir, "documents"))
 
 
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over documents and benchmark: every contaminated document with item, distance and span."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -179,3 +179,50 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 1 over documents and benchmark: every contaminated document with item, distance and span."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _spans_sql() -> str:
+    """CTE ``spans`` (rid, start, k, stop, name): the task's three patterns, written for DuckDB."""
+    rules = [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+    ]
+    each = []
+    for k, (name, pattern, group, least) in enumerate(rules):
+        each.append(f"""
+  SELECT rid, {k} AS k, '{name}' AS name, length(tested[i]) >= {least} AS good,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start,
+         length(hits[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT rid, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits,
+           regexp_extract_all(t, '{pattern}', {group}) AS tested FROM d WHERE regexp_matches(t, '{pattern}')))""")
+    return "spans AS (" + " UNION ALL ".join(each) + ")"
+
+
+ORACLE["op6_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+{_spans_sql()},
+found AS (
+  SELECT rid, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS c,
+         string_agg(name || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + n AS BIGINT) AS VARCHAR), ',' ORDER BY start, k) AS s
+  FROM spans WHERE good GROUP BY rid)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM d LEFT JOIN found USING (rid)
+"""
+
+ORACLE["op8_embedding_dups"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+         ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(node, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT near.b, reach.other FROM reach JOIN near ON near.a = reach.node),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT e.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN links ON links.a = e.vec_id
+"""

@@ -214,6 +214,11 @@ def referrers_per_target(links: DataFrame, limit: int = MAX_REFERRERS, source_ra
     return lists.join(counts, ["site", "target_norm"])
 
 
+def links_to(links: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The links whose target is one of pages (semi join before any grouping)."""
+    return links.join(pages.select("site", F.col(url_col).alias("target_norm")), ["site", "target_norm"], "left_semi")
+
+
 def attach_referrers(pages: DataFrame, referrers: DataFrame, url_col: str = "url") -> DataFrame:
     """Page rows get the referrer list of the target equal to their URL."""
     r = referrers.select("site", F.col("target_norm").alias(url_col), "referring_pages")
@@ -258,11 +263,12 @@ def locate_candidates(target_url: Column, source_url: Column, link_text: Column)
     ]
 
 
-def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html") -> DataFrame:
+def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:
     """For (target_url, source_url, link_text) rows find the first
     candidate in the source HTML; 1-based line and column and match length,
     (0, 0, 0) when nothing matches. Rows whose source page is missing keep
-    their fields and get (0, 0, 0)."""
+    their fields and get (0, 0, 0). ``keep_html`` adds the source's ``html``,
+    for work in the same stage."""
     src = pages.select(F.col("url").alias("source_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     # dead links are grouped per source page first (a page's list is bounded
     # by its own links), so each page's HTML crosses the shuffle once, not
@@ -297,4 +303,5 @@ def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html")
         F.when(found, last_line + 1).otherwise(0).cast("int").alias("column"),
         F.when(found, F.char_length("_hit")).otherwise(0).cast("int").alias("match_length"),
     )
-    return located.drop("_html", "_hit", "_idx", "_prefix")
+    out = located.drop("_hit", "_idx", "_prefix")
+    return out.withColumnRenamed("_html", "html") if keep_html else out.drop("_html")

@@ -39,6 +39,14 @@ def fixture_pages_with_referrers(spark, d) -> DataFrame:
     return L.attach_referrers(fixture_pages(spark, d), fixture_referrers(spark, d))
 
 
+def fixture_dead_links(spark, d) -> DataFrame:
+    """Dead pages with their referrers: only links to dead pages are gathered."""
+    dead = RP.dead_links(fixture_pages(spark, d))
+    rank = FX.fetch_log(spark, d).select("site", F.col("url").alias("source_url"), F.col("depth").alias("source_depth"))
+    links = L.links_to(FX.edges(spark, d), dead)
+    return L.attach_referrers(dead, L.referrers_per_target(links, source_rank=rank))
+
+
 def _refs_text() -> F.Column:
     return F.array_join(F.transform("referring_pages", lambda r: F.concat(r["url"], F.lit(" "), r["link_text"])), "\n")
 
@@ -67,7 +75,7 @@ FROM dead LEFT JOIN refs ON refs.site = dead.site AND refs.target_norm = dead.ur
 GROUP BY dead.url, dead.http_status_code, dead.status, dead.error_message""")
 def j10_dead_links(spark, d):
     """FLT4 + J10: dead links with their referrers."""
-    dead = RP.dead_links(fixture_pages_with_referrers(spark, d))
+    dead = fixture_dead_links(spark, d)
     return dead.select("url", "http_status_code", "status", "error_message",
                        F.size("referring_pages").cast("bigint").alias("n_referrers"), _refs_text().alias("referrers"))
 
@@ -87,7 +95,7 @@ SELECT site, url, '| ' || {_md('url')} || ' | ' || CASE WHEN http_status_code <>
   || ' | ' || status || ' | ' || coalesce(referring, '-') || ' |' AS line FROM agg""")
 def snk5_markdown_table(spark, d):
     """SNK5: Markdown tracker-table rows of all dead links."""
-    return RP.markdown_rows(RP.dead_links(fixture_pages_with_referrers(spark, d)))
+    return RP.markdown_rows(fixture_dead_links(spark, d))
 
 
 @query("snk6_wiki_table", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD) + f"""
@@ -101,7 +109,7 @@ SELECT site, url, '|[' || url || ']|' || CASE WHEN http_status_code <> 0 THEN CA
   || '|' || status || '|' || coalesce(referring, '-') || '|' AS line FROM agg""")
 def snk6_wiki_table(spark, d):
     """SNK6: wiki-markup tracker-table rows of all dead links."""
-    return RP.wiki_rows(RP.dead_links(fixture_pages_with_referrers(spark, d)))
+    return RP.wiki_rows(fixture_dead_links(spark, d))
 
 
 @query("snk3_error_report", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD, """
@@ -129,8 +137,7 @@ GROUP BY dead.site, dead.url, dead.http_status_code, dead.status, dead.error_mes
 def snk3_error_report(spark, d):
     """SNK3: error report as JSON lines (summary per site, one per dead link)."""
     from ..operators import stats as ST
-    pages = fixture_pages_with_referrers(spark, d)
-    return RP.error_report_lines(RP.dead_links(pages), ST.run_counters(pages))
+    return RP.error_report_lines(fixture_dead_links(spark, d), ST.run_counters(fixture_pages(spark, d)))
 
 
 @query("snk4_forms_report", with_(SQL_F2) + """
@@ -192,9 +199,9 @@ j11 AS (SELECT source_url, position, target_url, src_html,
         FROM jp)"""
 
 
-def located_links(spark, d) -> DataFrame:
+def located_links(spark, d, keep_html: bool = False) -> DataFrame:
     links = real_links(spark, d).select("source_url", "position", "target_url", "link_text")
-    return L.locate_in_source(links, _pages(spark, d))
+    return L.locate_in_source(links, _pages(spark, d), keep_html=keep_html)
 
 
 @query("j11_source_position", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11 +
@@ -217,7 +224,7 @@ SELECT source_url, position,
 FROM js""")
 def snk12_source_snippet(spark, d):
     """SNK12: source snippet (hit line +-3, marker, line numbers) per link."""
-    loc = located_links(spark, d).join(_pages(spark, d).select(F.col("url").alias("source_url"), "html"), "source_url")
+    loc = located_links(spark, d, keep_html=True)
     return loc.select("source_url", "position", RP.snippet(F.col("html"), F.col("line"), F.col("source_url"),
                                                           F.col("target_url")).alias("snippet"))
 

@@ -195,7 +195,11 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verified_stars(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     """The pairs (node, lead) whose multisets overlap enough."""
-    full = pairs.join(bag.select("node", F.col("bag").alias("own")), "node").join(bag.select(F.col("node").alias("lead"), F.col("bag").alias("other")), "lead").select("node", "lead", "own", "other")
+    # ids are small: where they are few they go to the multisets, not the multisets to them
+    own = bag.select("node", F.col("bag").alias("own")).join(broadcast_if_small(pairs), "node")
+    leads = bag.select(F.col("node").alias("lead"), F.col("bag").alias("other"))
+    leads = leads.join(broadcast_if_small(pairs.select("lead").distinct()), "lead", "left_semi")
+    full = own.join(leads, "lead").select("node", "lead", "own", "other")
 
     def check(batches):
         for batch in batches:
@@ -260,7 +264,8 @@ def _across_groups(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) -> D
     n_blocks = F.ceil(F.col("n") / BLOCK)
     block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     inside = member.join(state.select("key", "n"), "key").select("key", "band", "node", "group", block.alias("block"), n_blocks.cast("int").alias("blocks"))
-    dealt = inside.join(nodes.select("node", "bands", "bag"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    inside = written(inside, "open-members")
+    dealt = nodes.select("node", "bands", "bag").join(broadcast_if_small(inside), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     task = dealt.select("key", "band", "node", "group", "bands", "bag", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("with") == F.col("block"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -275,11 +280,12 @@ def classes(rows: DataFrame) -> DataFrame:
     """node, id, class_node, class_id of rows (node unique, id, text); class_node is the node that stands for the class."""
     table = written(signed(rows), "signatures", compression="zstd")
     members = table.select("node", "id", "digest")
-    leads = written(members.groupBy("digest").agg(F.min("node").alias("lead")), "copies")
-    nodes = table.join(leads.select(F.col("lead").alias("node")), "node", "left_semi").filter(F.size("bands") > 0)
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    # of equal multisets the first node, with their bucket keys
+    leads = written(table.groupBy("digest").agg(F.min(F.struct("node", "bands")).alias("lead")).select("digest", F.col("lead.node").alias("lead"), "lead.bands"), "copies")
+    keyed = leads.select(F.col("lead").alias("node"), F.posexplode("bands").alias("band", "key"))
+    leads = leads.drop("bands")
     first = written(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "buckets")
-    buckets = written(keyed.join(first, "key"), "bucket-members")
+    buckets = written(keyed.join(broadcast_if_small(first), "key"), "bucket-members")
     pairs = written(buckets.filter("node != lead").select("node", "lead").distinct(), "star-pairs")
     # multisets are needed of nodes that share a bucket, a part of all; the others' never move if the part's ids are few
     shared = table.select("node", "bands", "bag").join(broadcast_if_small(buckets.select("node").distinct()), "node", "left_semi")

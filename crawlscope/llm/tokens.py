@@ -41,7 +41,7 @@ IDS = np.dtype("<u4")
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # more than any library's \s
-_LONG_RUN = f"{_SPACES}{_SPACES}(?:{_SPACES}|$)|\x01"
+_LONG_RUN = f"{_SPACES}{_SPACES}(?:{_SPACES}|$)|[\x01\x02]"
 _SURE_CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"[^\sɐ-\U0010ffff]+")
 
@@ -141,14 +141,14 @@ class ByteLevelEncoder:
         """Of texts: the number of each unit's text, the distinct units, and the unit numbers in order."""
         odd = pc.match_substring_regex(texts, _LONG_RUN)
         if pc.any(odd).as_py():
-            cut = [_SURE_CUT.split(t) if o else t.replace("\n", " \x01").split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist())]
+            cut = [_marked(_SURE_CUT.split(t)) if o else t.replace("\n", " \x01").split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist())]
             lists = pa.array(cut, pa.list_(pa.large_string()))
         else:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \x01"), " ")
         ends = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
         words, numbers = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        units = [("\n" + w[1:]) if w[:1] == "\x01" else " " + w for w in words]
+        units = ["\n" + w[1:] if w[:1] == "\x01" else " " + w[1:] if w[:1] == "\x02" else " " + w for w in words]
         first = ends[:-1] - ends[0]  # the first piece of a text has no space before it
         leads = numbers[first]
         opening, numbers[first] = np.unique(leads, return_inverse=True)
@@ -189,6 +189,11 @@ class ByteLevelEncoder:
         return self._encode_some(pa.array(texts, pa.large_string())) if texts else []
 
 
+def _marked(pieces: list[str]) -> list[str]:
+    """Pieces of a text as they are, those after the first marked if they start like a mark."""
+    return pieces[:1] + ["\x02" + p if p[:1] in ("\x01", "\x02") else p for p in pieces[1:]]
+
+
 def parts(text: str) -> Iterator[str]:
     """A very long text in parts that end before a space which a non-space follows (or one part if it has none)."""
     start = 0

@@ -23,7 +23,7 @@ def ids_of(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = [*" \n\t\r\x0b\x1c\x85\xa0\u2003ab'sé日.,!1²ªſ<|>", "<|endoftext|>", "  ", "it's"]
+ODD = [*" \x01\x02\n\t\r\x0b\x1c\x85\xa0\u2003ab'sé日.,!1²ªſ<|>", "<|endoftext|>", "  ", "it's"]
 
 
 @settings(max_examples=300, deadline=None)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html as H
 from ..functions import status as S
 from ..operators import links as L
 from ..operators import ordering as OR

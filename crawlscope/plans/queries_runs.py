@@ -9,7 +9,7 @@ from ..operators import pages as P
 from ..operators import runs as RU
 from ..operators import stats as ST
 from ..sources import fixtures as FX
-from .catalog import lit, query, with_
+from .catalog import query, with_
 
 SQL_F8 = """
 f8a AS (SELECT event_id, 'h' || CAST(user_id % 10 AS VARCHAR) || '.example' AS host, ts, event_type, value FROM events),

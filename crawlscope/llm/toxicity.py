@@ -3,8 +3,8 @@
 Features of a text are its words in lower case and their beginnings of
 ``PREFIXES`` letters, each present or not, over the whole text. ``fit`` learns
 a logistic model from at most ``MAX_TRAINING_DOCS`` labelled documents (those
-with the smallest hash of their id; equal texts count once in the loss, and
-once a task in the counts):
+with the smallest hash of their id). Equal texts are one row of the counts and
+of the loss, however they are dealt to tasks; it is toxic if a copy is:
 
 1. presence of every feature is counted by label; the ``MAX_FEATURES`` with the
    highest G2 statistic of at least ``LEAST_G2`` and ``LEAST_DOCS`` documents
@@ -17,8 +17,8 @@ once a task in the counts):
 
 Labels are used in ``fit`` alone; language, source and id are never features.
 
-Scale: the chosen ids (bounded) are broadcast, so fitting shuffles only feature
-counts; the model has at most ``MAX_FEATURES`` weights and the identity terms.
+Scale: the chosen ids (bounded) are broadcast and their texts are read once;
+fitting shuffles those bounded texts and feature counts. The model has at most ``MAX_FEATURES`` weights and the identity terms.
 Scoring is one pass without a shuffle. Words are looked up once per distinct
 word of a batch.
 
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
-from .shared import picked
+from .shared import picked, written
 
 MAX_TRAINING_DOCS = 20_000
 MAX_FEATURES = 4_000
@@ -98,28 +98,25 @@ def _present(text: str) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """text, toxic of at most ``most`` labelled documents, equal texts once."""
+    """text, toxic (0 or 1) of at most ``most`` labelled documents, equal texts once."""
     chosen = (
-        labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+        labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic").cast("int") > 0).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("id"), "id").limit(most)
     )
-    rows = picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id")
-    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    copies = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return copies.select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_GROUPS, most: int = MAX_TRAINING_DOCS) -> Model:
     """Learn from the rows of labels (``id_col``, ``toxic``), all of which may be used."""
-    rows = training_rows(docs, labels, id_col, text_col, most)
-    rows = rows.withColumn("copy", F.sha2(F.col("text").cast("binary"), 256))
+    rows = written(training_rows(docs, labels, id_col, text_col, most), "training-rows", compression="zstd")
 
     def count(batches):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        seen = set()
         for batch in batches:
-            for text, toxic, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copy"))):
-                if copy not in seen:
-                    seen.add(copy)
-                    found[min(max(toxic, 0), 1)].update(_present(text))
+            for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic"))):
+                found[toxic].update(_present(text))
         names = list(found[0] | found[1])
         for lo in range(0, len(names), 100_000):
             part = names[lo : lo + 100_000]
@@ -130,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bias = float(np.log((toxic + 0.5) / (clean + 1.5)))
     if not clean or not toxic:
         return Model(bias, {})
-    counts = rows.select("text", "toxic", "copy").mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     seen, every = F.col("n0") + F.col("n1"), clean + toxic
 
     def term(n: Column, rows: Column, total: int) -> Column:
@@ -150,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = batch.column("text").to_pylist()
             swapped = [counterfactual(t, groups) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("copy"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array([None if s is None else vector(s) for s in swapped], pa.list_(pa.int32()))], names=["toxic", "copy", "own", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array([None if s is None else vector(s) for s in swapped], pa.list_(pa.int32()))], names=["toxic", "own", "other"])
 
-    found = rows.mapInArrow(vectors, "toxic int, copy string, own array<int>, other array<int>").toPandas().drop_duplicates("copy")
+    found = rows.mapInArrow(vectors, "toxic int, own array<int>, other array<int>").toPandas()
     weights, bias = _minimise(found, len(names))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6})
 
@@ -161,7 +158,7 @@ def _minimise(rows, size: int) -> tuple[np.ndarray, float]:
     """Weights and bias of least regularised loss, by Adam on all rows."""
     own = rows["own"].tolist()
     row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.asarray(x, np.int64) for x in own]).astype(np.int64)
-    y = np.minimum(rows["toxic"].to_numpy(np.float64), 1)
+    y = rows["toxic"].to_numpy(np.float64)
     pairs = [(i, x) for i, x in enumerate(rows["other"].tolist()) if x is not None]
     # change of the score: features of the counterfactual minus those of the text
     change = [(k, f, 1.0) for k, (i, x) in enumerate(pairs) for f in x] + [(k, f, -1.0) for k, (i, _) in enumerate(pairs) for f in own[i]]

@@ -164,6 +164,25 @@ def test_counterfactual_penalty_evens_out_groups(spark):
     assert kept.columns == ["doc_id", "text", "score"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 4]
 
 
+def _labelled(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, toxic) for k, (_, toxic) in enumerate(rows)], "doc_id long, toxic int")
+
+
+def test_copies_and_partitions_leave_the_toxicity_model_alone(spark):
+    rnd = random.Random(2)
+    filler = ["".join(rnd.choice("bcdfgaeiou") for _ in range(6)) for _ in range(60)]
+    rows = [(" ".join([*rnd.choices(filler, k=10), *(["vileword"] if k % 5 == 0 else []), str(k)]), int(k % 5 == 0)) for k in range(300)]
+    docs, labels = _labelled(spark, rows)
+    more_docs, more_labels = _labelled(spark, rows + [rows[0]] * 150)
+    alone = tox.fit(docs.repartition(2), labels)
+    # weights are sums of floats in another order
+    for n in (1, 7):
+        model = tox.fit(more_docs.repartition(n), more_labels)
+        assert model.weights.keys() == alone.weights.keys()
+        assert abs(model.bias - alone.bias) < 1e-3 and all(abs(w - alone.weights[f]) < 1e-3 for f, w in model.weights.items())
+
+
 def test_counterfactuals():
     assert tox.counterfactual("Women met. Men left!") == "men met. women left!"
     assert tox.counterfactual("A tree.") is None and tox.counterfactual("") is None

@@ -2,13 +2,18 @@
 
 Features of a text are its words in lower case and their beginnings of
 ``PREFIXES`` letters, each present or not, over the whole text. ``fit`` learns
-a logistic model from at most ``MAX_TRAINING_DOCS`` labelled documents (those
-with the smallest hash of their id). Equal texts are one row of the counts and
-of the loss, however they are dealt to tasks; it is toxic if a copy is:
+a logistic model from at most ``MAX_TRAINING_DOCS`` labelled documents: of
+each label those with the smallest hash of their id, half of the places each
+unless a label has fewer, so that rare toxic rows stay. The loss weighs a label's
+rows by how many rows each stands for, which keeps the prior. Equal texts are
+one row of the counts and of the loss, however they are dealt to tasks; it is
+toxic if a copy is:
 
 1. presence of every feature is counted by label; the ``MAX_FEATURES`` with the
-   highest G2 statistic of at least ``LEAST_G2`` and ``LEAST_DOCS`` documents
-   are kept, and all identity terms;
+   highest G2 statistic and ``LEAST_DOCS`` documents are kept, and all identity
+   terms; the least G2 is the one of ``CUTS`` with the smallest loss on ``FOLDS``
+   folds of the training rows, each judged by a model whose features were also
+   chosen without it;
 2. for every sentence with identity terms a counterfactual is made in which
    each is swapped for the next of its group;
 3. the log loss is minimised with a penalty on the squared weights and one on
@@ -18,7 +23,8 @@ of the loss, however they are dealt to tasks; it is toxic if a copy is:
 Labels are used in ``fit`` alone; language, source and id are never features.
 
 Scale: the chosen ids (bounded) are broadcast and their texts are read once;
-fitting shuffles those bounded texts and feature counts. The model has at most ``MAX_FEATURES`` weights and the identity terms.
+fitting shuffles those bounded texts and feature counts. The models of the folds
+are fitted in tasks of their own on broadcast vectors. The model has at most ``MAX_FEATURES`` weights and the identity terms.
 Scoring is one pass without a shuffle. Words are looked up once per distinct
 word of a batch.
 
@@ -39,7 +45,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -50,7 +56,8 @@ from .shared import picked, written
 MAX_TRAINING_DOCS = 20_000
 MAX_FEATURES = 4_000
 LEAST_DOCS = 4
-LEAST_G2 = 30.0
+CUTS = (30.0, 20.0, 15.0, 10.8, 6.6, 3.8)
+FOLDS = 3
 PREFIXES = (4, 5, 6)
 L2 = 0.02
 COUNTERFACTUAL = 1.0
@@ -97,47 +104,69 @@ def _present(text: str) -> set[str]:
     return {f for w in set(_WORDS.findall(text.lower())) for f in features_of(w)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """text, toxic (0 or 1) of at most ``most`` labelled documents, equal texts once."""
-    chosen = (
-        labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic").cast("int") > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id").limit(most)
-    )
-    rows = picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, list[float]]:
+    """text, toxic (0 or 1) of at most ``most`` labelled documents, equal texts once; how many rows one of each label stands for."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    places = min(toxic, max(most // 2, most - clean))
+    places = [min(clean, most - places), places]
+    chosen = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n) for label, n in enumerate(places)]
+    rows = picked(docs, id=id_col, text=text_col).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     copies = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    return copies.select("text", "toxic")
+    return copies.select("text", "toxic"), [n / max(1, k) for n, k in zip((clean, toxic), places)]
+
+
+def _g2(n0: Column, n1: Column, clean: int, toxic: int) -> Column:
+    """G2 of the table (feature present or not) x (label)."""
+    seen, every = n0 + n1, clean + toxic
+
+    def term(n: Column, rows: Column, total: int) -> Column:
+        """n ln(n / expected) of one cell."""
+        return F.when(n > 0, n * F.log(n * every / (rows * total))).otherwise(0.0)
+
+    cells = [(n0, seen, clean), (n1, seen, toxic), (clean - n0, every - seen, clean), (toxic - n1, every - seen, toxic)]
+    return 2 * sum((term(*c) for c in cells), F.lit(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_GROUPS, most: int = MAX_TRAINING_DOCS) -> Model:
     """Learn from the rows of labels (``id_col``, ``toxic``), all of which may be used."""
-    rows = written(training_rows(docs, labels, id_col, text_col, most), "training-rows", compression="zstd")
+    rows, stands = training_rows(docs, labels, id_col, text_col, most)
+    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "training-rows", compression="zstd")
 
     def count(batches):
-        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        found: dict[tuple[int, int], Counter] = {(fold, label): Counter() for fold in range(FOLDS) for label in (0, 1)}
         for batch in batches:
-            for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic"))):
-                found[toxic].update(_present(text))
-        names = list(found[0] | found[1])
-        for lo in range(0, len(names), 100_000):
-            part = names[lo : lo + 100_000]
-            yield pa.RecordBatch.from_pydict({"feature": part, "n0": [found[0][f] for f in part], "n1": [found[1][f] for f in part]}, schema=pa.schema([("feature", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())]))
-
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    bias = float(np.log((toxic + 0.5) / (clean + 1.5)))
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+                found[fold, toxic].update(_present(text))
+        for fold in range(FOLDS):
+            clean, toxic = found[fold, 0], found[fold, 1]
+            names = list(clean | toxic)
+            for lo in range(0, len(names), 100_000):
+                part = names[lo : lo + 100_000]
+                yield pa.RecordBatch.from_pydict({"feature": part, "fold": [fold] * len(part), "n0": [clean[f] for f in part], "n1": [toxic[f] for f in part]}, schema=pa.schema([("feature", pa.string()), ("fold", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())]))
+
+    totals = Counter({(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
+    clean, toxic = (sum(totals[fold, label] for fold in range(FOLDS)) for label in (0, 1))
+    bias = float(np.log((toxic * stands[1] + 0.5) / (clean * stands[0] + 1.5)))
     if not clean or not toxic:
         return Model(bias, {})
-    counts = rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    seen, every = F.col("n0") + F.col("n1"), clean + toxic
-
-    def term(n: Column, rows: Column, total: int) -> Column:
-        """n ln(n / expected) of one cell of the table (feature present or not) x (label)."""
-        return F.when(n > 0, n * F.log(n * every / (rows * total))).otherwise(0.0)
-
-    cells = [(F.col("n0"), seen, clean), (F.col("n1"), seen, toxic), (clean - F.col("n0"), every - seen, clean), (toxic - F.col("n1"), every - seen, toxic)]
-    g2 = 2 * sum((term(*c) for c in cells), F.lit(0.0))
-    best = counts.filter(seen >= LEAST_DOCS).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).toPandas()
-    names = list(dict.fromkeys([*best["feature"], *(t for g in groups for t in g)]))
+    of_fold = [F.sum(F.when(F.col("fold") == fold, F.col(n)).otherwise(0)).alias(f"{n}_{fold}") for fold in range(FOLDS) for n in ("n0", "n1")]
+    counts = rows.mapInArrow(count, "feature string, fold int, n0 long, n1 long").groupBy("feature").agg(*of_fold)
+    counts = written(counts.filter(sum(F.col(c) for c in counts.columns[1:]) >= LEAST_DOCS), "feature-counts")
+
+    def best(folds: list[int]) -> dict[str, float]:
+        """Features of the rows of some folds and their G2, the highest first."""
+        n0, n1 = (sum((F.col(f"{n}_{fold}") for fold in folds), F.lit(0)) for n in ("n0", "n1"))
+        g2 = _g2(n0, n1, *(sum(totals[fold, label] for fold in folds) for label in (0, 1)))
+        found = counts.filter(n0 + n1 >= LEAST_DOCS).select("feature", g2.alias("g2")).filter(F.col("g2") >= min(CUTS)).orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).toPandas()
+        return dict(zip(found["feature"], found["g2"]))
+
+    # folds that leave rows of both labels to learn from and have rows to judge
+    judged = [k for k in range(FOLDS) if totals[k, 0] + totals[k, 1] and all(totals[k, label] < n for label, n in ((0, clean), (1, toxic)))]
+    chosen = {None: best(list(range(FOLDS)))} | {k: best([x for x in range(FOLDS) if x != k]) for k in judged}
+    terms = [t for g in groups for t in g]
+    names = list(dict.fromkeys([*(f for found in chosen.values() for f in found), *terms]))
     number = {f: i for i, f in enumerate(names)}
 
     def vector(text: str) -> list[int]:
@@ -147,32 +176,92 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = batch.column("text").to_pylist()
             swapped = [counterfactual(t, groups) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array([None if s is None else vector(s) for s in swapped], pa.list_(pa.int32()))], names=["toxic", "own", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array([None if s is None else vector(s) for s in swapped], pa.list_(pa.int32()))], names=["toxic", "fold", "own", "other"])
+
+    found = rows.mapInArrow(vectors, "toxic int, fold int, own array<int>, other array<int>").toPandas()
+    every = _flat(found, np.array(stands))
 
-    found = rows.mapInArrow(vectors, "toxic int, own array<int>, other array<int>").toPandas()
-    weights, bias = _minimise(found, len(names))
+    def used(fold: int | None, cut: float) -> np.ndarray:
+        return np.array([chosen[fold].get(f, 0.0) >= cut for f in names]) | np.isin(names, terms)
+
+    cut = _best_cut(docs.sparkSession, every, [(k, c, used(k, c)) for k in judged for c in CUTS])
+    weights, bias = _minimise(every, used(None, cut))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6})
 
 
-def _minimise(rows, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of least regularised loss, by Adam on all rows."""
-    own = rows["own"].tolist()
-    row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.asarray(x, np.int64) for x in own]).astype(np.int64)
-    y = rows["toxic"].to_numpy(np.float64)
-    pairs = [(i, x) for i, x in enumerate(rows["other"].tolist()) if x is not None]
-    # change of the score: features of the counterfactual minus those of the text
-    change = [(k, f, 1.0) for k, (i, x) in enumerate(pairs) for f in x] + [(k, f, -1.0) for k, (i, _) in enumerate(pairs) for f in own[i]]
-    c_row, c_col, c_val = (np.array([x[j] for x in change], t) for j, t in enumerate((np.int64, np.int64, np.float64)))
+class Rows(NamedTuple):
+    """Training rows as entries (row, feature), and the changes of features by counterfactuals as entries (pair, feature, +1 or -1)."""
+
+    toxic: np.ndarray
+    weight: np.ndarray
+    fold: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+    pair_row: np.ndarray
+    pair: np.ndarray
+    changed: np.ndarray
+    sign: np.ndarray
+
+    def only(self, good: np.ndarray) -> Rows:
+        """The rows that are good."""
+        at, kept = good[self.row], good[self.pair_row]
+        both = kept[self.pair]
+        number, pair_number = np.cumsum(good) - 1, np.cumsum(kept) - 1
+        return Rows(self.toxic[good], self.weight[good], self.fold[good], number[self.row[at]], self.feature[at], number[self.pair_row[kept]], pair_number[self.pair[both]], self.changed[both], self.sign[both])
+
+
+def _flat(found, stands: np.ndarray) -> Rows:
+    """The collected vectors, in an order that doesn't depend on the tasks."""
+    found = found.assign(key=[np.asarray(x).tobytes() for x in found["own"]]).sort_values(["fold", "toxic", "key"], kind="stable")
+    own = [np.asarray(x, np.int64) for x in found["own"]]
+    toxic = found["toxic"].to_numpy()
+    pairs = [(i, np.asarray(x, np.int64)) for i, x in enumerate(found["other"]) if x is not None]
+    plus, minus = [np.setdiff1d(x, own[i]) for i, x in pairs], [np.setdiff1d(own[i], x) for i, x in pairs]
+    none, sizes = np.empty(0, np.int64), [len(x) for x in plus + minus]
+    return Rows(
+        toxic.astype(np.float64), stands[toxic], found["fold"].to_numpy(), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([none, *own]),
+        np.array([i for i, _ in pairs], np.int64), np.repeat(np.tile(np.arange(len(pairs)), 2), sizes), np.concatenate([none, *plus, *minus]), np.repeat(np.repeat([1.0, -1.0], len(pairs)), sizes),
+    )
+
+
+def _best_cut(spark: SparkSession, every: Rows, tries: list[tuple[int, float, np.ndarray]]) -> float:
+    """The cut of least loss over the folds it is tried on; each try is a task. The highest cut if there are none."""
+    if not tries:
+        return max(CUTS)
+    shared = spark.sparkContext.broadcast((every, tries))
+
+    def losses(batches):
+        every, tries = shared.value
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                fold, cut, used = tries[k]
+                weights, bias = _minimise(every.only(every.fold != fold), used)
+                test = every.only(every.fold == fold)
+                z = np.bincount(test.row, weights[test.feature], len(test.toxic)) + bias
+                loss = float((test.weight * np.logaddexp(0, np.where(test.toxic == 1, -z, z))).sum())
+                yield pa.RecordBatch.from_pydict({"cut": [cut], "loss": [loss]})
+
+    found = spark.range(0, len(tries), 1, len(tries)).mapInArrow(losses, "cut double, loss double").toPandas()
+    total = {c: sum(sorted(found["loss"][found["cut"] == c])) for c in CUTS}
+    return min(CUTS, key=lambda c: (total[c], -c))
+
+
+def _minimise(rows: Rows, used: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (0 but for used features) and bias of least regularised loss, by Adam on all rows."""
+    size, y, weight, pairs = len(used), rows.toxic, rows.weight, len(rows.pair_row)
+    at, moving = used[rows.feature], used[rows.changed]
+    row, col = rows.row[at], rows.feature[at]
+    c_row, c_col, c_val = rows.pair[moving], rows.changed[moving], rows.sign[moving]
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
+    w[-1] = np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 1.5))
     for step in range(1, STEPS + 1):
         z = np.bincount(row, w[col], len(y)) + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(np.bincount(col, error[row], size), error.sum()) / len(y)
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = np.append(np.bincount(col, error[row], size), error.sum()) / weight.sum()
         g[:-1] += L2 * w[:-1] / max(1.0, np.sqrt(len(y)))
         if pairs:
-            moved = np.bincount(c_row, c_val * w[c_col], len(pairs))
-            g[:-1] += 2 * COUNTERFACTUAL * np.bincount(c_col, c_val * moved[c_row], size) / len(pairs)
+            moved = np.bincount(c_row, c_val * w[c_col], pairs)
+            g[:-1] += 2 * COUNTERFACTUAL * np.bincount(c_col, c_val * moved[c_row], size) / pairs
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])

@@ -183,6 +183,24 @@ def test_copies_and_partitions_leave_the_toxicity_model_alone(spark):
         assert abs(model.bias - alone.bias) < 1e-3 and all(abs(w - alone.weights[f]) < 1e-3 for f, w in model.weights.items())
 
 
+def test_toxic_words_of_a_small_language_are_features(spark):
+    rnd = random.Random(3)
+    filler = ["".join(rnd.choice("bcdfgaeiou") for _ in range(6)) for _ in range(60)]
+    bad = lambda k: "" if k % 10 else "malapalabra" if k < 60 else "vileword"
+    docs, labels = _labelled(spark, [(" ".join([*rnd.choices(filler, k=10), bad(k), str(k)]), int(k % 10 == 0)) for k in range(600)])
+    new = spark.createDataFrame([(1, "una malapalabra"), (2, "a vileword"), (3, " ".join(filler[:9]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in tox.score(new, tox.fit(docs, labels)).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_a_bounded_sample_keeps_rare_toxic_rows_and_the_prior(spark):
+    rnd = random.Random(4)
+    docs, labels = _labelled(spark, [(f"text {rnd.random()}", int(k % 40 == 0)) for k in range(800)])
+    rows, stands = tox.training_rows(docs, labels, "doc_id", "text", 100)
+    assert {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()} == {0: 80, 1: 20} and stands == [9.75, 1.0]
+    scores = [r["score"] for r in tox.score(docs, tox.fit(docs, labels, most=100)).collect()]
+    assert abs(sum(scores) / 800 - 20 / 800) < 0.01
+
+
 def test_counterfactuals():
     assert tox.counterfactual("Women met. Men left!") == "men met. women left!"
     assert tox.counterfactual("A tree.") is None and tox.counterfactual("") is None

@@ -17,8 +17,9 @@ toxic if a copy is:
 2. for every sentence with identity terms a counterfactual is made in which
    each is swapped for the next of its group;
 3. the log loss is minimised with a penalty on the squared weights and one on
-   the squared change of the score between a text and its counterfactual, so
-   that the mention of a group by itself moves the score little.
+   the squared change of the score between a sentence and its counterfactual,
+   summed over the sentences of a text, so that the mention of a group by itself
+   moves the score little.
 
 Labels are used in ``fit`` alone; language, source and id are never features.
 
@@ -88,16 +89,17 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
+def counterfactual_sentences(text: str, groups=IDENTITY_GROUPS) -> list[tuple[str, str | None]]:
+    """The sentences of a text, each with itself where each identity term is swapped for the next of its group; None if it has none."""
+    following = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+    swapped = [(s, _WORDS.sub(lambda m: following.get(m[0].lower(), m[0]), s)) for s in _SENTENCE.split(text)]
+    return [(s, None if other == s else other) for s, other in swapped]
+
+
 def counterfactual(text: str, groups=IDENTITY_GROUPS) -> str | None:
     """The text with each identity term swapped for the next of its group; None if it has none."""
-    following = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    changed = False
-    out = []
-    for sentence in _SENTENCE.split(text):
-        swapped = _WORDS.sub(lambda m: following.get(m[0].lower(), m[0]), sentence)
-        changed |= swapped != sentence
-        out.append(swapped)
-    return "".join(out) if changed else None
+    pairs = counterfactual_sentences(text, groups)
+    return "".join(s if other is None else other for s, other in pairs) if any(other is not None for _, other in pairs) else None
 
 
 def _present(text: str) -> set[str]:
@@ -172,13 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def vector(text: str) -> list[int]:
         return sorted(number[f] for f in _present(text) if f in number)
 
+    def change(sentence: str, other: str) -> list[int]:
+        """Features that only the counterfactual has, and ~f of those that only the sentence has."""
+        own, new = set(vector(sentence)), set(vector(other))
+        return [*sorted(new - own), *(~f for f in sorted(own - new))]
+
     def vectors(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            swapped = [counterfactual(t, groups) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array([None if s is None else vector(s) for s in swapped], pa.list_(pa.int32()))], names=["toxic", "fold", "own", "other"])
+            changes = [[change(s, other) for s, other in counterfactual_sentences(t, groups) if other is not None] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array([vector(t) for t in texts], pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32())))], names=["toxic", "fold", "own", "changes"])
 
-    found = rows.mapInArrow(vectors, "toxic int, fold int, own array<int>, other array<int>").toPandas()
+    found = rows.mapInArrow(vectors, "toxic int, fold int, own array<int>, changes array<array<int>>").toPandas()
     every = _flat(found, np.array(stands))
 
     def used(fold: int | None, cut: float) -> np.ndarray:
@@ -190,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 class Rows(NamedTuple):
-    """Training rows as entries (row, feature), and the changes of features by counterfactuals as entries (pair, feature, +1 or -1)."""
+    """Training rows as entries (row, feature), and the changes of features by counterfactual sentences as entries (pair, feature, +1 or -1)."""
 
     toxic: np.ndarray
     weight: np.ndarray
@@ -215,12 +222,12 @@ def _flat(found, stands: np.ndarray) -> Rows:
     found = found.assign(key=[np.asarray(x).tobytes() for x in found["own"]]).sort_values(["fold", "toxic", "key"], kind="stable")
     own = [np.asarray(x, np.int64) for x in found["own"]]
     toxic = found["toxic"].to_numpy()
-    pairs = [(i, np.asarray(x, np.int64)) for i, x in enumerate(found["other"]) if x is not None]
-    plus, minus = [np.setdiff1d(x, own[i]) for i, x in pairs], [np.setdiff1d(own[i], x) for i, x in pairs]
-    none, sizes = np.empty(0, np.int64), [len(x) for x in plus + minus]
+    pairs = [(i, np.asarray(x, np.int64)) for i, changes in enumerate(found["changes"]) for x in changes]
+    none = np.empty(0, np.int64)
+    changed = np.concatenate([none, *(x for _, x in pairs)])
     return Rows(
         toxic.astype(np.float64), stands[toxic], found["fold"].to_numpy(), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([none, *own]),
-        np.array([i for i, _ in pairs], np.int64), np.repeat(np.tile(np.arange(len(pairs)), 2), sizes), np.concatenate([none, *plus, *minus]), np.repeat(np.repeat([1.0, -1.0], len(pairs)), sizes),
+        np.array([i for i, _ in pairs], np.int64), np.repeat(np.arange(len(pairs)), [len(x) for _, x in pairs]), np.where(changed < 0, ~changed, changed), np.where(changed < 0, -1.0, 1.0),
     )
 
 
@@ -249,6 +256,7 @@ def _best_cut(spark: SparkSession, every: Rows, tries: list[tuple[int, float, np
 def _minimise(rows: Rows, used: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights (0 but for used features) and bias of least regularised loss, by Adam on all rows."""
     size, y, weight, pairs = len(used), rows.toxic, rows.weight, len(rows.pair_row)
+    texts = len(np.unique(rows.pair_row))
     at, moving = used[rows.feature], used[rows.changed]
     row, col = rows.row[at], rows.feature[at]
     c_row, c_col, c_val = rows.pair[moving], rows.changed[moving], rows.sign[moving]
@@ -261,7 +269,7 @@ def _minimise(rows: Rows, used: np.ndarray) -> tuple[np.ndarray, float]:
         g[:-1] += L2 * w[:-1] / max(1.0, np.sqrt(len(y)))
         if pairs:
             moved = np.bincount(c_row, c_val * w[c_col], pairs)
-            g[:-1] += 2 * COUNTERFACTUAL * np.bincount(c_col, c_val * moved[c_row], size) / pairs
+            g[:-1] += 2 * COUNTERFACTUAL * np.bincount(c_col, c_val * moved[c_row], size) / texts
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])

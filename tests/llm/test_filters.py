@@ -201,6 +201,24 @@ def test_a_bounded_sample_keeps_rare_toxic_rows_and_the_prior(spark):
     assert abs(sum(scores) / 800 - 20 / 800) < 0.01
 
 
+def test_texts_with_both_terms_of_a_pair_teach_the_penalty(spark):
+    rnd = random.Random(5)
+    filler = ["tree", "house", "river", "cloud", "stone", "paper", "light"]
+    rows = []
+    for k in range(400):
+        words = lambda: " ".join(rnd.choices(filler, k=4))
+        toxic = k % 4 == 0
+        both = rnd.random() < (0.8 if toxic else 0.05)
+        rows.append((f"{words()} {'women' if both or k % 3 == 0 else ''}. {words()} {'men' if both else ''}. {k} {'vileword' if k % 8 == 0 else ''}", int(toxic)))
+    rows = [r for r in rows if ("women" in r[0]) == (" men" in r[0])]
+    docs, labels = _labelled(spark, rows)
+    model = tox.fit(docs, labels)
+    logit = [sum(model.weights.get(f, 0) for f in tox._present(f"some {g} here")) for g in ("women", "men")]
+    plain = tox.fit(docs, labels, groups=(("women",), ("men",)))
+    free = [sum(plain.weights.get(f, 0) for f in tox._present(f"some {g} here")) for g in ("women", "men")]
+    assert abs(free[0] - free[1]) > 0.2 and abs(logit[0] - logit[1]) < 0.25 * abs(free[0] - free[1])
+
+
 def test_counterfactuals():
     assert tox.counterfactual("Women met. Men left!") == "men met. women left!"
     assert tox.counterfactual("A tree.") is None and tox.counterfactual("") is None

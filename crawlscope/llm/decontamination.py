@@ -2,7 +2,7 @@
 
 Texts and test items are compared as lower-case words with single spaces. An
 item of L characters may differ by ``floor(ERROR_RATE * L)`` edits. Split into
-one piece more than that, at least one piece of it is in every such passage
+one piece more than that (8 characters at least), at least one piece of it is in every such passage
 unchanged (pigeonhole), so the exact hits of all pieces, found in one pass of
 an Aho-Corasick automaton over each whole text, are all the places to look at.
 There Myers' bit-parallel algorithm gives the edit distance of the item to the
@@ -19,8 +19,8 @@ into blocks of about ``BLOCK_CHARS`` characters, each collected, checked and
 broadcast by itself. Hits that belong to the same alignment are verified once.
 
 Defined results: null and empty documents match nothing; items without words
-match nothing, shorter ones than one piece (``LEAST_PIECE`` characters) match
-exactly and as whole words; repeated documents and items give a row each; null
+match nothing, those of less than 16 characters have no budget and match
+exactly, of less than ``LEAST_WITHIN`` characters only as whole words; repeated documents and items give a row each; null
 ids stay; empty tables give no rows; other columns are ignored by ``leaks`` and
 kept by ``clean``.
 """
@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .shared import picked
 
 ERROR_RATE = 1 / 16
-LEAST_PIECE = 12
+LEAST_WITHIN = 12
 BLOCK_CHARS = 4_000_000
 
 _WORDS = re.compile(r"\w+")
@@ -68,7 +68,7 @@ def normal(text: str | None) -> str:
 
 def item_of(item_id, text: str | None) -> Item:
     text = normal(text)
-    return Item(item_id, text, max(0, min(math.floor(ERROR_RATE * len(text)), len(text) // LEAST_PIECE - 1)))
+    return Item(item_id, text, math.floor(ERROR_RATE * len(text)))
 
 
 def pieces(item: Item) -> list[tuple[int, str]]:
@@ -163,7 +163,7 @@ class Matcher:
             if not item.budget:
                 a, b = origin, origin + len(item.text)
                 whole = (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
-                found = (0, a, b) if whole or len(item.text) >= LEAST_PIECE else None
+                found = (0, a, b) if whole or len(item.text) >= LEAST_WITHIN else None
             else:
                 # of alignments of one cell the others start less than a budget away
                 reach = 2 * item.budget + 1

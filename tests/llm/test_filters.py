@@ -57,6 +57,15 @@ def test_every_passage_within_the_budget_is_found():
             assert best_passage(items[number].text, text[leak.start : leak.end])[0] == distance
 
 
+def test_short_items_have_the_whole_budget():
+    for item, edits in (("old river bank", 0), ("quick brown fox", 0), ("the quick brown fox", 1), ("the quick brown fox jumps at dawn", 2)):
+        matcher = dec.Matcher([dec.item_of(1, item)])
+        assert matcher.items[0].budget == edits == len(item) // 16
+        for at in range(1, len(item) - 1):
+            text = "so " + item[:at] + "#" + item[at + 1 :] + " it is"
+            assert [x.distance for x in matcher.leaks(text)] == [1] * (edits > 0)
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     item = "The quick brown fox jumps over the lazy dog near the old river bank today"
     rows = [(100, f"Intro. {item.upper()}!! outro", 0), (101, "x " + item.replace("lazy", "lasy") + " y", 0), (102, "The quick brown fox jumps over the", 0), (103, "İ " + item, 0), (100, f"Intro. {item.upper()}!! outro", 0)]

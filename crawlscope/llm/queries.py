@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bag_minhash, decontamination, embedding_dups, huffman, packing, revisits, secret_ledger, token_counts, toxicity, url_filter
+from . import bag_minhash, decontamination, embedding_dups, heap_clusters, huffman, language_mixture, packing, revisits, secret_ledger, source_divergence, token_counts, toxicity, url_filter
 from .shared import shared_path, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -226,3 +226,82 @@ least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT e.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
 FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN links ON links.a = e.vec_id
 """
+
+
+@query
+def op11_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over documents: language of every whole text by a model that never saw the held-out fifth."""
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = language_mixture.fit(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]), ~held_out)
+    found = language_mixture.identify(table(spark, sf_dir, "documents", ["doc_id", "text"]), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over documents: divergence of the sources of each language, and the terms that set each apart."""
+    return source_divergence.audit(table(spark, sf_dir, "documents", ["text", "lang", "source"]))
+
+
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS MATERIALIZED (
+  SELECT rid, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)),
+k AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+counts AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+           FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size FROM counts),
+shares AS MATERIALIZED (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000 * (s.n + 2)) // (s.size::HUGEINT + 2 * l.v) AS p,
+         1 + (1000000000 * (s.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM sized s JOIN l ON l.lang = s.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pairs.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over embeddings: exact k-means (8 centroids, 10 rounds) in whole numbers."""
+    return heap_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds of k-means one after another: c<r> the centroids, a<r> the assignment to them."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT v.rid, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} c) GROUP BY rid)"""
+    means = """c{next} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS x FROM (
+      SELECT a.cluster, u.i, CASE WHEN sum(u.y) >= 0 THEN sum(u.y) // count(*) ELSE -((count(*) - 1 - sum(u.y)) // count(*)) END::BIGINT AS x
+      FROM a{r} a JOIN u USING (rid) GROUP BY ALL) GROUP BY cluster) m ON m.cluster = c.cluster)"""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0)""",
+             f"u AS MATERIALIZED (SELECT rid, unnest(range(1, {dims + 1})) AS i, unnest(x) AS y FROM v)",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v) ORDER BY h, x LIMIT {k})"]
+    for r in range(rounds):
+        parts += [nearest.format(r=r), means.format(r=r, next=r + 1)]
+    parts.append(nearest.format(r=rounds))
+    return "WITH " + ", ".join(parts) + f"""
+SELECT v.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
+ORACLE["op13_heap_clusters"] = _clusters_sql()

@@ -2,13 +2,16 @@
 
 No HTML parser runs here. Comments and script/style bodies are removed in one
 pass, whichever starts first. Tags are matched attribute by attribute, so a
-``>`` or another attribute's name inside a quoted value is part of that value,
-and an attribute is looked up among a tag's attributes in order. The patterns
-use possessive groups, so no page makes them backtrack.
+``>`` or another attribute's name inside a quoted value is part of that value.
+The patterns use possessive groups, so no page makes them backtrack. A page's
+tags are scanned once into a tag table (``tag_table``: names and maps of
+decoded attributes) that all findings read, and values that an expression needs
+several times are bound (``bind``), so plans stay small and no tag is parsed twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
@@ -86,6 +89,8 @@ _WINDOWS = {str(b): bytes([b]).decode("cp1252") for b in range(128, 160) if b no
 WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 ATTRIBUTE_RE = rf"""(?:[\s/]+|(?<=["']))[^\s/>="'][^\s/>=]*+(?>\s*=\s*{_VALUE}|\s*=)?"""
+# one attribute: its name, and its value as written
+ATTRIBUTE_PARTS_RE = rf"""(?s)(?:[\s/]+|(?<=["']))([^\s/>="'][^\s/>=]*+)(?>\s*=\s*({_VALUE})|\s*=)?"""
 # attributes, up to and with the end of a tag
 _REST_OF_TAG = rf"(?>{ATTRIBUTE_RE}|[\s/]+|[\"'=])*+>"
 TAG_RE = rf"(?s)</?[A-Za-z][^\s/>]*+{_REST_OF_TAG}|<![^>]*>"
@@ -138,28 +143,46 @@ def _reference(piece: Column) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it: it
+    becomes a lambda variable, which the optimizer doesn't copy."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def decode_entities(text: Column) -> Column:
-    """Numeric and named character references decoded; unknown ones stay."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), _reference)
-    return F.when(text.contains("&"), F.concat(F.get(pieces, 0), F.array_join(decoded, ""))).otherwise(text)
+    """Numeric and named character references decoded; unknown ones stay.
+    ``text`` is named three times: give a column or a bound value."""
+    def decoded(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), _reference)
+        return F.concat(F.get(pieces, 0), F.array_join(rest, ""))
+
+    return F.when(text.contains("&"), bind(F.split(text, "&"), decoded)).otherwise(text)
+
+
+def attribute_names(tag: Column) -> Column:
+    """The attribute names of an opening tag in order, in lower case."""
+    return F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE_PARTS_RE), 1), F.lower)
 
 
-def _first_attribute(tag: Column, name: str) -> Column:
-    """The first attribute of this name in an opening tag, as ``name=value``."""
-    found = F.regexp_extract_all(tag, F.lit(rf"(?s){ATTRIBUTE_RE}"), 0)
-    return F.get(F.filter(found, lambda a: F.lower(F.regexp_extract(a, r"^[\s/]*([^\s/>=]*)", 1)) == name), 0)
+def attribute_values(tag: Column) -> Column:
+    """The attribute values of an opening tag in order, as written ('' where there is none)."""
+    return F.regexp_extract_all(tag, F.lit(ATTRIBUTE_PARTS_RE), 2)
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Value of attribute ``name`` in an opening tag ('' when absent), decoded."""
-    value = F.regexp_extract(_first_attribute(tag, name), r"(?s)^[^=]*=\s*(.*)$", 1)
-    bare = F.when(value.rlike(r"""(?s)^(".*"|'.*')$"""), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
-    return decode_entities(F.coalesce(bare, F.lit("")))
+def unquoted(raw: Column) -> Column:
+    """A value as written, without its quotes."""
+    return F.when(raw.startswith('"') | raw.startswith("'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
-def has_attr(tag: Column, name: str) -> Column:
-    return _first_attribute(tag, name).isNotNull()
+def attributes(tag: Column) -> Column:
+    """The attributes of an opening tag as a map of decoded values; of a name given twice the first counts."""
+    def of(names: Column, values: Column) -> Column:
+        def value(name: Column) -> Column:
+            return bind(unquoted(F.element_at(values, F.array_position(names, name).cast("int"))), decode_entities)
+
+        return bind(F.array_distinct(names), lambda once: F.map_from_arrays(once, F.transform(once, value)))
+
+    return bind(attribute_names(tag), lambda names: bind(attribute_values(tag), lambda values: of(names, values)))
 
 
 def tag_pattern(name: str) -> str:
@@ -167,75 +190,111 @@ def tag_pattern(name: str) -> str:
     return rf"(?is)<{name}(?=[\s/>]){_REST_OF_TAG}"
 
 
+def any_of(names: list[str]) -> str:
+    """The name pattern of tags of any of these names."""
+    return f"(?:{'|'.join(names)})"
+
+
 def tags(markup: Column, name: str) -> Column:
     """All opening tags ``<name ...>`` in document order."""
     return F.regexp_extract_all(markup, F.lit(tag_pattern(name)), 0)
 
 
+def tag_name(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, r"^<([^\s/>]*)", 1))
+
+
+def tag_table(markup: Column, names: list[str]) -> Column:
+    """The opening tags of these names in document order, found in one scan:
+    ``array<struct<name, attrs map<string, string>>>``. Every job over the
+    tags of a page reads this table, so no tag is scanned twice."""
+    return F.transform(tags(markup, any_of(names)), lambda t: F.struct(tag_name(t).alias("name"), attributes(t).alias("attrs")))
+
+
 def text_of(fragment: Column) -> Column:
     """``get_text(strip=True)``: each text node stripped, joined without separator."""
-    nodes = F.split(fragment, TAG_RE)
-    return F.array_join(F.transform(nodes, lambda n: strip(decode_entities(n))), "")
+    return F.array_join(F.transform(F.split(fragment, TAG_RE), lambda n: strip(decode_entities(n))), "")
+
+
+#: Tags that the SEO record and the form flag look at, and those of the technologies.
+PAGE_TAGS = ["meta", "link", "html", "h1", "form"]
+TECH_TAGS = ["meta", "script", "link"]
+
+
+def _named(table: Column, name: str) -> Column:
+    return F.filter(table, lambda t: t["name"] == name)
 
 
-def first_tag_where(markup: Column, name: str, attr_name: str, value: str, found: Column | None = None) -> Column:
-    """First ``<name>`` tag whose attribute equals ``value`` (case-sensitive), or
-    NULL. ``found`` = the already extracted ``tags(markup, name)``."""
-    matches = F.filter(found if found is not None else tags(markup, name), lambda t: attr(t, attr_name) == value)
-    return F.get(matches, 0)
+def _meta(table: Column, name: str) -> Column:
+    """The first ``<meta>`` of this name (case-sensitive), or NULL."""
+    return F.get(F.filter(table, lambda t: (t["name"] == "meta") & (t["attrs"]["name"] == name)), 0)
 
 
 def has_form(markup: Column) -> Column:
     """HTML6: any ``<form>`` element."""
-    return F.size(tags(markup, "form")) > 0
-
-
-def seo(markup: Column, metas: Column | None = None, links: Column | None = None) -> Column:
-    """HTML7: the SEO record as a struct (empty string / 0 / false when missing).
-    ``metas``/``links`` = the document's ``<meta>``/``<link>`` tags when the
-    caller has extracted them once already (one scan of the markup each)."""
-    metas = metas if metas is not None else tags(markup, "meta")
-    links = links if links is not None else tags(markup, "link")
-    title_inner = F.regexp_extract(markup, rf"{tag_pattern('title')}(.*?)</title\s*>", 1)
-    description_tag = first_tag_where(markup, "meta", "name", "description", metas)
-    canonical = F.get(
-        F.filter(links, lambda t: F.array_contains(F.split(strip(attr(t, "rel")), rf"{WS}+"), "canonical")), 0)
-    html_tag = F.get(tags(markup, "html"), 0)
-    robots_tag = first_tag_where(markup, "meta", "name", "robots", metas)
-    props = F.transform(metas, lambda t: attr(t, "property"))
-    og = F.filter(F.array(*[F.lit(p) for p in OG_PROPERTIES]), lambda p: F.array_contains(props, p))
-    return F.struct(
-        text_of(title_inner).alias("title"),
-        F.coalesce(strip(attr(description_tag, "content")), F.lit("")).alias("description"),
-        F.size(tags(markup, "h1")).alias("h1_count"),
-        F.coalesce(attr(canonical, "href"), F.lit("")).alias("canonical"),
-        F.coalesce(attr(html_tag, "lang"), F.lit("")).alias("lang"),
-        first_tag_where(markup, "meta", "name", "viewport", metas).isNotNull().alias("has_viewport"),
-        F.coalesce(attr(robots_tag, "content"), F.lit("")).alias("robots"),
-        og.alias("og_tags"),
-    )
+    return form_of(tag_table(markup, ["form"]))
+
+
+def form_of(table: Column) -> Column:
+    return F.exists(table, lambda t: t["name"] == "form")
+
+
+def title_of(markup: Column) -> Column:
+    """The text of the first ``<title>``."""
+    return bind(F.regexp_extract(markup, rf"{tag_pattern('title')}(.*?)</title\s*>", 1), text_of)
+
+
+def seo(markup: Column) -> Column:
+    """HTML7: the SEO record as a struct (empty string / 0 / false when missing)."""
+    return seo_of(tag_table(markup, PAGE_TAGS), title_of(markup))
+
+
+def seo_of(table: Column, title: Column) -> Column:
+    """HTML7 from a page's tag table (PAGE_TAGS) and title."""
+    def record(t: Column) -> Column:
+        def is_canonical(tag: Column) -> Column:
+            return (tag["name"] == "link") & F.array_contains(F.split(strip(tag["attrs"]["rel"]), rf"{WS}+"), "canonical")
+
+        props = F.transform(_named(t, "meta"), lambda tag: tag["attrs"]["property"])
+        og = bind(props, lambda known: F.filter(F.array(*[F.lit(p) for p in OG_PROPERTIES]), lambda p: F.array_contains(known, p)))
+        return F.struct(
+            title.alias("title"),
+            F.coalesce(strip(_meta(t, "description")["attrs"]["content"]), F.lit("")).alias("description"),
+            F.size(_named(t, "h1")).alias("h1_count"),
+            F.coalesce(F.get(F.filter(t, is_canonical), 0)["attrs"]["href"], F.lit("")).alias("canonical"),
+            F.coalesce(F.get(_named(t, "html"), 0)["attrs"]["lang"], F.lit("")).alias("lang"),
+            _meta(t, "viewport").isNotNull().alias("has_viewport"),
+            F.coalesce(_meta(t, "robots")["attrs"]["content"], F.lit("")).alias("robots"),
+            F.filter(og, lambda p: p.isNotNull()).alias("og_tags"),
+        )
+
+    return bind(table, record)
 
 
 def _marker_hits(haystack: Column, markers) -> Column:
     pairs = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(v).alias("name")) for n, v in markers])
-    return F.transform(F.filter(pairs, lambda m: F.contains(haystack, m["needle"])), lambda m: m["name"])
+    return bind(haystack, lambda text: F.transform(F.filter(pairs, lambda m: F.contains(text, m["needle"])), lambda m: m["name"]))
 
 
 def tech(decommented: Column, headers: Column) -> Column:
     """HTML8: technologies from generator meta, script/link URLs and headers."""
-    generator = F.lower(F.coalesce(attr(first_tag_where(decommented, "meta", "name", "generator"), "content"), F.lit("")))
-    srcs = F.transform(F.filter(tags(decommented, "script"), lambda t: has_attr(t, "src")), lambda t: F.lower(attr(t, "src")))
-    hrefs = F.transform(F.filter(tags(decommented, "link"), lambda t: has_attr(t, "href")), lambda t: F.lower(attr(t, "href")))
-    haystack = F.array_join(F.concat(srcs, hrefs), " ")
+    return tech_of(tag_table(decommented, TECH_TAGS), headers)
+
+
+def tech_of(table: Column, headers: Column) -> Column:
+    """HTML8 from the tag table (TECH_TAGS) of a page whose scripts' tags are still there."""
+    def urls(t: Column, name: str, attribute: str) -> Column:
+        own = F.filter(t, lambda tag: (tag["name"] == name) & tag["attrs"][attribute].isNotNull())
+        return F.transform(own, lambda tag: F.lower(tag["attrs"][attribute]))
+
+    def found(t: Column) -> Column:
+        generator = F.lower(F.coalesce(_meta(t, "generator")["attrs"]["content"], F.lit("")))
+        haystack = F.array_join(F.concat(urls(t, "script", "src"), urls(t, "link", "href")), " ")
+        return F.concat(_marker_hits(generator, GENERATOR_MARKERS), _marker_hits(haystack, URL_MARKERS))
+
     server = F.lower(F.coalesce(headers["server"], F.lit("")))
     powered = F.lower(F.coalesce(headers["x-powered-by"], F.lit("")))
-    found = F.concat(
-        _marker_hits(generator, GENERATOR_MARKERS),
-        _marker_hits(haystack, URL_MARKERS),
-        _marker_hits(server, SERVER_MARKERS),
-        _marker_hits(powered, POWERED_BY_MARKERS),
-    )
-    return F.array_distinct(found)
+    return F.array_distinct(F.concat(bind(table, found), _marker_hits(server, SERVER_MARKERS), _marker_hits(powered, POWERED_BY_MARKERS)))
 
 
 def interesting_headers(headers: Column) -> Column:

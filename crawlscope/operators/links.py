@@ -36,47 +36,49 @@ def with_site_of_url(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def _starts_with_any(col: Column, prefixes) -> Column:
-    cond = F.lit(False)
-    for p in prefixes:
-        cond = cond | col.startswith(p)
-    return cond
+    """One pattern for all prefixes (none has a special character), so col is computed once."""
+    return col.rlike(f"^(?:{'|'.join(prefixes)})")
 
 
-def _anchor_structs(markup: Column, mode: str) -> Column:
-    """One struct per ``<a ...>`` in document order: (has href, href, text)."""
-    after = F.split(markup, H.tag_pattern("a"), -1)
+def _link_of(tag: Column, kind: Column, attribute: str, text: Column) -> Column:
+    """present, href (decoded value of the attribute), text and kind of one tag."""
+    def of(place: Column) -> Column:
+        raw = F.get(H.attribute_values(tag), place.cast("int") - 1)
+        href = H.bind(raw, lambda value: H.bind(H.unquoted(value), H.decode_entities))
+        return F.struct((place > 0).alias("present"), F.when(place > 0, href).otherwise("").alias("href"),
+                        F.substring(text, 1, H.LINK_TEXT_MAX_CHARS).alias("text"), kind.alias("kind"))
+
+    return H.bind(F.array_position(H.attribute_names(tag), attribute), of)
 
-    def one(tag: Column, i: Column) -> Column:
-        inner = F.regexp_extract(F.get(after, i + 1), r"(?is)^(.*?)(?:</a\s*>|\z)", 1)
-        if mode == "rendered":
-            text = H.strip(H.decode_entities(F.regexp_replace(inner, H.TAG_RE, "")))
-        else:
-            text = H.text_of(inner)
-        return F.struct(
-            H.has_attr(tag, "href").alias("present"),
-            H.attr(tag, "href").alias("href"),
-            F.substring(text, 1, H.LINK_TEXT_MAX_CHARS).alias("text"),
-            F.lit("a").alias("kind"),
-        )
 
-    return F.transform(H.tags(markup, "a"), one)
+def _anchors(markup: Column, mode: str) -> Column:
+    """The links of all ``<a ...>`` in document order, with the text up to the end tag or the next anchor."""
+    def text_of(inner: Column) -> Column:
+        if mode == "rendered":
+            return H.strip(H.bind(F.regexp_replace(inner, H.TAG_RE, ""), H.decode_entities))
+        return H.text_of(inner)
 
+    def one(tag: Column, rest: Column) -> Column:
+        return _link_of(tag, F.lit("a"), "href", text_of(F.regexp_extract(rest, r"(?is)^(.*?)(?:</a\s*>|\z)", 1)))
 
-def _embed_structs(markup: Column, mode: str) -> Column:
-    """All embeds, then all iframes, then all objects; of a rendered page, all in document order."""
-    def one(tag: Column, name: Column) -> Column:
-        def pick(read):
-            return F.when(name == "object", read(tag, "data")).otherwise(read(tag, "src"))
+    after = H.bind(F.split(markup, H.tag_pattern("a"), -1), lambda pieces: F.slice(pieces, F.lit(2), F.size(pieces)))
+    return F.zip_with(H.tags(markup, "a"), after, one)
 
-        return F.struct(pick(H.has_attr).alias("present"), pick(H.attr).alias("href"), F.lit("").alias("text"), name.alias("kind"))
 
-    def of(name: str) -> Column:
-        return F.transform(H.tags(markup, name), lambda t: one(t, F.lit(name)))
+def _embeds(markup: Column, mode: str) -> Column:
+    """The links of all embeds, then all iframes, then all objects, found in one
+    scan; of a rendered page, of all in document order."""
+    def of(found: Column) -> Column:
+        each = []
+        for name, attribute in EMBED_TAGS:
+            own = F.filter(found, lambda t: H.tag_name(t) == name)
+            each.append(F.transform(own, lambda t: _link_of(t, F.lit(name), attribute, F.lit(""))))
+        return F.concat(*each)
 
+    found = H.tags(markup, H.any_of([name for name, _ in EMBED_TAGS]))
     if mode == "rendered":
-        names = "|".join(name for name, _ in EMBED_TAGS)
-        return F.transform(H.tags(markup, f"(?:{names})"), lambda t: one(t, F.lower(F.regexp_extract(t, r"^<(\w+)", 1))))
-    return F.concat(*[of(name) for name, _ in EMBED_TAGS])
+        return F.flatten(F.transform(found, lambda t: of(F.array(t))))
+    return H.bind(found, of)
 
 
 def is_link_extractable(status_code: Column, content_type: Column, redirect_url: Column, site: Column) -> Column:
@@ -112,11 +114,8 @@ def extract_links(pages: DataFrame, *, html_col: str = "html", base_col: str | N
     # the cleaned markup is computed once per page (two regex passes over the body)
     staged = pages.select("site", "site_scheme", F.col("url").alias("source_url"), base.alias("_base"),
                           H.clean(F.col(html_col)).alias("_markup"))
-    markup = F.col("_markup")
-    candidates = F.concat(_anchor_structs(markup, mode), _embed_structs(markup, mode))
-    exploded = staged.select(
-        "site", "site_scheme", "source_url", "_base", F.posexplode(candidates).alias("position", "c"),
-    )
+    candidates = F.concat(_anchors(F.col("_markup"), mode), _embeds(F.col("_markup"), mode))
+    exploded = staged.select("site", "site_scheme", "source_url", "_base", F.posexplode(candidates).alias("position", "c"))
     return links_of_candidates(exploded.select(
         "site", "site_scheme", "source_url", F.col("_base").alias("base"), "position", F.col("c.present").alias("present"),
         F.col("c.href").alias("href"), F.col("c.text").alias("link_text"), F.col("c.kind").alias("kind")), mode)

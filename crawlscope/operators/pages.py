@@ -61,15 +61,15 @@ def with_findings(pages: DataFrame, html_col: str = "html") -> DataFrame:
     markup = H.clean(body)
     headers = F.transform_keys(F.coalesce(F.col("response_headers"), _empty_headers()), lambda k, v: F.lower(k))
     out = pages.withColumn("_markup", markup).withColumn("_decommented", decommented).withColumn("_h", headers)
-    # each tag family is scanned out of the document once
-    out = out.withColumn("_metas", H.tags(F.col("_markup"), "meta")).withColumn("_links", H.tags(F.col("_markup"), "link"))
-    out = out.withColumn("has_form", H.has_form(F.col("_markup")))
-    out = out.withColumn("seo", H.seo(F.col("_markup"), F.col("_metas"), F.col("_links")))
-    out = out.withColumn("tech", F.when(gate, H.tech(F.col("_decommented"), F.col("_h"))).otherwise(F.array().cast("array<string>")))
+    # each markup is scanned for tags once; the findings read the tag tables
+    out = out.withColumn("_tags", H.tag_table(F.col("_markup"), H.PAGE_TAGS)).withColumn("_tech_tags", H.tag_table(F.col("_decommented"), H.TECH_TAGS))
+    out = out.withColumn("has_form", H.form_of(F.col("_tags")))
+    out = out.withColumn("seo", H.seo_of(F.col("_tags"), H.title_of(F.col("_markup"))))
+    out = out.withColumn("tech", F.when(gate, H.tech_of(F.col("_tech_tags"), F.col("_h"))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("http_details", H.interesting_headers(F.col("_h")))
     out = out.withColumn(
         "issues",
         H.issues(F.col("http_status_code"), F.col("content_type"), F.col("seo"), F.col("load_time_ms"),
                  F.col("page_size")),
     )
-    return out.drop("_markup", "_decommented", "_h", "_metas", "_links")
+    return out.drop("_markup", "_decommented", "_h", "_tags", "_tech_tags")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import status as S
 from ..functions import urls as U
 from .ordering import sequence_within_groups
@@ -129,28 +130,25 @@ def sitemap_diff(results: DataFrame, sitemap: DataFrame) -> DataFrame:
 _SITEMAP_SCHEMA = "sitemap ARRAY<STRUCT<loc: STRING>>, url ARRAY<STRUCT<loc: STRING>>, _bad STRING"
 
 
-def _root_name(xml: Column) -> Column:
-    """Local name of the first element (declarations, comments and a doctype may come before it)."""
-    return F.regexp_extract(F.regexp_replace(xml, r"(?s)<!--.*?-->|<[?!][^>]*>", ""), r"^[\s\ufeff]*<(?:[^\s:/>]+:)?([^\s:/>]+)", 1)
-
-
 def parse_sitemap_documents(docs: DataFrame) -> DataFrame:
     """SRC2 per document (site, doc_url, xml) -> (site, doc_url, is_index,
-    locs ARRAY<STRING>): ``<loc>`` texts trimmed, empty ones skipped. An index
-    (any ``sitemap/loc``) lists its children; its ``url`` entries are ignored.
-    A document that is not well-formed XML yields no entries."""
+    locs ARRAY<STRING>): ``<loc>`` texts trimmed, empty ones skipped. Whatever
+    its root is called, a document with a ``sitemap/loc`` is an index that
+    lists its children (its ``url`` entries are ignored); another one lists
+    its ``url/loc``. A document that is not well-formed XML yields no entries."""
     # parsed once, by Spark's XML reader; what it can't parse becomes null
-    parsed = docs.select("site", "doc_url", _root_name(F.col("xml")).alias("_root"), F.from_xml(
+    parsed = docs.select("site", "doc_url", F.from_xml(
         F.trim("xml"), _SITEMAP_SCHEMA, {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad"}).alias("_x"))
     good = F.col("_x").isNotNull() & F.col("_x._bad").isNull()
 
-    def locs(root: str, item: str) -> Column:
-        found = F.filter(F.transform(F.col(f"_x.{item}.loc"), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
-        return F.when(good & (F.col("_root") == root), F.coalesce(found, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    def locs(item: str) -> Column:
+        found = F.transform(F.filter(F.col(f"_x.{item}.loc"), lambda s: s.isNotNull()), H.strip)
+        return F.when(good, F.coalesce(found, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
 
-    parsed = parsed.select("site", "doc_url", locs("sitemapindex", "sitemap").alias("_children"), locs("urlset", "url").alias("_urls"))
+    parsed = parsed.select("site", "doc_url", locs("sitemap").alias("_children"), locs("url").alias("_urls"))
     is_index = F.size("_children") > 0
-    return parsed.select("site", "doc_url", is_index.alias("is_index"), F.when(is_index, F.col("_children")).otherwise(F.col("_urls")).alias("locs"))
+    return parsed.select("site", "doc_url", is_index.alias("is_index"), F.filter(
+        F.when(is_index, F.col("_children")).otherwise(F.col("_urls")), lambda s: s != "").alias("locs"))
 
 
 def load_sitemap_urls(docs: DataFrame, root_urls: DataFrame, max_depth: int = MAX_INDEX_DEPTH) -> DataFrame:

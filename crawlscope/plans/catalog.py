@@ -169,8 +169,9 @@ def links_sql(src: str) -> str:
     netloc = f"lower({O.part('target_url', 'netloc')})"
     return f"""
 lm AS (SELECT site, site_scheme, url AS source_url, {m} AS m FROM {src}),
-lp AS (SELECT *, regexp_split_to_array(m, '(?i)<a\\s') AS pcs,
-              regexp_extract_all(m, '(?is)<(?:embed|iframe|object)\\s[^>]*>', 0) AS ems FROM lm),
+lp AS (SELECT *, regexp_split_to_array(m, '(?i)<a\\s') AS pcs, list_concat(list_concat(
+                regexp_extract_all(m, '(?is)<embed\\s[^>]*>', 0), regexp_extract_all(m, '(?is)<iframe\\s[^>]*>', 0)),
+                regexp_extract_all(m, '(?is)<object\\s[^>]*>', 0)) AS ems FROM lm),
 la AS (SELECT site, site_scheme, source_url, unnest(pcs[2:]) AS piece,
               CAST(generate_subscripts(pcs[2:], 1) - 1 AS INTEGER) AS position FROM lp),
 lat AS (SELECT *, '<a ' || regexp_extract(piece, '^([^>]*)>?', 1) AS tag,
@@ -292,9 +293,7 @@ def _seo_cols(df: DataFrame) -> DataFrame:
 def html7_seo(spark, d):
     """HTML7: SEO record of every stored page."""
     pages = _pages(spark, d).select("page_id", "url", H.clean(F.col("html")).alias("_markup"))
-    pages = pages.select("*", H.tags(F.col("_markup"), "meta").alias("_metas"),
-                         H.tags(F.col("_markup"), "link").alias("_links"))
-    return _seo_cols(pages.select("page_id", "url", H.seo(F.col("_markup"), F.col("_metas"), F.col("_links")).alias("seo")))
+    return _seo_cols(pages.select("page_id", "url", H.seo(F.col("_markup")).alias("seo")))
 
 
 @query("html6_forms", f"SELECT page_id, url, regexp_matches({O.clean('html')}, '(?i)<form[\\s>/]') AS has_form FROM pages")

@@ -52,6 +52,26 @@ def html1_awkward_links(spark, d):
     return L.extract_links(awkward_pages(spark, d))
 
 
+@query("html4_awkward_links", """
+SELECT 'h.example' AS site, 'https://h.example/d/' || i AS source_url, position, target_url, target_norm, link_text, kind
+FROM (SELECT CAST(page_id AS VARCHAR) AS i FROM pages), LATERAL (VALUES
+  (0, 'https://h.example/gt' || i, 'https://h.example/gt' || i, 'A < b', 'a'),
+  (1, 'https://h.example/yes' || i, 'https://h.example/yes' || i, 'yes', 'a'),
+  (2, 'https://h.example/after' || i, 'https://h.example/after' || i, 'after', 'a'),
+  (3, 'https://h.example/umläut' || i || '?a=1&b=2', 'https://h.example/uml%C3%A4ut' || i || '?a=1&b=2', 'x', 'a'),
+  (5, 'https://h.example/d/p/q' || i, 'https://h.example/d/p/q' || i, 'tight', 'a'),
+  (7, 'https://h.example/d/' || i, 'https://h.example/d/' || i, 'self', 'a'),
+  (8, 'https://h.example/d/' || i || '#part', 'https://h.example/d/' || i, 'part', 'a'),
+  (9, 'https://h.example/o' || i || '.pdf', 'https://h.example/o' || i || '.pdf', '', 'object'),
+  (10, 'https://h.example/i' || i || '.pdf;v=1', 'https://h.example/i' || i || '.pdf;v=1', '', 'iframe'),
+  (11, 'https://h.example/e' || i || '.pdf', 'https://h.example/e' || i || '.pdf', '', 'embed')
+) v(position, target_url, target_norm, link_text, kind)""")
+def html4_awkward_links(spark, d):
+    """HTML4 on the same pages, with an empty href (the page itself) and a fragment: embeds in document order."""
+    pages = awkward_pages(spark, d).withColumn("html", F.concat("html", F.lit('<a href="">self</a><a href="#part"> part </a>')))
+    return L.extract_links(pages, mode="rendered")
+
+
 @query("html7_awkward_seo", """
 SELECT page_id, 'Büro – &A' || page_id || ' © &nope; €' AS title, 'it''s' AS description,
   1 AS h1_count, true AS has_form FROM pages""")
@@ -64,25 +84,29 @@ def html7_awkward_seo(spark, d):
 
 
 @query("src2_awkward_documents", """
-SELECT 'h.example' AS site, 'https://h.example/s' || page_id || '.xml' AS doc_url, page_id % 8 = 6 AS is_index,
-  'https://h.example/' || page_id || CASE WHEN page_id % 8 = 6 THEN '.xml' ELSE '?a=1&b=2' END AS loc
-FROM pages WHERE page_id % 8 NOT IN (1, 2, 7)""")
+SELECT 'h.example' AS site, 'https://h.example/s' || page_id || '.xml' AS doc_url, page_id % 10 IN (6, 9) AS is_index,
+  'https://h.example/' || page_id || CASE WHEN page_id % 10 IN (6, 9) THEN '.xml' ELSE '?a=1&b=2' END AS loc
+FROM pages WHERE page_id % 10 NOT IN (1, 2)""")
 def src2_awkward_documents(spark, d):
     """SRC2 over documents with processing instructions, comments, a doctype
-    or a prefix, and over malformed ones, which give no rows."""
+    or a prefix, with other root elements and mixed children, and over
+    malformed ones, which give no rows."""
     i = F.col("page_id").cast("string")
-    urlset = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h.example/'), i,
-                      F.lit("?a=1&amp;b=2 </loc></url><url><loc>  </loc></url></urlset>"))
-    index = F.concat(F.lit("<sitemapindex><sitemap><loc>https://h.example/"), i, F.lit(".xml</loc></sitemap></sitemapindex>"))
-    kind = F.col("page_id") % 8
+    entries = F.concat(F.lit("<url><loc> https://h.example/"), i, F.lit("?a=1&amp;b=2\t</loc></url><url><loc>  </loc></url>"))
+    urlset = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entries, F.lit("</urlset>"))
+    child = F.concat(F.lit("<sitemap><loc>https://h.example/"), i, F.lit(".xml</loc></sitemap>"))
+    kind = F.col("page_id") % 10
     xml = (
         F.when(kind == 1, F.concat(F.lit("<urlset><url><loc>https://h.example/?a&b"), i, F.lit("</loc></url></urlset>")))
         .when(kind == 2, F.concat(F.lit("<urlset><url><loc>https://h.example/"), i, F.lit("</url></urlset>")))
         .when(kind == 3, F.concat(F.lit('<?xml version="1.0"?>\n<?xml-stylesheet type="text/xsl" href="a.xsl"?>'), urlset))
         .when(kind == 4, F.concat(F.lit("<!-- made by <tool> -->\n"), urlset))
         .when(kind == 5, F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE urlset>'), urlset))
-        .when(kind == 6, index)
-        .when(kind == 7, F.lit("<html><url><loc>https://h.example/no</loc></url></html>"))
+        .when(kind == 6, F.concat(F.lit("<sitemapindex>"), child, F.lit("</sitemapindex>")))
+        # any root will do, and one sitemap child makes any document an index
+        .when(kind == 7, F.concat(F.lit("<URLSET>"), entries, F.lit("</URLSET>")))
+        .when(kind == 8, F.concat(F.lit("<feed>"), entries, F.lit("</feed>")))
+        .when(kind == 9, F.concat(F.lit("<urlset>"), entries, child, F.lit("</urlset>")))
         .otherwise(urlset))
     docs = _pages(spark, d).select(F.lit("h.example").alias("site"), F.concat(F.lit("https://h.example/s"), i, F.lit(".xml")).alias("doc_url"), xml.alias("xml"))
     return SM.parse_sitemap_documents(docs).select("site", "doc_url", "is_index", F.explode("locs").alias("loc"))

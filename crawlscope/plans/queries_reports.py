@@ -346,7 +346,7 @@ lec AS (SELECT site, site_scheme, source_url, position,
                     ELSE {O.has_attr('tag', 'src')} END AS present,
                {O.strip(f"CASE WHEN lower(regexp_extract(tag, '^<(\\w+)', 1)) = 'object' THEN {O.attr('tag', 'data')} ELSE {O.attr('tag', 'src')} END")} AS href,
                '' AS link_text, lower(regexp_extract(tag, '^<(\\w+)', 1)) AS kind FROM le),
-lall AS (SELECT * FROM lac WHERE present AND href <> '' UNION ALL SELECT * FROM lec WHERE present AND href <> ''),
+lall AS (SELECT * FROM lac WHERE present UNION ALL SELECT * FROM lec WHERE present),
 lres AS (SELECT site, site_scheme, source_url, position,
            {res} || CASE WHEN regexp_extract(href, '(#.*)$', 1) <> '' THEN regexp_extract(href, '(#.*)$', 1) ELSE '' END
              AS target_url, link_text, kind FROM lall),

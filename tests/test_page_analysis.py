@@ -81,3 +81,20 @@ def test_issue_rules(spark):
         [],
         [],
     ]
+
+
+def test_tags_are_scanned_once(spark):
+    """Values are bound, so a page's plan holds a pattern a few times only, whatever reads it."""
+    from crawlscope.operators import links as L
+    from crawlscope.operators import pages as P
+
+    pages = P.stored_pages_as_fetches(spark.createDataFrame([("https://s.example/", PAGE)], "url string, html string"))
+    for df in (P.with_findings(pages), L.extract_links(pages), L.extract_links(pages, mode="rendered")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") <= 10
+
+
+def test_attributes_of_a_tag(spark):
+    tag = "<a HREF=one href='two' data-x='a > b' empty= '' bare title=\"x &amp; 'y'\"z=1 q=a\"b>"
+    found = spark.createDataFrame([(tag,), ("<p>",)], "t string").select(H.attributes(F.col("t")).alias("a")).collect()
+    assert found[0].a == {"href": "one", "data-x": "a > b", "empty": "", "bare": "", "title": "x & 'y'", "z": "1", "q": 'a"b'}
+    assert found[1].a == {}

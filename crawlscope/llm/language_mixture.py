@@ -38,9 +38,7 @@ ignored. ``doc_id``, source and the row's own language are no inputs of ``identi
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +46,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +54,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import tokens
 from .shared import picked
 
+#: a power of two
 BUCKETS = 1 << 17
 CONTEXT_WEIGHT = 4.0
 #: letters a language may have beyond those seen, for the probability of a new one
@@ -70,7 +68,6 @@ EM_CHANGE = 1e-4
 HELD_LANGUAGES = 32
 
 UNDETERMINED = "und"
-_ORDERS = 3
 #: buckets of grams of order 1, 2, 3, and of contexts of order 2, 3 are told apart by these
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -78,11 +75,16 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _LETTERS, _DOCUMENTS = BUCKETS, BUCKETS + 1
 
 
-@functools.cache
-def _word_pattern() -> re.Pattern:
-    """Runs of letters: what ``\\w`` has beyond letters, digits and the underscore is taken out by name."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numbers}]{{1,{LONGEST_WORD}}}")
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
+
+
+def _letter_runs(text: str) -> list[str]:
+    found = _WORD.findall(text)
+    if found and not "".join(found).isalpha():
+        # numbers that are no decimal digits (\u00b2, \u2167) count as \w: they are blanked
+        numbers = {ord(c): " " for c in set(text) if c.isalnum() and not c.isalpha()}
+        found = _WORD.findall(text.translate(numbers))
+    return found
 
 
 def words(text: str | None) -> Counter:
@@ -90,7 +92,7 @@ def words(text: str | None) -> Counter:
     found: Counter = Counter()
     if text:
         for part in tokens.parts(text):
-            found.update(_word_pattern().findall(part.lower()))
+            found.update(_letter_runs(part.lower()))
     return found
 
 
@@ -99,7 +101,7 @@ def _hashed(salt: int, *letters: np.ndarray) -> np.ndarray:
     for x in letters:
         h = (h ^ x) * _MIX
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(BUCKETS)).astype(np.int64)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def gram_buckets(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,18 +1,21 @@
 """Operator 10: token ids in canonical length-limited Huffman code.
 
-Writing (``write``): documents are range-partitioned by id and sorted, each
-whole text is tokenized once and gets the end id; the ids go to a table in the
-shared folder. Their global counts (one row a distinct id) give optimal code
-lengths of at most ``MAX_BITS`` bits (package-merge on the driver: its size is
-the vocabulary's), and the canonical code follows from the lengths alone.
+Writing (``write``): each whole text is tokenized once, where it lies, and gets
+the end id; the ids go to a table in the shared folder, together with the counts
+of the ids that each task met. The summed counts (one row a distinct id) give
+optimal code lengths of at most ``MAX_BITS`` bits (package-merge on the driver:
+its size is the vocabulary's), and the canonical code follows from the lengths
+alone. Then the ids, a third of the text's size, are range-partitioned by
+document id, sorted, and packed into blocks as they come out of the sort.
 
-File format, a folder with two Parquet tables that any Hadoop file system holds:
+File format, a folder with three Parquet tables that any Hadoop file system holds:
 
 * ``codebook``: ``id``, ``bits``;
-* ``blocks``: ``part``, ``block``, ``start`` (ids before the block, over all
-  files), ``doc_ids``, ``doc_lengths``, ``checkpoints`` (little-endian unsigned
-  32-bit bit offsets of every ``CHECKPOINT_IDS``-th id), ``payload`` (codes,
-  most significant bit first, in big-endian 32-bit words). A block holds whole
+* ``parts``: ``part``, ``base`` (ids of all parts before);
+* ``blocks``: ``part``, ``block``, ``start`` (ids of the part before the block),
+  ``doc_ids``, ``doc_lengths``, ``checkpoints`` (little-endian unsigned 64-bit
+  bit offsets of every ``CHECKPOINT_IDS``-th id), ``payload`` (codes, most
+  significant bit first, in big-endian 32-bit words). A block holds whole
   documents in ascending id order: it is closed when it has ``BLOCK_IDS`` ids.
 
 Reading (``read``): each block is decoded by itself with one table of
@@ -20,8 +23,8 @@ Reading (``read``): each block is decoded by itself with one table of
 lanes that step together through numpy, so decoding is a few vector
 operations an id position, not a Python step an id.
 
-Scale: one shuffle (text by id range; ids with many rows are split by text
-hash), one pass of tokenizing; nothing but the codebook and one offset per
+Scale: one pass of tokenizing, one shuffle (ids by range; document ids with many
+rows are split by text hash); nothing but the codebook and one number per
 partition passes through the driver. Ids of a document larger than a block
 make a block of their own.
 
@@ -32,8 +35,6 @@ table writes no blocks; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +43,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
-from .shared import picked, shared_path
+from .shared import picked, written
 
 MAX_BITS = 18
 BLOCK_IDS = 32_768
 CHECKPOINT_IDS = 512
 #: ids that are decoded together
-DECODE_IDS = 2_000_000
+DECODE_IDS = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -151,41 +152,57 @@ class Decoder:
         return out[step, lane]
 
 
-def tokenized(docs: DataFrame, vocabulary, end_id: int, dtype: str) -> DataFrame:
-    """id, ids (binary of dtype, with the end id) of docs in their order, with part, seq and at (ids of the part before)."""
+def tokenized(docs: DataFrame, vocabulary, end_id: int, dtype: str, size: int) -> DataFrame:
+    """id, hash (of the text), n, ids (binary of dtype, with the end id) of docs; a task's last row has only
+    ``counts``, how often each of its ids occurs (binary: pairs of 64-bit numbers)."""
     id_type = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    arrow = pa.schema([("id", to_arrow_type(id_type)), ("part", pa.int32()), ("seq", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    arrow = pa.schema([("id", to_arrow_type(id_type)), ("hash", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def encode(batches):
-        from pyspark import TaskContext
-
         encoder = tokens.worker_encoder(vocabulary)
-        part, seq, at = TaskContext.get().partitionId(), 0, 0
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for rows in tokens.slices(batch, "text"):
                 found = [np.append(x, end_id).astype(dtype) for x in encoder.encode(rows.column("text").to_pylist())]
                 n = np.array([len(x) for x in found], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))),
-                    pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array([x.tobytes() for x in found], pa.binary()),
-                ], schema=arrow)
-                seq, at = seq + len(n), at + int(n.sum())
+                whole = np.concatenate(found)
+                total += np.bincount(whole, minlength=size)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("hash"), pa.array(n), binary(whole, n), pa.nulls(len(n), pa.binary())], schema=arrow)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_pylist([{"counts": np.stack([used, total[used]]).astype("<i8").tobytes()}], schema=arrow)
 
     return docs.mapInArrow(encode, schema)
 
 
-def id_counts(ids: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """How often each id occurs: summed per partition, then over partitions; one row a distinct id reaches the driver."""
+def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of values, counts[i] each, as binary strings, without a copy of the values."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+    return pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1] // values.itemsize, ends[1:] // values.itemsize)], pa.binary())
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
+
+def binary_values(column: pa.Array, dtype: str) -> np.ndarray:
+    """The values of all binary strings of a column, one after another, as they lie in its buffer."""
+    if not len(column):
+        return np.empty(0, dtype)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if raw is not None else np.empty(0, dtype)
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs: the tasks' counts summed by Spark; one row a distinct id reaches the driver."""
+
+    def unpack(batches):
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(used.astype(np.int64)), "n": pa.array(total[used])})
+            for raw in batch.column(0).to_pylist():
+                used, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(n)})
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.where("counts IS NOT NULL").select("counts").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -198,47 +215,58 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, id_col:
     vocabulary = spark.sparkContext.broadcast(text)
     size = max(tokens.vocabulary_size(text), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
-    docs = picked(docs, id=id_col, text=text_col).repartitionByRange(*keys).sortWithinPartitions("id", F.xxhash64("text"))
-    folder = shared_path(spark, "ids")
-    ids = tokenized(docs, vocabulary, end_id, dtype)
-    ids.write.option("compression", "zstd").parquet(folder)
-    ids = spark.read.schema(ids.schema).parquet(folder)
-
-    bits = code_lengths(id_counts(ids, dtype, size), max(MAX_BITS, size.bit_length() + 1))
+    ids = written(tokenized(picked(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("hash"), "text"), vocabulary, end_id, dtype, size), "ids", compression="zstd")
+
+    bits = code_lengths(id_counts(ids, size), max(MAX_BITS, size.bit_length() + 1))
     codes = canonical_codes(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-
-    # one row a partition
-    parts = ids.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
-    base = dict(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist()))
     book = spark.sparkContext.broadcast((codes, bits))
     id_type = ids.schema["id"].dataType
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("start", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("doc_lengths", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.BinaryType()), T.StructField("payload", T.BinaryType())])
-    arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("doc_lengths", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("doc_lengths", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.BinaryType()), T.StructField("payload", T.BinaryType())])
+    arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("doc_lengths", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
 
     def pack(batches):
-        codes, bits = book.value
+        from pyspark import TaskContext
 
-        def block(held):
-            payload, offsets = encode_ids(np.frombuffer(b"".join(x["ids"] for x in held), dtype), codes, bits)
-            first = held[0]
-            row = {"part": first["part"], "block": first["seq"], "start": base[first["part"]] + first["at"], "doc_ids": [x["id"] for x in held], "doc_lengths": [x["n"] for x in held], "checkpoints": offsets[::CHECKPOINT_IDS].astype("<u4").tobytes(), "payload": payload}
-            return pa.RecordBatch.from_pylist([row], schema=arrow)
+        codes, bits = book.value
+        part, start, block = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # document ids, lengths, ids
+        size = 0
+
+        def close():
+            nonlocal held, size, start, block
+            doc_ids, lengths = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            payload, offsets = encode_ids(np.concatenate([x[2] for x in held]), codes, bits)
+            one = pa.array([0, len(doc_ids)], pa.int32())
+            row = [pa.array([part], pa.int32()), pa.array([block]), pa.array([start]), pa.array([size]), pa.ListArray.from_arrays(one, doc_ids), pa.ListArray.from_arrays(one, pa.array(lengths)),
+                   pa.array([offsets[::CHECKPOINT_IDS].astype("<u8").tobytes()], pa.binary()), pa.array([payload], pa.binary())]
+            held, size, start, block = [], 0, start + size, block + 1
+            return pa.RecordBatch.from_arrays(row, schema=arrow)
 
-        held, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                follows = held and row["part"] == held[-1]["part"] and row["seq"] == held[-1]["seq"] + 1
-                if held and (not follows or size >= BLOCK_IDS):
-                    yield block(held)
-                    held, size = [], 0
-                held.append(row)
-                size += row["n"]
+            lengths = batch.column("n").to_numpy()
+            ends = np.cumsum(lengths)
+            values = binary_values(batch.column("ids"), dtype)
+            row = 0
+            while row < len(lengths):
+                before = int(ends[row - 1]) if row else 0
+                # up to the first document that fills the block
+                stop = min(int(np.searchsorted(ends, before + BLOCK_IDS - size)) + 1, len(lengths))
+                held.append((batch.column("id").slice(row, stop - row), lengths[row:stop], values[before : ends[stop - 1]]))
+                size += int(ends[stop - 1]) - before
+                row = stop
+                if size >= BLOCK_IDS:
+                    yield close()
+            held = [(pa.concat_arrays([a]), n.copy(), v.copy()) for a, n, v in held]  # the batch's memory goes
         if held:
-            yield block(held)
+            yield close()
 
-    ids.mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_order = ids.where("ids IS NOT NULL").select("id", "hash", "n", "ids").repartitionByRange(F.col("id").asc_nulls_first(), F.col("hash"), F.monotonically_increasing_id()).sortWithinPartitions("id", "hash")
+    in_order.select("id", "n", "ids").mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # one row a partition
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
+    bases = list(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist()))
+    spark.createDataFrame(bases, "part int, base long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -246,55 +274,45 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     book = spark.read.parquet(f"{path}/codebook").toPandas()
     bits = np.zeros(int(book["id"].max() + 1) if len(book) else 1, np.uint8)
     bits[book["id"].to_numpy(np.int64)] = book["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
+    base = dict(map(tuple, spark.read.parquet(f"{path}/parts").collect()))
+    shared = spark.sparkContext.broadcast((bits, base))
     blocks = spark.read.parquet(f"{path}/blocks")
     id_type = blocks.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def decode(batches):
-        decoder = Decoder(shared.value)
-        for rows in _blocks(batches):
-            yield _documents(decoder, rows, arrow)
+        bits, base = shared.value
+        decoder = Decoder(bits)
+        for batch in batches:
+            lengths = batch.column("n").to_numpy()
+            group = (np.cumsum(lengths) - lengths) // DECODE_IDS
+            for a, b in zip(*(lambda x: (x, [*x[1:], len(group)]))(np.flatnonzero(np.diff(group, prepend=-1)).tolist())):
+                yield _documents(decoder, batch.slice(a, b - a), base, arrow)
 
     return blocks.mapInArrow(decode, schema)
 
 
-def _blocks(batches) -> Iterator[list[dict]]:
-    """Blocks that are decoded together."""
-    held, size = [], 0
-    for batch in batches:
-        for i in range(batch.num_rows):
-            held += batch.slice(i, 1).to_pylist()
-            size += sum(held[-1]["doc_lengths"])
-            if size >= DECODE_IDS:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _documents(decoder: Decoder, rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+def _documents(decoder: Decoder, blocks: pa.RecordBatch, base: dict[int, int], arrow: pa.Schema) -> pa.RecordBatch:
+    """The documents of some blocks that are decoded together."""
     offsets, counts, payload, before = [], [], [], 0
-    for row in rows:
-        n = sum(row["doc_lengths"])
-        own = np.frombuffer(row["checkpoints"], "<u4").astype(np.int64)
+    for n, raw, codes in zip(blocks.column("n").to_pylist(), blocks.column("checkpoints"), blocks.column("payload")):
+        own = np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
         offsets.append(own + 8 * before)
         lane = np.full(len(own), CHECKPOINT_IDS, np.int64)
         if len(lane):
             lane[-1] = n - CHECKPOINT_IDS * (len(lane) - 1)
         counts.append(lane)
-        payload.append(row["payload"])
-        before += len(row["payload"])
+        payload.append(codes.as_buffer())
+        before += len(codes.as_buffer())
     ids = decoder.decode(b"".join(payload), np.concatenate(offsets), np.concatenate(counts)).astype(tokens.IDS)
-    lengths = np.array([n for row in rows for n in row["doc_lengths"]], np.int64)
+    lengths = blocks.column("doc_lengths").flatten().to_numpy()
+    per_block = np.diff(np.asarray(blocks.column("doc_lengths").offsets))
+    # a block's documents start where it does, in its part
+    first = np.repeat([base[p] + s for p, s in zip(blocks.column("part").to_pylist(), blocks.column("start").to_pylist())], per_block)
     ends = np.cumsum(lengths)
-    starts = np.concatenate([row["start"] + np.cumsum([0, *row["doc_lengths"][:-1]]) for row in rows])
-    data = ids.tobytes()
-    return pa.RecordBatch.from_arrays([
-        pa.array([i for row in rows for i in row["doc_ids"]], arrow.field("doc_id").type), pa.array(starts.astype(np.int64)), pa.array(lengths),
-        pa.array([data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())], pa.binary()),
-    ], schema=arrow)
+    opening = np.repeat((ends - lengths)[np.cumsum(per_block) - per_block], per_block)
+    return pa.RecordBatch.from_arrays([blocks.column("doc_ids").flatten(), pa.array(first + ends - lengths - opening), pa.array(lengths), binary(ids, lengths)], schema=arrow)
 
 
 def crc32_of(ids: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: Characters that are encoded together; a longer text is cut into such parts at sure borders.
 BATCH_CHARS = 3_000_000
 IDS = np.dtype("<u4")
+#: Units, and ids of them, that an encoder remembers; longer units are encoded each time.
+MAX_KNOWN_UNITS = 200_000
+MAX_KNOWN_IDS = 2_000_000
+LONGEST_KNOWN_UNIT = 64
 
 #: Fixed value: the split pattern of byte-level BPE tokenizers of this kind.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,6 +105,7 @@ class ByteLevelEncoder:
         self.width = np.zeros(vocabulary_size(vocabulary), np.int64)
         for word, i in ranks.items():
             self.width[i] = len(word)
+        self._forget()
 
     def encode_unit(self, unit: str) -> np.ndarray:
         """ids of one string by ``tokenizers``."""
@@ -113,8 +119,32 @@ class ByteLevelEncoder:
             plain = [p and not any(s in u for s in self.specials) for p, u in zip(plain, units)]
         return plain
 
-    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of distinct units, one after another, and how many each has."""
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of many units, and where those of each of these distinct units start and how many they are.
+
+        Units are kept from call to call while there are at most MAX_KNOWN_UNITS with MAX_KNOWN_IDS ids; when
+        no more fit and less than a third of the units are known, all are forgotten."""
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        at = np.flatnonzero(place < 0)
+        values, counts = self.values, self.counts
+        if len(at):
+            new = [units[i] for i in at]
+            own, sizes = self._encode_new(new)
+            place[at] = np.arange(len(counts), len(counts) + len(new))
+            values, counts = np.concatenate([values, own]), np.concatenate([counts, sizes])
+            if len(counts) <= MAX_KNOWN_UNITS and len(values) <= MAX_KNOWN_IDS:
+                self.known.update((u, i) for u, i in zip(new, place[at].tolist()) if len(u) <= LONGEST_KNOWN_UNIT)
+                self.values, self.counts = values, counts
+            elif 3 * (len(units) - len(new)) < len(units):
+                self._forget()
+        return values, (np.cumsum(counts) - counts)[place], counts[place]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.counts = np.empty(0, IDS), np.empty(0, np.int64)
+
+    def _encode_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of units, one after another, and how many each has."""
         plain = self.plain(units)
         counts = np.zeros(len(units), np.int64)
         at = np.flatnonzero(plain)
@@ -158,15 +188,14 @@ class ByteLevelEncoder:
 
     def _encode_some(self, texts: pa.Array) -> list[np.ndarray]:
         owner, units, numbers = self.units(texts)
-        values, counts = self._encode_units(units)
-        starts = np.cumsum(counts) - counts
+        values, starts, counts = self._encode_units(units)
         n = counts[numbers]
         ids = values[ragged(starts[numbers], n)]
         return np.split(ids, np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))[:-1])
 
     def unit_counts(self, units: list[str]) -> np.ndarray:
         """The number of ids of each of distinct units."""
-        return self._encode_units(units)[1]
+        return self._encode_new(units)[1]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Unsigned 32-bit ids of each whole text; null is empty."""

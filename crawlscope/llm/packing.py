@@ -3,12 +3,15 @@
 ``cut`` tokenizes every whole document once, appends the end id and cuts
 documents longer than ``capacity`` into pieces of ``capacity`` ids, the
 remainder first. ``plan`` packs the histogram of piece lengths (at most
-``capacity`` numbers, whatever the size of the corpus): for the longest length
-left it looks for a single length, a pair or a triple that is exactly the gap,
-uses that combination as often as the counts allow, and repeats; what finds no
-exact complement is packed best-fit, longest first. A step of the plan covers
-ranks ``[lo, hi)`` of one length, so a piece needs only its rank among the
-pieces of its length to know its sequence and offset.
+``capacity`` numbers, whatever the size of the corpus): single lengths, pairs
+and triples are indexed by their sums (``SumIndex``), and longest first the gap
+beside a piece is filled by a combination that is exactly as long, as often as
+the counts allow; what finds no exact complement is packed best-fit, longest
+first. Greedy exact fills can use up pieces that later gaps need, so several
+plans are made (``plans``, plain best fit among them) and the one with the fewest
+sequences is kept. A step of the plan covers ranks ``[lo, hi)`` of one length,
+so a piece needs only its rank among the pieces of its length to know its
+sequence and offset.
 
 Scale: ranks are counted within each task and shifted by the counts of the
 tasks before (one row for each task and length), so no length, however common,
@@ -25,6 +28,7 @@ the input are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,9 @@ from . import tokens
 from .shared import picked, shared_path
 
 CAPACITY = 1024
-MAX_SHIFT_ROWS = 1_000_000
+#: pieces below these parts of a sequence are held back from pairs and triples in some plans
+HELD_BACK = (64, 16, 8)
+MAX_SHIFT_ROWS = 250_000
 
 
 def cut(docs: DataFrame, vocabulary, end_id: int, capacity: int, dtype: str) -> DataFrame:
@@ -67,6 +73,53 @@ def cut(docs: DataFrame, vocabulary, end_id: int, capacity: int, dtype: str) ->
     return docs.mapInArrow(pieces, schema)
 
 
+class SumIndex:
+    """The combinations of one, two and three lengths by their sum, under the counts that are left.
+
+    For a sum the larger parts of its pairs are listed once, when it is first asked for, in the order of
+    preference. Counts only fall, so a pair whose parts are used up is passed by for good; a triple is a
+    first part, the largest ones first, and a pair of the rest."""
+
+    def __init__(self, left: np.ndarray, least: int, equal: bool):
+        self.left, self.least, self.equal = left, least, equal
+        self.pairs: dict[int, np.ndarray] = {}
+        self.first: dict[int, int] = {}
+        self.heads: dict[int, int] = {}
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if self.left[total] > 0 else None
+
+    def _live(self, a: int, b: int) -> bool:
+        return self.left[a] > (a == b) and self.left[b] > 0
+
+    def pair(self, total: int, held: int = 0) -> list[int] | None:
+        """The first pair of this sum; one piece of length held is spoken for."""
+        if total not in self.pairs:
+            big = np.arange((total + 1) // 2, total - self.least + 1)
+            big = big[(self.left[big] > 0) & (self.left[total - big] > 0)] if len(big) else big
+            self.pairs[total], self.first[total] = big if self.equal else big[::-1], 0
+        found = self.pairs[total]
+        while self.first[total] < len(found) and not self._live(int(found[self.first[total]]), total - int(found[self.first[total]])):
+            self.first[total] += 1
+        for a in found[self.first[total] :].tolist():
+            b = total - a
+            if held not in (a, b) and self._live(a, b) or held in (a, b) and self.left[a] > (a == b) + (held == a) and self.left[b] > (held == b):
+                return [a, b]
+        return None
+
+    def triple(self, total: int) -> list[int] | None:
+        head = self.heads.get(total, total - 2 * self.least)
+        while 3 * head >= total:
+            if self.left[head] > 0:
+                two = self.pair(total - head, head)
+                if two:
+                    self.heads[total] = head
+                    return [head, *two]
+            head -= 1
+        self.heads[total] = -1
+        return None
+
+
 class _Plan:
     """Sequences as steps (length, lo, hi, first sequence, offset) over the ranks of each length."""
 
@@ -90,31 +143,19 @@ class _Plan:
             offset += length
         self.sequences += n
 
-    def pair(self, total: int) -> list[int] | None:
-        """Two lengths left that are total together, the most unequal ones."""
-        big = np.arange(total - 1, (total + 1) // 2 - 1, -1)
-        good = (self.left[big] > 0) & (self.left[total - big] > 0)
-        if total % 2 == 0 and len(big):
-            good[-1] &= self.left[total // 2] > 1
-        at = np.flatnonzero(good)
-        return [int(big[at[0]]), int(total - big[at[0]])] if len(at) else None
-
-    def triple(self, total: int) -> list[int] | None:
-        for a in np.flatnonzero(self.left[:total])[::-1].tolist():
-            if 3 * a < total:
-                return None
-            self.left[a] -= 1
-            two = self.pair(total - a) if total - a > 1 else None
-            self.left[a] += 1
-            if two:
-                return [a, *two]
-        return None
-
-    def complement(self, length: int, gap: int) -> list[int] | None:
-        self.left[length] -= 1
-        found = [gap] if self.left[gap] else self.pair(gap) or self.triple(gap)
-        self.left[length] += 1
-        return found
+    def exact(self, parts: int, least: int, equal: bool) -> None:
+        """Longest first, fill the gap beside a piece exactly with this many pieces of at least least ids, as often as the counts allow."""
+        index, capacity = SumIndex(self.left, least, equal), len(self.left) - 1
+        find = (index.single, index.pair, index.triple)[parts - 1]
+        for length in range(capacity - parts * least, 0, -1):
+            while self.left[length] > 0:
+                self.left[length] -= 1
+                others = find(capacity - length)
+                self.left[length] += 1
+                if others is None:
+                    break
+                lengths = [length, *others]
+                self.fill(lengths, min(int(self.left[x]) // lengths.count(x) for x in lengths))
 
     def best_fit(self, length: int) -> None:
         """All pieces of this length: into the smallest gaps that take them, else into new sequences."""
@@ -142,25 +183,37 @@ class _Plan:
             self.put(length, n, first, filled)
 
 
+def plans(counts: np.ndarray) -> Iterator[_Plan]:
+    """Ways to pack counts: exact fills by up to 3, 2, 1 and 0 other pieces, the rest best-fit, longest first.
+
+    Small pieces that go into pairs and triples are missed by later gaps, so each number of pieces is planned
+    with small ones held back for best fit too, and with the most unequal or the most equal pairs first."""
+    capacity = len(counts) - 1
+    for parts in (3, 2, 1, 0):
+        choices = [(1, False)] if parts < 2 else [(least, equal) for least in dict.fromkeys((1, *(max(1, capacity // k) for k in HELD_BACK))) for equal in (False, True)]
+        for least, equal in choices:
+            p = _Plan(counts)
+            if p.left[capacity]:
+                p.fill([capacity], int(p.left[capacity]))
+            for n in range(1, parts + 1):
+                p.exact(n, least if n > 1 else 1, equal)
+            for length in np.flatnonzero(p.left)[::-1].tolist():
+                p.best_fit(length)
+            yield p
+
+
 def plan(counts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Steps that pack counts[length] pieces of each length into sequences of at most len(counts) - 1 ids."""
-    p, capacity = _Plan(counts), len(counts) - 1
-    rest = []
-    for length in range(capacity, 0, -1):
-        if length == capacity and p.left[length]:
-            p.fill([length], int(p.left[length]))
-        while p.left[length]:
-            others = p.complement(length, capacity - length)
-            if others is None:
-                rest.append((length, int(p.left[length])))
-                p.left[length] = 0
-                break
-            lengths = [length, *others]
-            p.fill(lengths, min(int(p.left[x]) // lengths.count(x) for x in lengths))
-    for length, n in rest:
-        p.left[length] = n
-        p.best_fit(length)
-    return p.steps
+    """Steps that pack counts[length] pieces of each length into sequences of at most len(counts) - 1 ids: the plan
+    with the fewest sequences, of equal ones the first."""
+    capacity = len(counts) - 1
+    least = -(-int((counts * np.arange(len(counts))).sum()) // max(capacity, 1))
+    best = None
+    for p in plans(counts):
+        if best is None or p.sequences < best.sequences:
+            best = p
+        if best.sequences == least:
+            break
+    return best.steps
 
 
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

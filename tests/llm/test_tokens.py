@@ -114,8 +114,55 @@ def test_plan_packs_every_piece_once(counts):
             assert offset == at
             at += length
         assert at <= 32
-    total = int((counts * np.arange(33)).sum())
-    assert len(sequences) <= max(-(-total // 32) * 2, 1)
+    assert len(sequences) <= best_fit_decreasing(counts, 32)
+
+
+def best_fit_decreasing(counts, capacity):
+    """Sequences of plain best fit, piece by piece."""
+    gaps = []
+    for length in range(capacity, 0, -1):
+        for _ in range(counts[length]):
+            fits = [g for g in gaps if g >= length]
+            gap = min(fits) if fits else capacity
+            if fits:
+                gaps.remove(gap)
+            gaps.append(gap - length)
+    return len(gaps)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=257, max_size=257), st.integers(0, 10**6))
+def test_all_plans_pack_every_piece(counts, seed):
+    rng = np.random.default_rng(seed)
+    counts = np.array([0, *counts[1:]]) * (rng.random(257) < rng.choice([0.05, 0.3, 0.9]))
+    least = min(p.sequences for p in packing.plans(counts))
+    assert least <= best_fit_decreasing(counts, 256)
+    for p in packing.plans(counts):
+        assert not p.left.any() and (p.used == counts).all()
+        sequences = laid_out(p.steps)
+        assert len(sequences) == p.sequences and max((sum(n for _, n in s) for s in sequences.values()), default=0) <= 256
+
+
+def test_sums_of_the_index():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        left = rng.integers(0, 3, 25)
+        index = packing.SumIndex(left, 1, bool(rng.integers(2)))
+        total = int(rng.integers(3, 24))
+        for find, parts in ((index.single, 1), (index.pair, 2), (index.triple, 3)):
+            every = [c for c in itertools.combinations_with_replacement(range(1, 25), parts) if sum(c) == total and all(left[x] >= c.count(x) for x in c)]
+            found = find(total)
+            assert (found is None) == (not every) and (found is None or tuple(sorted(found)) in every)
+
+
+def test_documents_need_few_sequences(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    counts = np.zeros(1025, np.int64)
+    for ids in ENCODER.encode(texts):
+        counts[(len(ids) + 1) % 1024 or 1024] += 1
+        counts[1024] += len(ids) // 1024
+    steps = packing.plan(counts)
+    assert max(first + hi - lo for _, lo, hi, first, _ in steps) <= best_fit_decreasing(counts, 1024) == 193
 
 
 @pytest.mark.parametrize("lengths", [[7, 3], [6, 2, 2], [5, 2, 2, 1]])

@@ -3,8 +3,9 @@
 Parsing explodes each file into numbered lines; the agent block a line
 belongs to is the last ``User-agent`` line before it (a running ``last``
 over the lines of one file). The permission test joins each URL with its
-site's rules, held as one ranked array (broadcast behind a size check), and
-takes the first that matches: no row per rule, no aggregation.
+site's rules, held as one hash table by literal prefix (broadcast behind a size
+check), and looks the path's prefixes up in it: no row per rule, no
+aggregation, no match per rule.
 """
 
 from __future__ import annotations
@@ -80,19 +81,50 @@ def robots_path(url: Column) -> Column:
     return F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path)
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """The text of a pattern before its first wildcard."""
+    return F.regexp_extract(F.regexp_replace(pattern, r"\$$", ""), r"^([^*]*)", 1)
+
+
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """One row a site: its rules as an array, longest pattern first and Allow
-    before Disallow, broadcast when there are provably few sites."""
-    ranked = F.sort_array(F.collect_list(F.struct("length", "allow", "regex")), asc=False)
-    return broadcast_if_small(rules.groupBy("site").agg(ranked.alias("_rules")))
+    """One row a site, broadcast when these are provably few and small: its
+    rules in a hash table by literal prefix, and the lengths such prefixes have.
+
+    ``_table`` is an array with a place for each rule; a rule is in the place
+    its prefix hashes to. A rule without wildcard has no regex: a path with its
+    prefix matches. Path patterns of one robots file are one row, as the file is."""
+    wild = F.col("pattern").contains("*") | F.col("pattern").endswith("$")
+    rules = rules.select("site", literal_prefix(F.col("pattern")).alias("prefix"), "length", "allow", F.when(wild, F.col("regex")).alias("regex"))
+    sites = rules.groupBy("site").agg(F.count(F.lit(1)).alias("_places"), F.sort_array(F.collect_set(F.char_length("prefix"))).alias("_lengths"))
+    kept = rules.join(sites.select("site", "_places"), "site").select(
+        "site", _place(F.col("prefix"), F.col("_places")).alias("_at"), F.struct("prefix", "length", "allow", "regex").alias("rule"))
+    every = sites.select("site", F.explode(F.sequence(F.lit(0), (F.col("_places") - 1).cast("int"))).alias("_at"), F.lit(None).cast(kept.schema["rule"].dataType).alias("rule"))
+    places = kept.unionByName(every).groupBy("site", "_at").agg(F.collect_list("rule").alias("_rules"))
+    tables = places.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("_at", "_rules"))).alias("_t"))
+    return broadcast_if_small(tables.select("site", F.col("_t._rules").alias("_table")).join(sites.select("site", "_lengths"), "site"))
+
+
+def _place(prefix: Column, places: Column) -> Column:
+    return F.pmod(F.xxhash64(prefix), places).cast("int")
 
 
 def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: bool = False) -> DataFrame:
     """``allowed`` per row of urls (site, url). The longest matching
-    pattern wins, Allow wins ties, no match means allowed: the first rule of
-    the site's array that matches decides, so a row stays one row. ``prepared``
-    = rules already passed through ``prepare_rules``."""
+    pattern wins, Allow wins ties, no match means allowed. The path's prefixes
+    of the lengths that the site's rules have are looked up in its table, so a
+    URL meets the rules that begin like it and no others, and a regex runs for
+    those of them with a wildcard; a row stays one row. ``prepared`` = rules
+    already passed through ``prepare_rules``."""
     r = rules if prepared else prepare_rules(rules)
     probe = urls.withColumn("_path", robots_path(F.col(url_col))).join(r, "site", "left")
-    first = F.expr("get(filter(_rules, r -> _path rlike r.regex), 0).allow")
-    return probe.withColumn("allowed", F.coalesce(first, F.lit(True))).drop("_path", "_rules")
+    path, table = F.col("_path"), F.col("_table")
+
+    def at(length: Column) -> Column:
+        return H.bind(F.substring(path, F.lit(1), length), lambda prefix: F.filter(
+            F.get(table, _place(prefix, F.size(table))),
+            lambda rule: (rule["prefix"] == prefix) & (rule["regex"].isNull() | F.rlike(path, rule["regex"]))))
+
+    lengths = F.filter(F.col("_lengths"), lambda n: n <= F.char_length(path))
+    hits = F.flatten(F.transform(lengths, at))
+    best = F.array_max(F.transform(hits, lambda rule: F.struct(rule["length"].alias("length"), rule["allow"].alias("allow"))))["allow"]
+    return probe.withColumn("allowed", F.coalesce(best, F.lit(True))).drop("_path", "_table", "_lengths")

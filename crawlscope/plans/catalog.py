@@ -603,6 +603,29 @@ def j2_robots_allowed(spark, d):
     return R.allowed(urls.distinct(), rules).select("site", "url", "allowed")
 
 
+def many_rules(spark, d) -> DataFrame:
+    """Rules for one site with a robots file of three lines a page: its directory, a wildcard and an anchored pattern."""
+    i = F.col("page_id").cast("string")
+    lines = F.array(
+        F.struct(F.concat(F.lit("/d"), i, F.lit("/")).alias("pattern"), F.lit(False).alias("allow")),
+        F.struct(F.concat(F.lit("/d"), i, F.lit("/*/open")).alias("pattern"), F.lit(True).alias("allow")),
+        F.struct(F.concat(F.lit("/d"), i, F.lit("/x$")).alias("pattern"), F.lit(True).alias("allow")))
+    rules = _pages(spark, d).select(F.lit(FX.SITE).alias("site"), F.explode(lines).alias("r")).select("site", "r.*")
+    return rules.select("site", "pattern", "allow", R.pattern_regex(F.col("pattern")).alias("regex"), F.char_length("pattern").cast("int").alias("length"))
+
+
+@query("j2_many_rules", f"""
+SELECT {lit(FX.SITE)} AS site, 'https://{FX.SITE}' || path AS url, page_id % 5 NOT IN (0, 2) AS allowed FROM (
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/d' || page_id || '/' WHEN 1 THEN '/d' || page_id || '/a/open?q=1'
+    WHEN 2 THEN '/d' || page_id || '/xy' WHEN 3 THEN '/d' || page_id || '/x' ELSE '/d' || page_id END AS path FROM pages)""")
+def j2_many_rules(spark, d):
+    """J2 for one site with three rules a page: a URL meets the rules that begin like it only."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    tail = F.when(k == 0, "/").when(k == 1, "/a/open?q=1").when(k == 2, "/xy").when(k == 3, "/x").otherwise("")
+    urls = _pages(spark, d).select(F.lit(FX.SITE).alias("site"), F.concat(F.lit(f"https://{FX.SITE}/d"), i, tail).alias("url"))
+    return R.allowed(urls, many_rules(spark, d)).select("site", "url", "allowed")
+
+
 # ---------------------------------------------------------------------------
 # G1: breadth-first crawl over the stored fetch log and links
 # ---------------------------------------------------------------------------

@@ -68,3 +68,22 @@ def test_agent_grouping_default_and_rfc(spark):
     rfc = {r.pattern for r in R.robots_rules(robots, rfc_groups=True).collect()}
     assert default == set()      # the last agent line before the rule (Bing) decides
     assert rfc == {"/x"}         # the group "*, Bing" applies to everyone
+
+
+def test_permission_equals_every_rule_tried(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["/", "a", "b", "*", "$", ".", "/a", "?x", "é", ""]
+    rows = [("s" + str(k % 3), "".join(rng.choice(parts) for _ in range(rng.randint(1, 5))), rng.random() < 0.4) for k in range(150)]
+    rows = [(s, "/" + p, a) for s, p, a in rows]
+    urls = [("s" + str(k % 4), f"https://h.example/{''.join(rng.choice('ab/.?x') for _ in range(rng.randint(0, 6)))}") for k in range(200)]
+    rules = spark.createDataFrame(rows, "site string, pattern string, allow boolean").select(
+        "site", "pattern", "allow", R.pattern_regex(F.col("pattern")).alias("regex"), F.char_length("pattern").alias("length"))
+    frame = spark.createDataFrame(urls, "site string, url string")
+    regex = {r.pattern: r.regex for r in rules.collect()}
+    path = {r.url: r.p for r in frame.select("url", R.robots_path(F.col("url")).alias("p")).collect()}
+    for row in R.allowed(frame, rules).collect():
+        hits = [(len(p), a) for s, p, a in rows if s == row.site and re.match(regex[p], path[row.url])]
+        assert row.allowed == (max(hits)[1] if hits else True), row

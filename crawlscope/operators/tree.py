@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import urls as U
-from ..session import checkpoint_by_key, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 from .ordering import sequence_within_groups
 
-VISITED_COMPACT_EVERY = 8
-
 
 def redirect_to_known(results: DataFrame) -> DataFrame:
     """``dup_redirect`` = internal redirect whose target (fragment dropped)
@@ -49,50 +47,85 @@ def choose_roots(results: DataFrame, sites: DataFrame) -> DataFrame:
     return r.groupBy("site").agg(F.min_by("url", F.struct(rank, F.col("url"))).alias("root_url"))
 
 
+def _rounds(state: DataFrame, step, still_open: Column) -> Iterator[tuple[DataFrame, int]]:
+    """state, step(state), step(step(state)), ... as checkpoints, each with its number of open rows."""
+    while True:
+        state = state.checkpoint(eager=True)
+        yield state, state.where(still_open).count()
+        state = step(state)
+
+
 def page_tree(results: DataFrame, sites: DataFrame) -> DataFrame:
-    """Nodes reachable from the root over parent links, breadth first with
-    a visited set: (site, url, parent_url, level, path ARRAY<STRING>). The
-    parent edges are hash-partitioned on (site, parent) once; each level is
-    one join of the frontier with them, checkpointed; ends when a level adds
-    nothing."""
+    """Nodes that reach the root over parent links: (site, url, parent_url, level).
+
+    Pointer doubling: every node points to its parent, and in each round to
+    where that points, so a tree of depth d takes log2(d) rounds, however long
+    its chains are. A node that has reached the root leaves the rounds (else
+    the root would be the key of all rows); a node above no root (an orphan or
+    a cycle) is dropped. Of a repeated URL the row of the least (depth, parent)
+    counts."""
     ensure_checkpoint_dir(results.sparkSession)
-    roots = choose_roots(results, sites)
-    edges = results.where(F.coalesce(F.col("parent_url"), F.lit("")) != "").select(
-        "site", F.col("parent_url").alias("_p"), F.col("url"))
-    # partitioned once on the join key and kept: each level shuffles only its frontier
-    edges = checkpoint_by_key(edges, ["site", "_p"])
-    frontier = roots.select("site", F.col("root_url").alias("url"), F.lit("").alias("parent_url"),
-                            F.lit(0).alias("level"), F.array(F.col("root_url")).alias("path")).checkpoint(eager=True)
-    levels = [frontier]
-    visited_parts = [frontier.select("site", "url")]
-
-    def visited() -> DataFrame:
-        out = visited_parts[0]
-        for part in visited_parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    for level in itertools.count(1):
-        nxt = frontier.select("site", F.col("url").alias("_p"), "path").join(edges, ["site", "_p"]).select(
-            "site", "url", F.col("_p").alias("parent_url"), F.lit(level).alias("level"),
-            F.concat("path", F.array(F.col("url"))).alias("path"))
-        nxt = nxt.join(visited(), ["site", "url"], "left_anti")
-        nxt = nxt.groupBy("site", "url").agg(F.min_by(F.struct("parent_url", "level", "path"),
-                                                      F.col("parent_url")).alias("n")).select(
-            "site", "url", "n.parent_url", "n.level", "n.path").checkpoint(eager=True)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        # the visited set is the union of the checkpointed levels, compacted
-        # into one checkpoint now and then so the anti join's plan stays small
-        visited_parts.append(nxt.select("site", "url"))
-        if len(visited_parts) >= VISITED_COMPACT_EVERY:
-            visited_parts[:] = [visited().checkpoint(eager=True)]
-        frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    own = results.groupBy("site", "url").agg(F.min_by(F.coalesce("parent_url", F.lit("")), F.struct("depth", F.coalesce("parent_url", F.lit("")))).alias("parent_url"))
+    rooted = own.join(choose_roots(results, sites), "site")
+    is_root = F.col("url") == F.col("root_url")
+    start = rooted.select(
+        "site", "url", F.when(is_root, "").otherwise(F.col("parent_url")).alias("parent_url"),
+        F.when(is_root, F.col("url")).otherwise(F.col("parent_url")).alias("ptr"), F.when(is_root, 0).otherwise(1).alias("level"),
+        (is_root | (F.col("parent_url") == F.col("root_url"))).alias("at_root")).where("ptr <> ''")
+
+    def step(state: DataFrame) -> DataFrame:
+        there = state.select("site", F.col("url").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("level").alias("_level"), F.col("at_root").alias("_at_root"))
+        moved = state.where(~F.col("at_root")).join(there, ["site", "ptr"]).select(
+            "site", "url", "parent_url", F.col("_ptr").alias("ptr"), (F.col("level") + F.col("_level")).alias("level"), F.col("_at_root").alias("at_root"))
+        return state.where("at_root").unionByName(moved)
+
+    before = -1
+    for state, arrived in _rounds(start, step, F.col("at_root")):
+        # depths have no gaps: a round in which nothing arrived is the last one
+        if arrived == before:
+            return state.where("at_root").select("site", "url", "parent_url", "level")
+        before = arrived
+
+
+def _pointers(tree: DataFrame) -> DataFrame:
+    return tree.select("site", "url", F.col("parent_url").alias("ptr")).where("ptr <> ''")
+
+
+def with_ancestors(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes (site, url) and all nodes above them in the tree, each once.
+
+    Pointers of 1, 2, 4, ... steps: with each the set grows by where its
+    members point. A distance is a sum of different powers of two, so every
+    ancestor is met within log2(depth) rounds."""
+    ensure_checkpoint_dir(tree.sparkSession)
+
+    def step(pointers: DataFrame) -> DataFrame:
+        there = pointers.select("site", F.col("url").alias("ptr"), F.col("ptr").alias("_ptr"))
+        return pointers.join(there, ["site", "ptr"]).select("site", "url", F.col("_ptr").alias("ptr"))
+
+    reached = nodes.select("site", "url").distinct()
+    for pointers, left in _rounds(_pointers(tree), step, F.lit(True)):
+        if not left:
+            return reached
+        above = reached.join(pointers, ["site", "url"]).select("site", F.col("ptr").alias("url"))
+        reached = reached.unionByName(above).distinct().checkpoint(eager=True)
+
+
+def with_paths(tree: DataFrame) -> DataFrame:
+    """The tree with ``path``, the URLs from the root to each node, doubled in
+    length each round. The paths of a chain are as large as its square: ask for
+    them only where they are needed."""
+    ensure_checkpoint_dir(tree.sparkSession)
+
+    def step(state: DataFrame) -> DataFrame:
+        there = state.select("site", F.col("url").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("path").alias("_path"))
+        moved = state.where("ptr <> ''").join(there, ["site", "ptr"]).select("site", "url", "parent_url", "level", F.col("_ptr").alias("ptr"), F.concat("_path", "path").alias("path"))
+        return state.where("ptr = ''").unionByName(moved)
+
+    start = tree.select("site", "url", "parent_url", "level", F.col("parent_url").alias("ptr"), F.array("url").alias("path"))
+    for state, left in _rounds(start, step, F.col("ptr") != ""):
+        if not left:
+            return state.drop("ptr")
 
 
 def sibling_order(tree: DataFrame) -> DataFrame:
@@ -113,9 +146,8 @@ def visible_with_ancestors(tree: DataFrame, results: DataFrame, text: str) -> Da
     flagged = redirect_to_known(results).select("site", "url", "status", "http_status_code", "dup_redirect")
     t = tree.join(flagged, ["site", "url"])
     matches = t.where(~F.col("dup_redirect") & tree_match(results, text))
-    ancestors = matches.select("site", F.explode("path").alias("url"))
-    roots = tree.where(F.col("level") == 0).join(matches.select("site").distinct(), "site").select("site", "url")
-    return ancestors.unionByName(roots).distinct()
+    # a match has the root above it, so the root comes with it
+    return with_ancestors(tree, matches)
 
 
 def result_search(results: DataFrame, text: str = "", only_errors: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from ..sinks import reports as RP
 from ..sources import fixtures as FX
 from . import oracle as O
 from .catalog import (
-    SQL_F2, SQL_F3, SQL_PAGES_AS_FETCHES, _pages, fixture_pages, fixture_sites, links_sql, lit, query, real_links,
+    N, SQL_F2, SQL_F3, SQL_PAGES_AS_FETCHES, _pages, fixture_pages, fixture_sites, links_sql, lit, query, real_links,
     with_,
 )
 
@@ -270,11 +270,47 @@ def fixture_tree(spark, d) -> DataFrame:
        "SELECT url, parent_url, CAST(level AS INTEGER) AS level, array_to_string(path, ' > ') AS path FROM tree")
 def g2_page_tree(spark, d):
     """Page tree from the root over parent links (level and path)."""
-    t = fixture_tree(spark, d)
+    t = T.with_paths(fixture_tree(spark, d))
     return t.select("url", "parent_url", F.col("level").cast("int").alias("level"),
                     F.array_join("path", " > ").alias("path"))
 
 
+def chain_results(spark, d) -> DataFrame:
+    """Every page as one chain below page 0, page 0 with an error deep down; every 7th page hangs on a cycle instead."""
+    i = F.col("page_id")
+    url = lambda k: F.concat(F.lit(f"{FX.BASE}/c/"), k.cast("string"))
+    looped = i % 7 == 6
+    parent = F.when(i == 0, "").when(looped, F.concat(F.lit(f"{FX.BASE}/loop/"), i.cast("string"))).when(i % 7 == 0, url(i - 2)).otherwise(url(i - 1))
+    chain = _pages(spark, d).select(F.lit(FX.SITE).alias("site"), url(i).alias("url"), parent.alias("parent_url"), i.alias("page_id"))
+    # a looped page and its parent are each other's parent
+    loops = chain.where(i % 7 == 6).select("site", F.col("parent_url").alias("url"), F.col("url").alias("parent_url"), "page_id")
+    n = _pages(spark, d).count()
+    code = F.when(i == n - 2 - F.when(F.lit((n - 2) % 7 == 6), 1).otherwise(0), 500).otherwise(200)
+    return chain.unionByName(loops).select("site", "url", "parent_url", F.when(code == 500, "error").otherwise("ok").alias("status"),
+                                           code.alias("http_status_code"), F.lit("").alias("redirect_url"), i.cast("int").alias("depth"))
+
+
+def chain_tree(spark, d) -> DataFrame:
+    sites = spark.createDataFrame([(FX.SITE, f"{FX.BASE}/c/0")], "site string, start_url string")
+    return T.page_tree(chain_results(spark, d), sites)
+
+
+@query("g2_deep_chain", f"""
+SELECT '{FX.BASE}/c/' || page_id AS url, CASE WHEN page_id = 0 THEN '' WHEN page_id % 7 = 0 THEN '{FX.BASE}/c/' || (page_id - 2) ELSE '{FX.BASE}/c/' || (page_id - 1) END AS parent_url,
+  CAST(page_id - page_id // 7 AS INTEGER) AS level FROM pages WHERE page_id % 7 <> 6""")
+def g2_deep_chain(spark, d):
+    """G2 over one chain of all pages (as deep as the table is long), without the pages that hang on cycles."""
+    return chain_tree(spark, d).select("url", "parent_url", F.col("level").cast("int").alias("level"))
+
+
+@query("g3_deep_ancestors", f"""
+SELECT '{FX.BASE}/c/' || page_id AS url FROM pages
+WHERE page_id % 7 <> 6 AND page_id <= {N} - 2 - CASE WHEN ({N} - 2) % 7 = 6 THEN 1 ELSE 0 END""")
+def g3_deep_ancestors(spark, d):
+    """G3 on the chain: the one page that matches near its end, and all pages above it."""
+    return T.visible_with_ancestors(chain_tree(spark, d), chain_results(spark, d), "error").select("url")
+
+
 @query("w11_sibling_order", "WITH RECURSIVE " + with_(SQL_F2, SQL_TREE)[5:] + """
 SELECT url, parent_url, CAST(row_number() OVER (PARTITION BY site, parent_url ORDER BY url) AS BIGINT) AS sibling_pos
 FROM tree""")

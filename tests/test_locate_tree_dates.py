@@ -82,7 +82,7 @@ def test_tree_duplicates_and_ancestors(spark):
     assert dup == {f"{B}/kontakt"}
     sites = spark.createDataFrame([("t.example", f"{B}/")], "site string, start_url string")
     tree = T.page_tree(res, sites)
-    levels = {r.url: (r.level, list(r.path)) for r in tree.collect()}
+    levels = {r.url: (r.level, list(r.path)) for r in T.with_paths(tree).collect()}
     assert levels[f"{B}/a/x"] == (2, [f"{B}/", f"{B}/a", f"{B}/a/x"])
     assert len(levels) == len(TREE)
     vis = {r.url for r in T.visible_with_ancestors(tree, res, "/a/x").collect()}
@@ -118,3 +118,25 @@ def test_stream_dedup_keeps_first(spark):
     out = LV.run_to_table(LV.dedup_discoveries(disc), "append")
     assert out.count() == out.select("host", "url").distinct().count()
     assert out.count() > 0
+
+
+def test_tree_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 700, []
+    plain = T._rounds
+
+    def counted(*args):
+        for state in plain(*args):
+            rounds.append(1)
+            yield state
+
+    monkeypatch.setattr(T, "_rounds", counted)
+    rows = [("s", f"u{k}", "ok", 200, "", f"u{k - 1}" if k else "", k) for k in range(n)]
+    rows += [("s", "x", "ok", 200, "", "y", 1), ("s", "y", "ok", 200, "", "x", 1), ("s", "orphan", "ok", 200, "", "gone", 1), ("s", "below", "ok", 200, "", "orphan", 2)]
+    rows += [("s", "u5", "ok", 200, "", "u698", 700)]  # fetched again, deeper: the first counts
+    tree = T.page_tree(spark.createDataFrame(rows, RES), spark.createDataFrame([("s", "u0")], "site string, start_url string"))
+    assert {r.url: (r.level, r.parent_url) for r in tree.collect()} == {f"u{k}": (k, f"u{k - 1}" if k else "") for k in range(n)}
+    assert len(rounds) <= 12
+    rounds.clear()
+    above = T.with_ancestors(tree, spark.createDataFrame([("s", "u600"), ("s", "u3")], "site string, url string"))
+    assert sorted(r.url for r in above.collect()) == sorted(f"u{k}" for k in range(601))
+    assert len(rounds) <= 12

@@ -10,12 +10,16 @@ that Spark applies map-side before the exchange.
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 # --- fixed values -----------------------------------------------------------
 SKIP_HREF_PREFIXES = ["#", "javascript:", "mailto:", "tel:", "data:"]
@@ -262,45 +266,61 @@ def locate_candidates(target_url: Column, source_url: Column, link_text: Column)
     ]
 
 
-def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:
+def _first_places(html: str, wanted: list[list[str]], context: int) -> list[dict]:
+    """For each list of candidates the first one found in html, in order: its
+    1-based line and column and length, and the lines around it. One scan finds
+    all candidates of all lists (Aho-Corasick), lines are found by bisection."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for candidate in {c for each in wanted for c in each if c}:
+        automaton.add_word(candidate, candidate)
+    at: dict[str, int] = {}
+    if len(automaton):
+        automaton.make_automaton()
+        for end, candidate in automaton.iter(html):
+            at.setdefault(candidate, end + 1 - len(candidate))
+    breaks = [m.start() for m in re.finditer("\n", html)] if at else []
+    out = []
+    for each in wanted:
+        hit = next((c for c in each if c in at), None)
+        if hit is None:
+            out.append({"line": 0, "column": 0, "match_length": 0, "first_line": 0, "lines": []})
+            continue
+        line = bisect.bisect_left(breaks, at[hit])
+        first, last = max(line - context, 0), min(line + context, len(breaks))
+        start = breaks[first - 1] + 1 if first else 0
+        stop = breaks[last] if last < len(breaks) else len(html)
+        out.append({"line": line + 1, "column": at[hit] - (breaks[line - 1] if line else -1), "match_length": len(hit),
+                    "first_line": first + 1, "lines": html[start:stop].split("\n") if context else []})
+    return out
+
+
+def locate_in_source(dead: DataFrame, pages: DataFrame, html_col: str = "html", context: int = 0) -> DataFrame:
     """For (target_url, source_url, link_text) rows find the first
     candidate in the source HTML; 1-based line and column and match length,
     (0, 0, 0) when nothing matches. Rows whose source page is missing keep
-    their fields and get (0, 0, 0). ``keep_html`` adds the source's ``html``,
-    for work in the same stage."""
-    src = pages.select(F.col("url").alias("source_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    # dead links are grouped per source page first (a page's list is bounded
-    # by its own links), so each page's HTML crosses the shuffle once, not
-    # once per dead link; the explode after the join stays in the same stage
-    rest = [c for c in dead.columns if c != "source_url"]
-    grouped = dead.groupBy("source_url").agg(F.collect_list(F.struct(*rest)).alias("_dead"))
-    joined = grouped.join(src, "source_url", "left").select(
-        "source_url", "_html", F.explode("_dead").alias("_d")).select("source_url", "_html", "_d.*")
-    joined = joined.select(*dead.columns, "_html")
-    html = F.coalesce(F.col("_html"), F.lit(""))
-    cands = locate_candidates(F.col("target_url"), F.col("source_url"), F.col("link_text"))
-    # staged: the first matching candidate, then its offset, then line/column
-    # candidates as columns, then the first one present in the page: a CASE
-    # chain stops at the first hit
-    names = [f"_c{i}" for i in range(len(cands))]
-    staged = joined.select("*", *[c.alias(n) for c, n in zip(cands, names)])
-    first_hit = None
-    for n in names:
-        c = F.col(n)
-        cond = (c != "") & (F.instr(html, c) > 0)
-        first_hit = F.when(cond, c) if first_hit is None else first_hit.when(cond, c)
-    step = staged.select("*", first_hit.alias("_hit")).drop(*names)
-    step = step.select("*", F.instr(html, F.col("_hit")).alias("_idx"))
-    step = step.select("*", F.substring(html, 1, F.col("_idx") - 1).alias("_prefix"))
-    prefix = F.col("_prefix")
-    newlines = F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit("")))
-    last_line = F.length(F.regexp_extract(prefix, r"([^\n]*)$", 1))
-    found = F.col("_hit").isNotNull()
-    located = step.select(
-        "*",
-        F.when(found, newlines + 1).otherwise(0).cast("int").alias("line"),
-        F.when(found, last_line + 1).otherwise(0).cast("int").alias("column"),
-        F.when(found, F.char_length("_hit")).otherwise(0).cast("int").alias("match_length"),
-    )
-    out = located.drop("_hit", "_idx", "_prefix")
-    return out.withColumnRenamed("_html", "html") if keep_html else out.drop("_html")
+    their fields and get (0, 0, 0). With ``context`` the rows also have
+    ``lines``, the hit's line with that many lines around it, and ``first_line``,
+    the number of the first of them.
+
+    Dead links are grouped per source page first (a page's list is bounded by
+    its own links), so each page's HTML crosses the shuffle and the Arrow
+    border once and is scanned once, for all candidates of all its links; only
+    places and context lines come back."""
+    ship_package(pages.sparkSession)
+    place = "struct<line:int,column:int,match_length:int,first_line:int,lines:array<string>>"
+
+    @F.arrow_udf(f"array<{place}>")
+    def places(html: pa.Array, wanted: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("column", pa.int32()), ("match_length", pa.int32()), ("first_line", pa.int32()), ("lines", pa.list_(pa.string()))]))
+        return pa.array([_first_places(h.as_py() or "", w.as_py(), context) for h, w in zip(html, wanted)], kind)
+
+    src = pages.select(F.col("url").alias("source_url"), F.col(html_col).alias("_html"))
+    wanted = F.array_compact(F.array(*locate_candidates(F.col("target_url"), F.col("source_url"), F.col("link_text"))))
+    grouped = dead.groupBy("source_url").agg(F.collect_list(F.struct(*dead.columns, wanted.alias("_wanted"))).alias("_dead"))
+    found = grouped.join(src, "source_url", "left").select("_dead", places("_html", "_dead._wanted").alias("_places"))
+    each = found.select(F.explode(F.arrays_zip("_dead", "_places")).alias("_z"))
+    around = ["first_line", "lines"] if context else []
+    return each.select(*[F.col(f"_z._dead.{c}").alias(c) for c in dead.columns],
+                       *[F.col(f"_z._places.{c}").alias(c) for c in ("line", "column", "match_length", *around)])

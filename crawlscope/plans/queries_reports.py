@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as S
+from ..functions import urls as U
 from ..operators import links as L
 from ..operators import ordering as OR
 from ..operators import tree as T
@@ -198,9 +199,20 @@ j11 AS (SELECT source_url, position, target_url, src_html,
         FROM jp)"""
 
 
-def located_links(spark, d, keep_html: bool = False) -> DataFrame:
-    links = real_links(spark, d).select("source_url", "position", "target_url", "link_text")
-    return L.locate_in_source(links, _pages(spark, d), keep_html=keep_html)
+def located_links(spark, d, context: int = 0, dead: bool = False) -> DataFrame:
+    """Places of all links of the stored pages, or of those to pages of their site that aren't stored."""
+    links = real_links(spark, d)
+    if dead:
+        known = _pages(spark, d).select(U.normalize(F.col("url")).alias("target_norm")).distinct()
+        links = links.join(known, "target_norm", "left_anti")
+    links = links.select("source_url", "position", "target_url", "link_text")
+    return L.locate_in_source(links, _pages(spark, d), context=context)
+
+
+SQL_DEAD = f"""
+, stored AS (SELECT DISTINCT {O.normalize('url')} AS target_norm FROM pages),
+lkd AS (SELECT * FROM lk ANTI JOIN stored USING (target_norm))"""
+SQL_J11_DEAD = SQL_DEAD + SQL_J11.replace("FROM lk JOIN", "FROM lkd lk JOIN")
 
 
 @query("j11_source_position", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11 +
@@ -210,7 +222,7 @@ def j11_source_position(spark, d):
     return located_links(spark, d).select("source_url", "position", "target_url", "line", "column", "match_length")
 
 
-@query("snk12_source_snippet", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11 + """
+SNIPPET_SQL = """
 , js AS (SELECT *, string_split(src_html, chr(10)) AS lines FROM j11)
 SELECT source_url, position,
   'Source: ' || source_url || chr(10) || 'Broken link: ' || target_url || chr(10) ||
@@ -220,12 +232,31 @@ SELECT source_url, position,
       lambda i: CASE WHEN i = line THEN '>> ' ELSE '   ' END || lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || lines[i]), chr(10))
     || chr(10)
   ELSE '(link not found in the HTML)' || chr(10) END AS snippet
-FROM js""")
+FROM js"""
+
+
+@query("snk12_source_snippet", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11 + SNIPPET_SQL)
 def snk12_source_snippet(spark, d):
     """SNK12: source snippet (hit line +-3, marker, line numbers) per link."""
-    loc = located_links(spark, d, keep_html=True)
-    return loc.select("source_url", "position", RP.snippet(F.col("html"), F.col("line"), F.col("source_url"),
-                                                          F.col("target_url")).alias("snippet"))
+    return snippets(located_links(spark, d, context=3))
+
+
+def snippets(located: DataFrame) -> DataFrame:
+    text = RP.snippet(F.col("lines"), F.col("first_line"), F.col("line"), F.col("source_url"), F.col("target_url"))
+    return located.select("source_url", "position", text.alias("snippet"))
+
+
+@query("j11_dead_positions", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11_DEAD +
+       ' SELECT source_url, position, target_url, line, "column", match_length FROM j11')
+def j11_dead_positions(spark, d):
+    """J11 for dead links only: the links to pages of the site that aren't stored."""
+    return located_links(spark, d, dead=True).select("source_url", "position", "target_url", "line", "column", "match_length")
+
+
+@query("snk12_dead_snippets", with_(SQL_PAGES_AS_FETCHES, links_sql("pf")) + SQL_J11_DEAD + SNIPPET_SQL)
+def snk12_dead_snippets(spark, d):
+    """SNK12 for dead links only."""
+    return snippets(located_links(spark, d, context=3, dead=True))
 
 
 # ---------------------------------------------------------------------------

@@ -86,20 +86,14 @@ def forms_rows(results: DataFrame) -> DataFrame:
     return results.where(F.col("has_form") & (F.col("http_status_code") == 200)).select("site", "url")
 
 
-def snippet(html: Column, line: Column, source_url: Column, target_url: Column, context: int = 3) -> Column:
-    """SNK12: hit line with ``context`` lines around it, ``>> `` marker and a
-    5-wide line number; a "not found" text when the line is 0."""
-    lines = F.split(F.coalesce(html, F.lit("")), "\n", -1)
-    n = F.size(lines)
-    start = F.greatest(line - context, F.lit(1))
-    stop = F.least(line + context, n)
-    idx = F.sequence(start, F.greatest(stop, start))
-    body = F.array_join(F.transform(idx, lambda i: F.concat(
-        F.when(i == line, F.lit(">> ")).otherwise(F.lit("   ")), F.lpad(i.cast("string"), 5, " "), F.lit(" | "),
-        F.element_at(lines, i))), "\n")
+def snippet(lines: Column, first_line: Column, line: Column, source_url: Column, target_url: Column) -> Column:
+    """SNK12: the lines around a hit (``locate_in_source`` with context), ``>> ``
+    marker and a 5-wide line number; a "not found" text when the line is 0."""
+    body = F.array_join(F.transform(lines, lambda text, i: F.concat(
+        F.when(first_line + i == line, F.lit(">> ")).otherwise(F.lit("   ")), F.lpad((first_line + i).cast("string"), 5, " "), F.lit(" | "),
+        text)), "\n")
     head = F.concat(F.lit("Source: "), source_url, F.lit("\nBroken link: "), target_url, F.lit("\n"))
-    found = (line > 0) & (line <= n)
-    return F.when(found, F.concat(head, F.lit("Line "), line.cast("string"), F.lit(":\n\n"), body, F.lit("\n"))).otherwise(
+    return F.when(line > 0, F.concat(head, F.lit("Line "), line.cast("string"), F.lit(":\n\n"), body, F.lit("\n"))).otherwise(
         F.concat(head, F.lit("(link not found in the HTML)\n")))
 
 

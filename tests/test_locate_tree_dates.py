@@ -63,6 +63,29 @@ def test_locate_matches_python(spark):
     assert got == {t: _py_locate(HTML, t, src, x) for t, x in CASES}
 
 
+def test_locate_equals_python_on_random_pages(spark):
+    import random
+
+    rng = random.Random(11)
+    src = "https://s.example/base/"
+    rows, dead = [], []
+    for k in range(40):
+        html = "".join(rng.choice(["\n", "\r\n", "/a", "/a/b", '"', "'", "c.pdf", ">", "text", "<", "https://s.example", "?x=1", "#f", "ä", "\U0001f600"]) for _ in range(rng.randint(0, 60)))
+        rows.append((f"{src}{k}/", html if k % 9 else None))
+        for t in rng.sample(["/a", "/a/b", "/a/b/c.pdf", "/base/c.pdf", f"/base/{k}/c.pdf", "/a?x=1", "/a#f", "/%C3%A4", "/"], 5):
+            dead.append((f"https://s.example{t}", f"{src}{k}/", rng.choice(["text", " ", "", None, "t"])))
+    dead.append(("https://s.example/a", "https://s.example/not-stored", "text"))
+    pages = spark.createDataFrame(rows, "url string, html string")
+    links = spark.createDataFrame(dead, "target_url string, source_url string, link_text string")
+    html_of = dict(rows)
+    for r in L.locate_in_source(links, pages, context=1).collect():
+        html = html_of.get(r.source_url) or ""
+        assert (r.line, r.column, r.match_length) == _py_locate(html, r.target_url, r.source_url, r.link_text), r
+        lines = html.split("\n")
+        assert r.lines == (lines[max(r.line - 2, 0) : r.line + 1] if r.line else [])
+        assert not r.line or r.first_line == max(r.line - 1, 1)
+
+
 RES = "site string, url string, status string, http_status_code int, redirect_url string, parent_url string, depth int"
 B = "https://t.example"
 TREE = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import urls as U
 from ..operators import links as L
 from ..operators import ordering as OR
 from ..operators import tree as T
+from ..session import ensure_checkpoint_dir
 from ..sinks import reports as RP
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -112,32 +115,67 @@ def snk6_wiki_table(spark, d):
     return RP.wiki_rows(fixture_dead_links(spark, d))
 
 
-@query("snk3_error_report", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD, """
-r2b AS (SELECT *, http_status_code = 0 AND error_message <> '' AS failed,
-               status IN ('redirect', 'redirect_external') AS redirected, http_status_code // 100 AS cls FROM r2),
-r2c AS (SELECT *, NOT failed AND NOT redirected AND status IN ('ok', 'error') AS responded FROM r2b),
-cnt AS (SELECT site,
-  count_if(status IN ('ok', 'redirect', 'redirect_external', 'error', 'timeout')) AS total_crawled,
-  count(*) AS total_discovered,
-  count_if(failed) + count_if(responded AND cls IN (4, 5)) AS total_errors,
-  count_if(responded AND cls = 2) AS total_2xx,
-  count_if(redirected) + count_if(responded AND cls = 3) AS total_3xx,
-  count_if(responded AND cls = 4) AS total_4xx, count_if(responded AND cls = 5) AS total_5xx
-  FROM r2c GROUP BY site)""") + """
-SELECT site, 'summary' AS kind, to_json({'total_crawled': total_crawled, 'total_discovered': total_discovered,
-  'total_errors': total_errors, 'total_2xx': total_2xx, 'total_3xx': total_3xx, 'total_4xx': total_4xx,
-  'total_5xx': total_5xx, 'duration': '0s'})::VARCHAR AS json FROM cnt
+GENERATED_AT = "2026-06-01T12:00:00"
+
+
+def fixture_runs(spark, d) -> DataFrame:
+    """(site, start_url, duration): the run lasts as long as its fetches one after another."""
+    from ..operators import stats as ST
+    began = F.to_timestamp(F.lit("2026-06-01 10:00:00"))
+    took = fixture_pages(spark, d).groupBy("site").agg(F.sum("load_time_ms").cast("bigint").alias("ms"))
+    spans = took.select("site", began.alias("started_at"), F.timestamp_micros(F.unix_micros(began) + F.col("ms") * 1000).alias("ended_at"))
+    return ST.run_duration(spans).join(fixture_sites(spark, d), "site").select("site", "start_url", F.col("duration_display").alias("duration"))
+
+
+SQL_REPORT = f"""
+cnt AS (SELECT site, count(*) AS total_discovered, count_if(status NOT IN ('pending', 'max_depth', 'skipped')) AS total_crawled,
+  count_if(http_status_code // 100 = 2) AS total_2xx, count_if(http_status_code // 100 = 3) AS total_3xx,
+  count_if(http_status_code // 100 = 4) AS total_4xx, count_if(http_status_code // 100 = 5) AS total_5xx,
+  count_if(http_status_code // 100 IN (4, 5)) + count_if(status IN ('error', 'timeout') AND http_status_code < 400) AS total_errors,
+  sum(load_time_ms) / 1000 AS secs FROM r2 GROUP BY site),
+head AS (SELECT *, '{FX.BASE}/p/0' AS start_url, CASE WHEN secs < 60 THEN CAST(CAST(round_even(secs, 0) AS BIGINT) AS VARCHAR) || 's'
+  WHEN secs < 3600 THEN CAST(CAST(floor(secs / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(secs % 60) AS BIGINT) AS VARCHAR) || 's'
+  ELSE CAST(CAST(floor(secs / 3600) AS BIGINT) AS VARCHAR) || 'h ' || CAST(CAST(floor(secs / 60) AS BIGINT) % 60 AS VARCHAR) || 'm' END AS duration FROM cnt)"""
+
+
+@query("snk3_error_report", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD, SQL_REPORT) + f"""
+SELECT site, 'header' AS kind, to_json({{'generated_at': '{GENERATED_AT}', 'start_url': start_url, 'summary': {{
+  'total_crawled': total_crawled, 'total_discovered': total_discovered, 'total_errors': total_errors, 'total_2xx': total_2xx,
+  'total_3xx': total_3xx, 'total_4xx': total_4xx, 'total_5xx': total_5xx, 'duration': duration}}}})::VARCHAR AS json FROM head
 UNION ALL
-SELECT dead.site, 'dead_link', to_json({'url': dead.url, 'http_status': dead.http_status_code, 'status': dead.status,
+SELECT dead.site, 'dead_link', to_json({{'url': dead.url, 'http_status': dead.http_status_code, 'status': dead.status,
   'error_message': dead.error_message,
-  'referring_pages': coalesce(list({'url': refs.source_url, 'link_text': refs.link_text} ORDER BY refs.rk)
-                              FILTER (WHERE refs.source_url IS NOT NULL), [])})::VARCHAR
+  'referring_pages': coalesce(list({{'url': refs.source_url, 'link_text': refs.link_text}} ORDER BY refs.rk)
+                              FILTER (WHERE refs.source_url IS NOT NULL), [])}})::VARCHAR
 FROM dead LEFT JOIN refs ON refs.site = dead.site AND refs.target_norm = dead.url
 GROUP BY dead.site, dead.url, dead.http_status_code, dead.status, dead.error_message""")
 def snk3_error_report(spark, d):
-    """SNK3: error report as JSON lines (summary per site, one per dead link)."""
+    """SNK3 + AGG2 + AGG9: the error report's header object per site and one object per dead link."""
+    from ..operators import stats as ST
+    head = RP.error_report_header(ST.report_counters(fixture_pages(spark, d)), fixture_runs(spark, d), GENERATED_AT)
+    dead = RP.error_report_entries(fixture_dead_links(spark, d))
+    return head.select("site", F.lit("header").alias("kind"), "json").unionByName(dead.select("site", F.lit("dead_link").alias("kind"), "json"))
+
+
+REPORT_SCHEMA = ("generated_at string, start_url string, summary struct<total_crawled:bigint,total_discovered:bigint,total_errors:bigint,"
+                 "total_2xx:bigint,total_3xx:bigint,total_4xx:bigint,total_5xx:bigint,duration:string>, "
+                 f"dead_links array<struct<url:string,http_status:int,status:string,error_message:string,referring_pages:{RP.REFERRER_TYPE}>>")
+
+
+@query("snk3_report_file", with_(SQL_F2, SQL_F3, SQL_REFS, SQL_DEAD, SQL_REPORT) + f"""
+, n AS (SELECT site, target_norm, count(*) AS n FROM refs GROUP BY ALL)
+SELECT head.site, '{GENERATED_AT}' AS generated_at, start_url, duration, CAST(total_crawled AS BIGINT) AS total_crawled, CAST(total_errors AS BIGINT) AS total_errors,
+  CAST(row_number() OVER (PARTITION BY head.site ORDER BY dead.url) - 1 AS INTEGER) AS pos, dead.url, dead.http_status_code AS http_status, dead.status,
+  CAST(coalesce(n.n, 0) AS INTEGER) AS n_referrers
+FROM head JOIN dead ON dead.site = head.site LEFT JOIN n ON n.site = dead.site AND n.target_norm = dead.url""")
+def snk3_report_file(spark, d):
+    """SNK3: the report of each site written as one JSON file in the shared folder and read back."""
     from ..operators import stats as ST
-    return RP.error_report_lines(fixture_dead_links(spark, d), ST.run_counters(fixture_pages(spark, d)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    RP.write_error_report(fixture_dead_links(spark, d), ST.report_counters(fixture_pages(spark, d)), fixture_runs(spark, d), GENERATED_AT, path)
+    found = RP.read_documents(spark, path, "error_report.json", REPORT_SCHEMA).select("site", "document.*")
+    return found.select("site", "generated_at", "start_url", "summary.duration", "summary.total_crawled", "summary.total_errors", F.posexplode("dead_links").alias("pos", "e")).select(
+        "*", "e.url", "e.http_status", "e.status", F.size("e.referring_pages").alias("n_referrers")).drop("e")
 
 
 @query("snk4_forms_report", with_(SQL_F2) + """
@@ -149,6 +187,17 @@ def snk4_forms_report(spark, d):
     return OR.sequence_within_groups(rows, ["site"], ["url"], out_col="pos")
 
 
+@query("snk4_forms_file", with_(SQL_F2) + """
+SELECT site, url, CAST(row_number() OVER (PARTITION BY site ORDER BY url) - 1 AS INTEGER) AS pos FROM r2
+WHERE has_form AND http_status_code = 200""")
+def snk4_forms_file(spark, d):
+    """SNK4: the forms list of each site written as one JSON file in the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forms-{uuid.uuid4().hex}"
+    RP.write_forms_report(fixture_pages(spark, d), path)
+    found = RP.read_documents(spark, path, "forms.json", "urls array<string>")
+    return found.select("site", F.posexplode("document.urls").alias("pos", "url"))
+
+
 @query("flt16_source_lookup", with_(SQL_F2, SQL_F3) + """
 SELECT url FROM r2 WHERE http_status_code >= 400 AND EXISTS (SELECT 1 FROM f3 WHERE f3.target_url = r2.url)""")
 def flt16_source_lookup(spark, d):

@@ -1,15 +1,17 @@
-"""Report rows: dead links with referrers, tracker tables, JSON report lines,
-forms list and source snippets. Every report is a row set (one line or one
-JSON object per dead link), written with Spark's text/JSON writers; no report
-collects a site's rows into one record."""
+"""Reports: dead links with referrers, tracker tables, JSON documents, forms
+list and source snippets. Every report is a row set (one line or one JSON
+object per dead link), written with Spark's text writer; no report collects a
+site's rows into one record, not even the JSON document of a site."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import status as S
+from ..operators.ordering import sequence_within_groups
+from .sitemap_xml import named_files
 
 # --- fixed values -----------------------------------------------------------
 TRACKER_TITLES = ["URL", "HTTP", "Error", "Referring pages"]
@@ -66,19 +68,65 @@ def wiki_header() -> str:
     return "||" + "||".join(TRACKER_TITLES) + "||"
 
 
-def error_report_lines(errors: DataFrame, counters: DataFrame, durations: DataFrame | None = None) -> DataFrame:
-    """SNK3 as JSON lines: one ``summary`` object per site and one
-    ``dead_link`` object per error row (url, http_status, status,
-    error_message, referring_pages)."""
-    dur = F.col("duration") if durations is not None else F.lit("0s")
-    c = counters if durations is None else counters.join(durations, "site", "left")
-    summary = c.select("site", F.lit("summary").alias("kind"), F.to_json(F.struct(
-        "total_crawled", "total_discovered", "total_errors", "total_2xx", "total_3xx", "total_4xx", "total_5xx",
-        dur.alias("duration"))).alias("json"))
-    dead = errors.select("site", F.lit("dead_link").alias("kind"), F.to_json(F.struct(
-        "url", F.col("http_status_code").alias("http_status"), "status", "error_message",
-        _refs().alias("referring_pages"))).alias("json"))
-    return summary.unionByName(dead)
+def error_report_header(counters: DataFrame, runs: DataFrame, generated_at: str) -> DataFrame:
+    """SNK3 header per site: generated_at, start_url and the summary (counters
+    as AGG2 rebuilds them, and the run's duration). ``runs`` is (site,
+    start_url, duration)."""
+    c = counters.join(runs, "site", "left")
+    summary = F.struct("total_crawled", "total_discovered", "total_errors", "total_2xx", "total_3xx", "total_4xx", "total_5xx",
+                       F.coalesce("duration", F.lit("0s")).alias("duration"))
+    return c.select("site", F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), F.coalesce("start_url", F.lit("")).alias("start_url"),
+                                               summary.alias("summary"))).alias("json"))
+
+
+def error_report_entries(errors: DataFrame) -> DataFrame:
+    """SNK3: one JSON object per dead link (url, http_status, status, error_message, referring_pages)."""
+    return errors.select("site", "url", F.to_json(F.struct(
+        "url", F.col("http_status_code").alias("http_status"), "status", "error_message", _refs().alias("referring_pages"))).alias("json"))
+
+
+def document_lines(headers: DataFrame, entries: DataFrame, name: str, order: str = "url") -> DataFrame:
+    """One JSON document a site as numbered lines (site, seq, line): its header
+    object with the list ``name`` of the site's entries (``json``) in ``order``.
+    Line 0 opens the document and the list, each entry is a line, the last line
+    closes both; entries are numbered by range, so no site is gathered to put a
+    comma between its entries."""
+    numbered = sequence_within_groups(entries, ["site"], [order, "json"], out_col="seq")
+    body = numbered.select("site", "seq", F.concat(F.when(F.col("seq") > 1, ",").otherwise(""), "json").alias("line"))
+    inner = F.regexp_extract("json", r"(?s)^\{(.*)\}$", 1)
+    opened = F.concat(F.lit("{"), inner, F.when(inner != "", ",").otherwise(""), F.lit(f'"{name}":['))
+    first = headers.select("site", F.lit(0).cast("bigint").alias("seq"), opened.alias("line"))
+    last = headers.select("site", F.lit(2**62).cast("bigint").alias("seq"), F.lit("]}").alias("line"))
+    return first.unionByName(body).unionByName(last)
+
+
+def write_documents(lines: DataFrame, path: str, name: str) -> None:
+    """``path/site=.../name`` for every site, its lines in order of seq. A file
+    has one writer, so a site's lines stream through one task, sorted on disk
+    if need be; none is collected. Files get their names by one rename each."""
+    spark = lines.sparkSession
+    scratch = f"{path}/_writing"
+    (lines.withColumn("file", F.lit(name)).repartition("site").sortWithinPartitions("site", "file", "seq").drop("seq")
+     .write.mode("overwrite").partitionBy("site", "file").text(f"{scratch}/documents"))
+    named_files(spark, scratch, path)
+
+
+def write_error_report(errors: DataFrame, counters: DataFrame, runs: DataFrame, generated_at: str, path: str) -> None:
+    """SNK3: ``error_report.json`` of every site of counters."""
+    write_documents(document_lines(error_report_header(counters, runs, generated_at), error_report_entries(errors), "dead_links"), path, "error_report.json")
+
+
+def write_forms_report(results: DataFrame, path: str) -> None:
+    """SNK4: ``forms.json`` of every site: the sorted URLs of its pages with a form and code 200."""
+    entries = forms_rows(results).select("site", "url", F.regexp_extract(F.to_json(F.array("url")), r"(?s)^\[(.*)\]$", 1).alias("json"))
+    headers = results.select("site").distinct().select("site", F.lit("{}").alias("json"))
+    write_documents(document_lines(headers, entries, "urls"), path, "forms.json")
+
+
+def read_documents(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """(site, document) of the JSON files written by ``write_documents``, one row a file."""
+    raw = spark.read.option("pathGlobFilter", name).option("basePath", path).text(f"{path}/site=*", wholetext=True)
+    return raw.select("site", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("document"))
 
 
 def forms_rows(results: DataFrame) -> DataFrame:
@@ -123,17 +171,3 @@ def write_markdown_table(errors: DataFrame, path: str) -> None:
 def write_wiki_table(errors: DataFrame, path: str) -> None:
     """SNK6 file."""
     write_lines_per_site(wiki_rows(errors), path, [wiki_header()])
-
-
-def write_error_report(errors: DataFrame, counters: DataFrame, path: str) -> None:
-    """SNK3 as JSON lines per site (summary first, then the dead links)."""
-    lines = error_report_lines(errors, counters).select(
-        "site", F.col("json").alias("line"), F.when(F.col("kind") == "summary", F.lit("")).otherwise(
-            F.get_json_object("json", "$.url")).alias("url"))
-    write_lines_per_site(lines, path)
-
-
-def write_forms_report(results: DataFrame, path: str) -> None:
-    """SNK4: sorted form-page URLs per site, one JSON string per line."""
-    rows = forms_rows(results).select("site", "url", F.to_json(F.struct("url")).alias("line"))
-    write_lines_per_site(rows, path)

@@ -66,10 +66,10 @@ def write_sitemaps(rows: DataFrame, path: str, max_urls: int = MAX_URLS_PER_SITE
      .select("site", F.lit("sitemap.xml").alias("file"), part_file_name(F.col("part"), F.col("parts")).alias("loc"))
      .write.mode("overwrite").partitionBy("site", "file").format("xml").option("rowTag", "sitemap")
      .option("rootTag", f'sitemapindex xmlns="{SITEMAP_NS}"').save(f"{scratch}/index"))
-    _named(spark, scratch, path)
+    named_files(spark, scratch, path)
 
 
-def _named(spark, scratch: str, path: str) -> None:
+def named_files(spark, scratch: str, path: str) -> None:
     """Move ``scratch/*/site=…/file=NAME/part-…`` to ``path/site=…/NAME``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)

@@ -19,15 +19,20 @@ overlap of the multisets (32-bit hashes of shingle and occurrence):
 1. equal multisets are one node;
 2. each node of a bucket is verified against the bucket's first node;
 3. where a bucket still holds nodes of several groups, the pairs across groups
-   are verified inside tasks that hold two blocks of at most ``BLOCK`` nodes,
-   each pair in its first common bucket only; a task gives a spanning forest of
-   the links it found, not the pairs;
+   are verified inside tasks that hold two blocks of about ``BLOCK`` nodes or
+   ``BLOCK_BYTES`` of multisets, each pair in its first common bucket only; a
+   task gives a spanning forest of the links it found, not the pairs. A group of
+   several blocks has its blocks to itself, and two blocks of one group are
+   never dealt together, so an unlinked node beside 100,000 linked ones meets
+   each of them once;
 4. classes are the connected components of all verified links.
 
-So no link between nodes that share a bucket is lost to the classes, and rows
-made grow with the documents, not with the square of a group. The comparisons
-of step 3 do grow with the square of a bucket whose nodes are alike but not
-linked. A pair at the threshold shares a bucket with probability 0.9996.
+So no link between nodes that share a bucket is lost to the classes. Step 3
+grows with the product of the groups' sizes where a bucket holds several large
+groups that are alike but not linked (their rows are copied to one task for each
+block of the others), and with nothing else. A pair at the threshold shares a
+bucket with probability 0.9996. Two shingles of one text share a hash of 32
+bits once in some 4 * 10^9 pairs; sizes and overlaps count distinct hashes.
 
 Defined results: texts without words are of one class if they are equal (null
 is empty); repeated rows are of one class; null ids stay, the class id is the
@@ -44,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,14 +57,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.joins import broadcast_if_small
 from . import tokens
 from .components import components, spanning_forest
-from .shared import picked, written
+from .shared import frugal, picked, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SIZE = BANDS * ROWS
 BLOCK = 512
+BLOCK_BYTES = 2 << 20
+#: home of the blocks that hold small groups (groups are named by a node, which is not negative)
+MIXED = -1
 MAX_DOCS = 50_000
+#: characters that are signed together: a shingle takes some 100 bytes meanwhile
+SLICE_CHARS = 1_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,7 +169,7 @@ def signed(rows: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", SLICE_CHARS):
                 for lo in range(0, part.num_rows, MAX_DOCS):
                     yield one(part.slice(lo, MAX_DOCS))
 
@@ -169,8 +179,8 @@ def signed(rows: DataFrame) -> DataFrame:
         doc, shingle, weight = bags(*shingle_hashes(texts))
         keys = _band_keys(signatures(doc, shingle, weight, n))
         item, owner = _occurrences(doc, shingle, weight)
-        item = np.sort(owner.astype(np.uint64) << np.uint64(32) | item).astype(np.uint32)
-        of_doc = np.cumsum(np.bincount(owner, minlength=n))
+        distinct = np.unique(owner.astype(np.uint64) << np.uint64(32) | item)
+        item, of_doc = distinct.astype(np.uint32), np.cumsum(np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=n))
         of_bag = np.searchsorted(doc, np.arange(n + 1))
         digests, bands, bag = [], [], []
         for i, text in enumerate(texts.to_pylist()):
@@ -185,11 +195,11 @@ def signed(rows: DataFrame) -> DataFrame:
             bag.append(item[(of_doc[i - 1] if i else 0) : of_doc[i]].tobytes())
         return pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bag, pa.binary())], schema=arrow)
 
-    return rows.mapInArrow(sign, schema)
+    return rows.mapInArrow(frugal(sign), schema)
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=False))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
@@ -206,7 +216,7 @@ def _verified_stars(pairs: DataFrame, bag: DataFrame) -> DataFrame:
             good = [_similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(*(batch.column(c).to_pylist() for c in ("own", "other")))]
             yield batch.select(["node", "lead"]).filter(pa.array(good, pa.bool_()))
 
-    return full.mapInArrow(check, "node long, lead long")
+    return full.mapInArrow(frugal(check), "node long, lead long")
 
 
 def _linked(rows: list[dict], band: int) -> Iterator[tuple[int, int]]:
@@ -230,7 +240,7 @@ def _linked(rows: list[dict], band: int) -> Iterator[tuple[int, int]]:
     if len(i) > 2000:
         both = _overlaps(sets)[i, j]
     else:
-        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)], np.int64)
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
     good = both >= THRESHOLD * (sizes[i] + sizes[j] - both)
     root = spanning_forest(len(rows), i[good], j[good])
     return ((rows[k]["node"], rows[r]["node"]) for k, r in enumerate(root) if k != r)
@@ -255,18 +265,34 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _slots(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """key, home, slot, i, j, side: the pairs of blocks that each block of a bucket is compared in; two blocks of one group are none."""
+    blocks = placed.select("key", "home", "slot").distinct().withColumn("block", F.row_number().over(Window.partitionBy("key").orderBy("home", "slot")))
+    other = blocks.select("key", F.col("home").alias("other_home"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "key").where((F.col("home") != F.col("other_home")) | (F.col("home") == MIXED))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return pairs.select("key", "home", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"))
+
+
 def _across_groups(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of one bucket that stars left in different groups."""
     member = buckets.join(groups, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("group"))
     # a bucket is open if at least two of its nodes beside the first are of different groups
     state = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n"))
-    state = written(state.filter("low != high AND n > 2"), "open-buckets")
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    inside = member.join(state.select("key", "n"), "key").select("key", "band", "node", "group", block.alias("block"), n_blocks.cast("int").alias("blocks"))
-    inside = written(inside, "open-members")
-    dealt = nodes.select("node", "bands", "bag").join(broadcast_if_small(inside), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    task = dealt.select("key", "band", "node", "group", "bands", "bag", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("with") == F.col("block"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"))
+    state = written(state.filter("low != high AND n > 2").select("key"), "open-buckets")
+    inside = written(member.join(state, "key").join(nodes.select("node", "size"), "node"), "open-members")
+    # a group too large for one block has blocks of its own, all others share blocks
+    own = inside.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).withColumn("slots", _slots(F.col("n"), F.col("size")))
+    shared = own.where("slots = 1").groupBy("key").agg(_slots(F.sum("n"), F.sum("size")).alias("shared"))
+    large = F.col("slots") > 1
+    homes = own.join(shared, "key", "left").select("key", "group", F.when(large, F.col("group")).otherwise(MIXED).alias("home"), F.when(large, F.col("slots")).otherwise(F.col("shared")).alias("slots"))
+    placed = written(inside.join(homes, ["key", "group"]).select("key", "band", "node", "group", "home", F.pmod(F.xxhash64("node"), "slots").alias("slot")), "open-places")
+    dealt = written(placed.join(_block_pairs(placed), ["key", "home", "slot"]).select("key", "band", "node", "group", "i", "j", "side"), "open-blocks")
+    task = nodes.select("node", "bands", "bag").join(broadcast_if_small(dealt), "node")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -288,7 +314,7 @@ def classes(rows: DataFrame) -> DataFrame:
     buckets = written(keyed.join(broadcast_if_small(first), "key"), "bucket-members")
     pairs = written(buckets.filter("node != lead").select("node", "lead").distinct(), "star-pairs")
     # multisets are needed of nodes that share a bucket, a part of all; the others' never move if the part's ids are few
-    shared = table.select("node", "bands", "bag").join(broadcast_if_small(buckets.select("node").distinct()), "node", "left_semi")
+    shared = table.select("node", "bands", "bag", F.octet_length("bag").alias("size")).join(broadcast_if_small(buckets.select("node").distinct()), "node", "left_semi")
     shared = written(shared, "candidates", compression="zstd")
     stars = written(_verified_stars(pairs, shared.select("node", "bag")), "stars").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     across = written(_across_groups(buckets.select("key", "band", "node"), components(stars), shared), "across")

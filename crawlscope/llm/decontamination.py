@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import picked
+from . import tokens
+from .shared import frugal, picked
 
 ERROR_RATE = 1 / 16
 LEAST_WITHIN = 12
@@ -243,7 +244,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
         def keep(batches, shared=shared):
             matcher = Matcher(shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.leaks(normal(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+                for part in tokens.slices(batch, text_col):
+                    yield part.filter(pa.array([not matcher.leaks(normal(t)) for t in part.column(text_col).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(frugal(keep), docs.schema)
     return docs

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
-from .shared import picked, written
+from .shared import frugal, picked, written
 
 MAX_BITS = 18
 BLOCK_IDS = 32_768
@@ -173,7 +173,7 @@ def tokenized(docs: DataFrame, vocabulary, end_id: int, dtype: str, size: int) -
         if len(used):
             yield pa.RecordBatch.from_pylist([{"counts": np.stack([used, total[used]]).astype("<i8").tobytes()}], schema=arrow)
 
-    return docs.mapInArrow(encode, schema)
+    return docs.mapInArrow(frugal(encode), schema)
 
 
 def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -262,7 +262,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, id_col:
             yield close()
 
     in_order = ids.where("ids IS NOT NULL").select("id", "hash", "n", "ids").repartitionByRange(F.col("id").asc_nulls_first(), F.col("hash"), F.monotonically_increasing_id()).sortWithinPartitions("id", "hash")
-    in_order.select("id", "n", "ids").mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_order.select("id", "n", "ids").mapInArrow(frugal(pack), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     # one row a partition
     parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
     bases = list(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist()))
@@ -290,7 +290,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for a, b in zip(*(lambda x: (x, [*x[1:], len(group)]))(np.flatnonzero(np.diff(group, prepend=-1)).tolist())):
                 yield _documents(decoder, batch.slice(a, b - a), base, arrow)
 
-    return blocks.mapInArrow(decode, schema)
+    return blocks.mapInArrow(frugal(decode), schema)
 
 
 def _documents(decoder: Decoder, blocks: pa.RecordBatch, base: dict[int, int], arrow: pa.Schema) -> pa.RecordBatch:

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.joins import broadcast_if_small
 from . import tokens
-from .shared import picked, shared_path
+from .shared import frugal, picked, shared_path
 
 CAPACITY = 1024
 #: pieces below these parts of a sequence are held back from pairs and triples in some plans
@@ -70,7 +70,7 @@ def cut(docs: DataFrame, vocabulary, end_id: int, capacity: int, dtype: str) ->
                         met[stop - start] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return docs.mapInArrow(pieces, schema)
+    return docs.mapInArrow(frugal(pieces), schema)
 
 
 class SumIndex:
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAP
                 names=schema.names,
             )
 
-    return pieces.join(broadcast_if_small(shifts, MAX_SHIFT_ROWS), ["task", "length"]).select("id", "piece", "start", "length", "rank", "shift", "ids").mapInArrow(place, schema)
+    return pieces.join(broadcast_if_small(shifts, MAX_SHIFT_ROWS), ["task", "length"]).select("id", "piece", "start", "length", "rank", "shift", "ids").mapInArrow(frugal(place), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

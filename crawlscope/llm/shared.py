@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +36,22 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def give_back() -> None:
+    """Return memory that this worker's allocators hold but don't use: Spark keeps
+    workers for later stages, where it would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(of_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function for mapInArrow, which gives memory back at the end of each task."""
+
+    @functools.wraps(of_batches)
+    def run(batches):
+        yield from of_batches(batches)
+        give_back()
+
+    return run

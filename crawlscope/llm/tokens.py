@@ -232,10 +232,11 @@ def parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about BATCH_CHARS characters (or one longer text)."""
+def slices(batch: pa.RecordBatch, column: str, chars: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about BATCH_CHARS or the given number of characters (or one longer text)."""
+    chars = chars or BATCH_CHARS
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(lengths) - lengths) // BATCH_CHARS
+    part = (np.cumsum(lengths) - lengths) // chars
     for a, b in zip(*(lambda x: (x, [*x[1:], len(part)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist())):
         yield batch.slice(a, b - a)
 

@@ -52,7 +52,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
-from .shared import picked, written
+from .shared import frugal, picked, written
 
 MAX_TRAINING_DOCS = 20_000
 MAX_FEATURES = 4_000
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part, scores in _scored(batch, "text", shared.value):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -327,7 +327,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for part, scores in _scored(batch, text_col, shared.value):
                 yield part.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import urls as U
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written_round
 from .ordering import sequence_within_groups
 
 
@@ -48,9 +48,9 @@ def choose_roots(results: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def _rounds(state: DataFrame, step, still_open: Column) -> Iterator[tuple[DataFrame, int]]:
-    """state, step(state), step(step(state)), ... as checkpoints, each with its number of open rows."""
+    """state, step(state), step(step(state)), ... as written tables, each with its number of open rows."""
     while True:
-        state = state.checkpoint(eager=True)
+        state = written_round(state)
         yield state, state.where(still_open).count()
         state = step(state)
 
@@ -108,7 +108,7 @@ def with_ancestors(tree: DataFrame, nodes: DataFrame) -> DataFrame:
         if not left:
             return reached
         above = reached.join(pointers, ["site", "url"]).select("site", F.col("ptr").alias("url"))
-        reached = reached.unionByName(above).distinct().checkpoint(eager=True)
+        reached = written_round(reached.unionByName(above).distinct())
 
 
 def with_paths(tree: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ fetched (STR4). Checkpoints live under the session's checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -156,53 +157,76 @@ def latest_rows(log: DataFrame, keys=("host", "url"), order=("batch_id", "ts"))
 
 # --- STR4: referrer buffer --------------------------------------------------
 
-REFERRER_OUT = "target STRING, source_url STRING, link_text STRING, ts TIMESTAMP"
-REFERRER_STATE = "fetched BOOLEAN, sources ARRAY<STRING>, texts ARRAY<STRING>, times ARRAY<TIMESTAMP>"
+REFERRER_OUT = "target STRING, source_url STRING, link_text STRING, micros BIGINT"
+# the targets of a bucket; of each whether it was fetched and how many sources it holds; these sources, one target after the other
+REFERRER_STATE = "targets ARRAY<STRING>, fetched ARRAY<BOOLEAN>, held ARRAY<INT>, sources ARRAY<STRING>, texts ARRAY<STRING>, micros ARRAY<BIGINT>"
+# stands for a missing time, sorts after all others
+NO_TIME = (1 << 63) - 1
+
+
+def _first_links(links: pd.DataFrame) -> pd.DataFrame:
+    """The first links of different sources, at most as many as are kept for a target."""
+    links = links.sort_values(["micros", "source_url"], kind="stable").drop_duplicates(["target", "source_url"])
+    return links.groupby("target", dropna=False, sort=False).head(MAX_REFERRERS)
 
 
 def _referrer_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    target = key[0]
-    fetched, sources, texts, times = (state.get if state.exists else (False, [], [], []))
-    sources, texts, times = list(sources), list(texts), list(times)
-    out = []
+    known: dict[str | None, tuple[bool, list[tuple]]] = {}
+    if state.exists:
+        targets, fetched, held, sources, texts, micros = state.get
+        rows = iter(zip(sources, texts, micros))
+        known = {t: (f, list(itertools.islice(rows, n))) for t, f, n in zip(targets, fetched, held)}
+    pages, links = set(), []
     for pdf in pdfs:
-        for row in pdf.sort_values(["ts", "kind", "source_url"]).itertuples(index=False):
-            if row.kind == "page":
-                if not fetched:
-                    fetched = True
-                    out.extend(zip(sources, texts, times))
-            elif row.source_url not in sources and len(sources) < MAX_REFERRERS:
-                sources.append(row.source_url)
-                texts.append(row.link_text)
-                times.append(row.ts)
-                if fetched:
-                    out.append((row.source_url, row.link_text, row.ts))
-    state.update((fetched, sources, texts, times))
+        is_page = pdf["kind"] == "page"
+        pages.update(pdf["target"][is_page])
+        links.append(_first_links(pdf[~is_page]))
+    fresh: dict[str | None, list[tuple]] = {t: [] for t in pages}
+    found = _first_links(pd.concat(links))
+    for t, *link in zip(found["target"], found["source_url"], found["link_text"], found["micros"].tolist()):
+        fresh.setdefault(t, []).append(tuple(link))
+    out = []
+    for t, new in fresh.items():
+        was_fetched, old = known.get(t, (False, []))
+        seen = {s for s, _, _ in old}
+        new = [link for link in new if link[0] not in seen][: MAX_REFERRERS - len(old)]
+        known[t] = (was_fetched or t in pages, old + new)
+        if known[t][0]:
+            out.extend((t, *link) for link in (new if was_fetched else old + new))
+    links_of = [link for _, each in known.values() for link in each]
+    state.update(([*known], [f for f, _ in known.values()], [len(each) for _, each in known.values()], *([link[k] for link in links_of] for k in range(3))))
     if out:
-        yield pd.DataFrame({"target": [target] * len(out), "source_url": [o[0] for o in out],
-                            "link_text": [o[1] for o in out], "ts": [o[2] for o in out]})
+        yield pd.DataFrame(out, columns=["target", "source_url", "link_text", "micros"])
 
 
-# State keys per target: a hot target (every page links the home page) is
-# spread over so many tasks. Page events are copied to every salt, so the key
-# count (one Python call per key and micro-batch) grows with it.
+# Parts of each target: a hot target (every page links the home page) is
+# spread over so many tasks. Page events are copied to every salt.
 REFERRER_SALTS = 2
+# State keys per salt. A key holds the targets that hash to it, because each key
+# costs some milliseconds of Python a micro-batch, as a call for one target would.
+REFERRER_BUCKETS = 2048
 
 
-def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS) -> DataFrame:
+def referrer_buffer(events: DataFrame, salts: int = REFERRER_SALTS, buckets: int = REFERRER_BUCKETS) -> DataFrame:
     """STR4: ``events`` has (target, kind 'link'|'page', source_url,
     link_text, ts). Links seen before their target is fetched are held in
     keyed state and released when the page arrives, however late; later links
     pass straight through. State holds at most 50 sources for each target and
     salt, and grows with the number of targets.
 
-    The state key is (target, salt) with salt = hash(source) mod ``salts``:
-    with ``salts > 1`` a hot target is spread over that many tasks, each
-    keeping its first 50 distinct sources, and page events go to every salt
-    of their target. The union of the per-salt lists contains the target's
-    first 50 sources; ``cap_referrers`` keeps exactly those."""
-    return _salted(events, salts).groupBy("target", "salt").applyInPandasWithState(
+    The state key is (bucket, salt) with bucket = hash(target) mod ``buckets``
+    and salt = hash(source) mod ``salts``: with ``salts > 1`` a hot target is
+    spread over that many tasks, each keeping its first 50 distinct sources,
+    and page events go to every salt of their target. The union of the per-salt
+    lists contains the target's first 50 sources; ``cap_referrers`` keeps
+    exactly those. A micro-batch writes the buckets anew that it touches: more
+    targets want more buckets."""
+    keyed = _salted(events, salts).select(
+        F.pmod(F.xxhash64("target"), F.lit(buckets)).alias("bucket"), "salt", "target", "kind", "source_url", "link_text",
+        F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("micros"))
+    released = keyed.groupBy("bucket", "salt").applyInPandasWithState(
         _referrer_state, REFERRER_OUT, REFERRER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return released.select("target", "source_url", "link_text", F.timestamp_micros(F.nullif("micros", F.lit(NO_TIME))).alias("ts"))
 
 
 def _salted(events: DataFrame, salts: int) -> DataFrame:

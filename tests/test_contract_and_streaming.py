@@ -47,3 +47,29 @@ def test_referrer_buffer_caps_and_releases(spark):
     per_target = out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_url").alias("d"))
     assert per_target.where("n > 50 OR n <> d").count() == 0
     assert out.count() > 0
+
+
+def test_referrer_state_holds_many_targets_and_takes_the_first_sources():
+    import pandas as pd
+
+    class State:
+        get = None
+        exists = property(lambda self: self.get is not None)
+
+        def update(self, value):
+            self.get = value
+
+    def batch(*rows):
+        return pd.DataFrame(rows, columns=["target", "kind", "source_url", "link_text", "micros"])
+
+    def released(*chunks):
+        return sorted((r.target, r.source_url, r.micros) for out in LV._referrer_state((0, 0), iter(chunks), state) for r in out.itertuples())
+
+    state, n = State(), LV.MAX_REFERRERS
+    late = batch(*[("a", "link", f"s{k}", "x", k) for k in range(10, n + 30)])
+    early = batch(*[("a", "link", f"s{k}", "x", k) for k in range(10)], ("a", "link", "s0", "again", 5), ("b", "link", "s1", "x", 7))
+    assert released(late, early) == []
+    assert released(batch(("a", "page", "", "", 100))) == sorted(("a", f"s{k}", k) for k in range(n))
+    assert released(batch(("b", "link", "s1", "x", 200), ("b", "link", "s2", "x", 201), ("a", "link", "new", "x", 202))) == []
+    assert released(batch(("b", "page", "", "", 300), ("b", "link", "s3", "x", 301))) == [("b", "s1", 7), ("b", "s2", 201), ("b", "s3", 301)]
+    assert released(batch(("b", "page", "", "", 400), ("b", "link", "s4", "x", 401))) == [("b", "s4", 401)]

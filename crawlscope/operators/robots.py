@@ -5,7 +5,8 @@ belongs to is the last ``User-agent`` line before it (a running ``last``
 over the lines of one file). The permission test joins each URL with its
 site's rules, held as one hash table by literal prefix (broadcast behind a size
 check), and looks the path's prefixes up in it: no row per rule, no
-aggregation, no match per rule.
+aggregation, no match per rule. A site with more rules than a row should carry
+has them joined by prefix instead.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from ..functions import html as H
 from ..functions import urls as U
 from .joins import broadcast_if_small
 
+# A site's table goes with each of its URLs, so sites above these bounds have their rules joined by prefix.
+TABLE_RULES = 1_000
+TABLE_BYTES = 128 << 10
+
 _META = r"([\\.+?^${}()|\[\]])"
 
 
@@ -87,14 +92,20 @@ def literal_prefix(pattern: Column) -> Column:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """One row a site, broadcast when these are provably few and small: its
-    rules in a hash table by literal prefix, and the lengths such prefixes have.
-
-    ``_table`` is an array with a place for each rule; a rule is in the place
-    its prefix hashes to. A rule without wildcard has no regex: a path with its
-    prefix matches. Path patterns of one robots file are one row, as the file is."""
+    """The rules in the form that ``allowed`` uses. A rule without wildcard has
+    no regex: a path with its prefix matches.
+
+    If no site has more than ``TABLE_RULES`` rules and ``TABLE_BYTES`` of text,
+    one row a site, broadcast when these are provably few and small: ``_table``
+    is an array with a place for each rule, a rule is in the place its prefix
+    hashes to, ``_lengths`` are the lengths such prefixes have. The join copies
+    that row for each URL, so with longer files it is one row a rule."""
     wild = F.col("pattern").contains("*") | F.col("pattern").endswith("$")
     rules = rules.select("site", literal_prefix(F.col("pattern")).alias("prefix"), "length", "allow", F.when(wild, F.col("regex")).alias("regex"))
+    size = F.coalesce(F.octet_length("prefix"), F.lit(0)) + F.coalesce(F.octet_length("regex"), F.lit(0))
+    most = rules.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).agg(F.max("n"), F.max("bytes")).first()
+    if (most[0] or 0) > TABLE_RULES or (most[1] or 0) > TABLE_BYTES:
+        return rules.distinct()
     sites = rules.groupBy("site").agg(F.count(F.lit(1)).alias("_places"), F.sort_array(F.collect_set(F.char_length("prefix"))).alias("_lengths"))
     kept = rules.join(sites.select("site", "_places"), "site").select(
         "site", _place(F.col("prefix"), F.col("_places")).alias("_at"), F.struct("prefix", "length", "allow", "regex").alias("rule"))
@@ -116,6 +127,8 @@ def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: b
     those of them with a wildcard; a row stays one row. ``prepared`` = rules
     already passed through ``prepare_rules``."""
     r = rules if prepared else prepare_rules(rules)
+    if "_table" not in r.columns:
+        return _allowed_by_prefix(urls, r, url_col)
     probe = urls.withColumn("_path", robots_path(F.col(url_col))).join(r, "site", "left")
     path, table = F.col("_path"), F.col("_table")
 
@@ -128,3 +141,18 @@ def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", prepared: b
     hits = F.flatten(F.transform(lengths, at))
     best = F.array_max(F.transform(hits, lambda rule: F.struct(rule["length"].alias("length"), rule["allow"].alias("allow"))))["allow"]
     return probe.withColumn("allowed", F.coalesce(best, F.lit(True))).drop("_path", "_table", "_lengths")
+
+
+def _allowed_by_prefix(urls: DataFrame, rules: DataFrame, url_col: str) -> DataFrame:
+    """``allowed`` with one row a rule: each different path meets the rules of
+    its prefixes in a join on (site, prefix), and the best of them goes back to
+    the rows that have the path."""
+    probe = urls.withColumn("_path", robots_path(F.col(url_col)))
+    lengths = rules.where(F.col("prefix").isNotNull()).groupBy("site").agg(F.collect_set(F.char_length("prefix")).alias("_lengths"))
+    paths = probe.select("site", "_path").distinct().join(broadcast_if_small(lengths), "site")
+    prefixes = paths.select("site", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("_path"))).alias("_n"))
+    met = prefixes.select("site", "_path", F.substring("_path", F.lit(1), F.col("_n")).alias("prefix")).join(rules, ["site", "prefix"])
+    met = met.where(F.col("regex").isNull() | F.rlike(F.col("_path"), F.col("regex")))
+    best = met.groupBy("site", "_path").agg(F.max(F.struct("length", "allow"))["allow"].alias("_best"))
+    return probe.join(best, ["site", "_path"], "left").select(
+        "site", *[c for c in urls.columns if c != "site"], F.coalesce("_best", F.lit(True)).alias("allowed"))

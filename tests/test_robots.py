@@ -87,3 +87,17 @@ def test_permission_equals_every_rule_tried(spark):
     for row in R.allowed(frame, rules).collect():
         hits = [(len(p), a) for s, p, a in rows if s == row.site and re.match(regex[p], path[row.url])]
         assert row.allowed == (max(hits)[1] if hits else True), row
+
+
+def test_long_robots_files_are_joined_by_prefix(spark):
+    rows = [("s", f"/d{k}/", False) for k in range(R.TABLE_RULES)] + [("s", "/d7/*/open", True), ("s", "/d8/x$", True), ("t", "/", False), ("t", "/*a", True), ("s", "/d7/", False)]
+    rules = spark.createDataFrame(rows, "site string, pattern string, allow boolean").select(
+        "site", "pattern", "allow", R.pattern_regex(F.col("pattern")).alias("regex"), F.char_length("pattern").alias("length"))
+    assert "_table" not in R.prepare_rules(rules).columns  # a row a site would be copied for each URL
+    assert "_table" in R.prepare_rules(rules.where("site = 't'")).columns
+    want = [("s", "/d7/q", False), ("s", "/d7/q", False), ("s", "/d7/q/open", True), ("s", "/d8/x", True), ("s", "/d8/xy", False), ("s", "/e", True),
+            ("t", "/b", False), ("t", "/ba", True), ("other", "/d7/", True), (None, "/d7/", True), ("s", None, True)]
+    urls = spark.createDataFrame([(k, s, p and f"https://h.example{p}") for k, (s, p, _) in enumerate(want)], "k int, site string, url string")
+    out = R.allowed(urls, rules)
+    assert out.columns == ["site", "k", "url", "allowed"]
+    assert {r.k: r.allowed for r in out.collect()} == {k: a for k, (_, _, a) in enumerate(want)} and out.count() == len(want)

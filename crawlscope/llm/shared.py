@@ -28,6 +28,19 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go as soon as it has ended (its result is written or counted), not when
+    the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so no other column of df can clash."""
     return df.select([F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -1,6 +1,10 @@
 """Operators 4 and 8 against brute force over all pairs."""
 
+import contextlib
+import math
+import os
 import random
+import threading
 from collections import Counter
 
 import numpy as np
@@ -121,6 +125,72 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, task):
     assert all(found[i]["component_id"] == wanted[i] and found[i]["kept"] == (wanted[i] == i) for i in found)
 
 
+def shuffle_bytes(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    total = 0
+    for folder, _, names in (x for d in dirs for x in os.walk(d.getPath())):
+        for name in (n for n in names if n.startswith("shuffle_")):
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                total += os.path.getsize(os.path.join(folder, name))
+    return total
+
+
+def test_disk_follows_the_vectors(spark, monkeypatch):
+    """Small blocks stand for many vectors; sending each block to each block near it took 38 times their bytes."""
+    monkeypatch.setattr(embedding_dups, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dups, "BLOCKS_OF_TASK", 2)
+    rng = np.random.default_rng(18)
+    base = rng.standard_normal((2400, 64))
+    vectors = np.concatenate([base, base[:400] + rng.standard_normal((400, 64)) * 0.2, base[:1] + rng.standard_normal((200, 64)) * 0.05])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    wanted = groups(len(vectors), lambda a, b: near[a, b])
+    frame = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>").repartition(3).localCheckpoint()
+    seen, over = [shuffle_bytes(spark)], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            seen.append(shuffle_bytes(spark))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = {r["vec_id"]: r for r in embedding_dups.near_duplicates(frame).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert all(found[i]["n_links"] == near[i].sum() - 1 for i in range(len(vectors)))
+    assert all(found[i]["component_id"] == wanted[i] for i in range(len(vectors)))
+    assert max(seen) - seen[0] < 6 * vectors.nbytes
+
+
+def test_cells_miss_a_pair_no_more_than_the_first_window():
+    window = math.erfc(embedding_dups.FIRST_WINDOW_SD / math.sqrt(2))
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((4000, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    other = rng.standard_normal(u.shape)
+    other -= (other * u).sum(axis=1, keepdims=True) * u
+    v = 0.95 * u + (1 - 0.95**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    assert embedding_dups.cells_for(10_000, 0.95) == embedding_dups.ONE_CELL
+    for number in (200_000, 20_000_000):
+        cells = embedding_dups.cells_for(number, 0.95)
+        p = embedding_dups.shared_part(0.95)[cells.parts] ** cells.levels
+        assert (1 - p) ** cells.tables <= window
+        shared = embedding_dups._cells_of(u, cells) == embedding_dups._cells_of(v, cells)
+        assert shared.mean() > p - 0.01 and shared.any(axis=1).all()
+
+
+@pytest.mark.parametrize("needed", [16, 14, 13, 9])
+def test_collisions_are_counted(needed):
+    rng = np.random.default_rng(needed)
+    q, y = (rng.integers(-63, 64, (16, n)).astype(np.int8) // spread for n, spread in ((50, 3), (70, 3)))
+    words = embedding_dups._collided(q, embedding_dups._missed(y), needed)
+    hit = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(bool)
+    count = (abs(q[:, :, None].astype(int) - y[:, None, :]) <= embedding_dups.QUANTA + 1).sum(axis=0)
+    assert (hit[:, :70] == (count >= needed)).all() and not hit[:, 70:].any()
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, float("nan")]), (7, [1.0, None]), (8, [float("inf"), 1.0]),
             (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [-1.0, 0.0]), (11, [1e-30, 0.0]), (12, [-0.0, 1.0]), (13, [0.0, 1.0])]

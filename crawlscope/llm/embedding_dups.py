@@ -127,6 +127,27 @@ def _collided(quanta: np.ndarray, missed: np.ndarray, needed: int) -> np.ndarray
     return ~over
 
 
+@functools.lru_cache(maxsize=4)
+def _after(number: int) -> np.ndarray:
+    """For each of so many vectors, a bit for each one after it."""
+    later = np.zeros((number, -(-number // 64) * 64), bool)
+    later[:, :number] = np.triu(np.ones((number, number), bool), 1)
+    return np.packbits(later, axis=-1, bitorder="little").view("<u8")
+
+
+def _set_bits(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in its row of each bit that is set."""
+    at = np.flatnonzero(words)
+    left, row, first = words.ravel()[at], at // words.shape[1], at % words.shape[1] << 6
+    rows, places = [row[:0]], [first[:0]]
+    while len(left):
+        rest = left & (left - np.uint64(1))  # without the lowest bit
+        rows.append(row), places.append(first + np.frexp((left ^ rest).astype(np.float64))[1] - 1)
+        more = rest != 0
+        left, row, first = rest[more], row[more], first[more]
+    return np.concatenate(rows), np.concatenate(places)
+
+
 def _unit(flat: np.ndarray) -> np.ndarray:
     flat = flat.astype(np.float64)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # squares of tiny or huge components stay in range
@@ -289,22 +310,18 @@ def _near(a: _Part, b: _Part, x: slice, y: slice, needed: int, threshold: float)
     """Places of the pairs of vectors of two blocks that are near and share no cell of an earlier table."""
     words = _collided(a.quanta[:, x], b.missed(y), needed)
     unit, unit_b, earlier, earlier_b = a.unit[x], b.unit[y], a.earlier[x], b.earlier[y]
-    some = np.flatnonzero(words)
-    bits = np.flatnonzero(np.unpackbits(words.ravel()[some].view(np.uint8), bitorder="little"))
-    if len(bits) > words.size * 2:  # many near copies: by products of the blocks
+    if a is b and x == y:
+        words &= _after(len(unit))
+    i, j = _set_bits(words)
+    if len(i) > words.size * 2:  # many near copies: by products of the blocks
         hit = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :len(unit_b)].view(bool)
-        if a is b and x == y:
-            hit = np.triu(hit, 1)
         for cell, cell_b in zip(earlier.T, earlier_b.T):
             hit &= cell[:, None] != cell_b[None, :]
         return np.divmod(np.flatnonzero(hit & (unit @ unit_b.T >= threshold)), len(unit_b))
-    i, j = np.divmod((some[bits >> 6] << 6) + (bits & 63), words.shape[1] * 64)
-    if a is b and x == y:
-        i, j = i[i < j], j[i < j]
     near = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 2048):
-        part = slice(lo, lo + 2048)
-        near[part] = np.einsum("ij,ij->i", unit[i[part]], unit_b[j[part]]) >= threshold
+    for lo in range(0, len(i), 512):
+        part = slice(lo, lo + 512)
+        near[part] = np.einsum("ij,ij->i", unit.take(i[part], 0), unit_b.take(j[part], 0)) >= threshold
     i, j = i[near], j[near]
     new = (earlier[i] != earlier_b[j]).all(axis=1)
     return i[new], j[new]
@@ -373,11 +390,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = picked(vectors, id=id_col, embedding=vector_col)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("usable", usable)
     hashes = [F.xxhash64("embedding").alias("hash"), F.xxhash64(F.lit(SEED), "embedding").alias("hash_b")]
-    good = rows.filter("usable")
     with shuffles_dropped(rows.sparkSession):
-        cells = cells_for(good.select(*hashes).distinct().count(), threshold)
+        good = rows.filter(usable)
+        rows = written(rows.select("id", *(F.when(usable, h).alias(c) for h, c in zip(hashes, ("hash", "hash_b")))), "rows")
+        cells = cells_for(rows.filter("hash IS NOT NULL").select("hash", "hash_b").distinct().count(), threshold)
         distinct = good.groupBy("embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
         distinct = written(_in_cells(distinct.select(F.monotonically_increasing_id().alias("node"), "*", *hashes), cells), "vectors")
         parts = near_links(distinct, _kind(good), threshold, cells)
@@ -387,6 +404,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
         found = nodes.join(least, "component").select("hash", "hash_b", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
         found = written(found, "found")
-    linked = good.select("id", *hashes).join(found, ["hash", "hash_b"]).select("id", "n_links", "component_id")
-    alone = rows.filter(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    linked = rows.join(found, ["hash", "hash_b"]).select("id", "n_links", "component_id")
+    alone = rows.filter("hash IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -189,6 +189,7 @@ def test_collisions_are_counted(needed):
     hit = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(bool)
     count = (abs(q[:, :, None].astype(int) - y[:, None, :]) <= embedding_dups.QUANTA + 1).sum(axis=0)
     assert (hit[:, :70] == (count >= needed)).all() and not hit[:, 70:].any()
+    assert sorted(zip(*(x.tolist() for x in embedding_dups._set_bits(words)))) == list(zip(*(x.tolist() for x in np.nonzero(hit))))
 
 
 def test_odd_vectors(spark):
